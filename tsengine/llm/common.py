@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows in one Arrow batch; with 2,000 texts a batch stays in the tens of MB.
@@ -108,5 +109,38 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def text_chunks(rb: pa.RecordBatch, name: str, most: int = 2 << 20):
+    """(first row, row after the last, UTF-8 bytes, offsets) for runs of rows with about `most` bytes of text together, so that
+    arrays with a word for each byte stay small."""
+    data, at = utf8(rb.column(rb.schema.get_field_index(name)))
+    row = 0
+    while row < rb.num_rows:
+        stop = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
+        yield row, stop, data[at[row] : at[stop]], at[row : stop + 1] - at[row]
+        row = stop
+
+
+def bloom(keys: DataFrame, column: str, bits: int = 1 << 26) -> np.ndarray:
+    """A Bloom filter of fixed size over a column of well-mixed 64-bit hashes, as 64-bit words for `in_bloom`.
+
+    Its size doesn't grow with the data (2^26 bits: 8 MB); with more keys it only lets more through.
+    """
+    h = F.col(column)
+    at = F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))).alias("i")
+    words = keys.select(at).groupBy(F.shiftright("i", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("v")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def in_bloom(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes (uint64) may be among the keys."""
+    mask = np.uint64(len(words) * 64 - 1)
+    found = np.ones(len(h), bool)
+    for i in (h & mask, (h >> np.uint64(32)) & mask):
+        found &= (words[i >> np.uint64(6)] >> (i & np.uint64(63)) & np.uint64(1)) > 0
+    return found
+
+
 def field(name: str, kind: str) -> T.StructField:
     return T.StructField(name, T._parse_datatype_string(kind))

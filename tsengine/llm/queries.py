@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, pieces, secrets, tokencount
+from . import common, decontaminate, jaccard, pieces, quality, secrets, tokencount
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_quality(docs, quality.train_quality(docs, common.table(spark, sf_dir, "labels")), keep=["doc_id"])
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.scan_secrets(docs, secrets.train_secret_models(docs), keep=["doc_id"])
@@ -29,6 +34,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.mark_contamination(docs, common.table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(common.table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=85)
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], digests=True)
@@ -36,8 +45,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality": op2_quality,
     "op6_secret_scan": op6_secret_scan,
     "op7_decontaminate": op7_decontaminate,
+    "op8_jaccard": op8_jaccard,
     "op10_pieces": op10_pieces,
 }
 
@@ -65,5 +76,22 @@ hititems AS (
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hitwords USING (doc_id) LEFT JOIN hititems USING (doc_id)
+""",
+    # Distinct shingles, counts of shared ones, links, reachable ids.
+    "op8_jaccard": r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, list_slice(w, i, i + 3) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * c >= 85 * (u.n + v.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+reach AS (SELECT x AS doc_id, y AS other FROM e UNION SELECT r.doc_id, e.y FROM reach r JOIN e ON e.x = r.other)
+SELECT t.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, least(t.doc_id, min(other)) AS component_id
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id)
+GROUP BY t.doc_id
 """,
 }
