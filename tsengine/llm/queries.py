@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, jaccard, pieces, quality, secrets, tokencount
+from . import common, decontaminate, fingerprints, jaccard, pieces, quality, secrets, tokencount
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train_quality(docs, common.table(spark, sf_dir, "labels")), keep=["doc_id"])
 
 
+def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.merkle_fingerprints(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.scan_secrets(docs, secrets.train_secret_models(docs), keep=["doc_id"])
@@ -46,6 +50,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
+    "op3_merkle": op3_merkle,
     "op6_secret_scan": op6_secret_scan,
     "op7_decontaminate": op7_decontaminate,
     "op8_jaccard": op8_jaccard,
@@ -93,5 +98,26 @@ reach AS (SELECT x AS doc_id, y AS other FROM e UNION SELECT r.doc_id, e.y FROM
 SELECT t.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, least(t.doc_id, min(other)) AS component_id
 FROM t LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id)
 GROUP BY t.doc_id
+""",
+    # The tree of each of the three texts as nested lists.
+    "op3_merkle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS nxt
+  FROM documents),
+e AS (SELECT *, length(t) AS n, substr(t, 1, length(t) - length(t) // 2) || substr(nxt, 1, length(t) // 2) AS ed FROM d),
+trees AS (
+  SELECT doc_id, n, ed,
+    list_transform([t, ed, nxt], lambda x: list_transform(string_split(x, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
+      lambda p: list_transform(string_split(regexp_replace(p, '([.,;:!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda c: left(md5(c), 8))))) AS tree
+  FROM e),
+prints AS (
+  SELECT *, list_transform(tree, lambda x: sha256(array_to_string(list_transform(x, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))), ''))
+      || ':' || array_to_string(list_transform(x, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(p, '')), ',')), '/')) AS fp,
+    list_transform(tree, lambda x: list_distinct(flatten(flatten(x)))) AS l
+  FROM trees)
+SELECT doc_id, n AS n_chars, sha256(ed) AS edited_sha256, fp[1] AS fingerprint, fp[2] AS edited_fingerprint,
+  2.0::DOUBLE * len(list_intersect(l[1], l[2])) / (len(l[1]) + len(l[2])) AS near_edited,
+  2.0::DOUBLE * len(list_intersect(l[1], l[3])) / (len(l[1]) + len(l[3])) AS near_next
+FROM prints
 """,
 }
