@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, fingerprints, jaccard, pieces, quality, secrets, tokencount
+from . import backoff, common, decontaminate, fingerprints, jaccard, pieces, quality, secrets, suffixes, tokencount
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.merkle_fingerprints(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.scan_secrets(docs, secrets.train_secret_models(docs), keep=["doc_id"])
@@ -42,6 +46,11 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(common.table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=85)
 
 
+def op9_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = backoff.backoff_scores(common.table(spark, sf_dir, "documents").select("doc_id", "text"), order=3)
+    return scores.select("doc_id", "n_words", *[F.round(c, 4).alias(c) for c in ("log10_score", "mean_log10_score")])
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], digests=True)
@@ -51,9 +60,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
     "op3_merkle": op3_merkle,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_decontaminate": op7_decontaminate,
     "op8_jaccard": op8_jaccard,
+    "op9_backoff": op9_backoff,
     "op10_pieces": op10_pieces,
 }
 
@@ -119,5 +130,24 @@ SELECT doc_id, n AS n_chars, sha256(ed) AS edited_sha256, fp[1] AS fingerprint,
   2.0::DOUBLE * len(list_intersect(l[1], l[2])) / (len(l[1]) + len(l[2])) AS near_edited,
   2.0::DOUBLE * len(list_intersect(l[1], l[3])) / (len(l[1]) + len(l[3])) AS near_next
 FROM prints
+""",
+    # Words with the two before them, count tables of one to three words, the longest that occurs twice.
+    "op9_backoff": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+p AS (SELECT doc_id, i, w[i] AS w1, CASE WHEN i > 1 THEN w[i-1] END AS w2, CASE WHEN i > 2 THEN w[i-2] END AS w3 FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c1 AS (SELECT w1, count(*) AS n FROM p GROUP BY ALL),
+c2 AS (SELECT w2, w1, count(*) AS n FROM p WHERE w2 IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT w3, w2, w1, count(*) AS n FROM p WHERE w3 IS NOT NULL GROUP BY ALL),
+total AS (SELECT sum(n) AS n FROM c1),
+s AS (
+  SELECT p.doc_id, CASE WHEN c3.n >= 2 THEN log10(c3.n / h2.n)
+    WHEN c2.n >= 2 THEN log10(c2.n / h1.n) + (least(i, 3) - 2) * log10(0.4)
+    ELSE log10(c1.n / total.n) + (least(i, 3) - 1) * log10(0.4) END AS x
+  FROM p JOIN c1 ON p.w1 = c1.w1 LEFT JOIN c2 ON p.w2 = c2.w2 AND p.w1 = c2.w1 LEFT JOIN c3 ON p.w3 = c3.w3 AND p.w2 = c3.w2 AND p.w1 = c3.w1
+    LEFT JOIN c1 h1 ON h1.w1 = p.w2 LEFT JOIN c2 h2 ON h2.w2 = p.w3 AND h2.w1 = p.w2, total)
+SELECT d.doc_id, CAST(count(x) AS BIGINT) AS n_words, round(coalesce(sum(x), 0), 4) AS log10_score, round(avg(x), 4) AS mean_log10_score
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
 """,
 }
