@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, common, decontaminate, fingerprints, jaccard, pieces, quality, secrets, suffixes, tokencount
+from . import backoff, chat, common, decontaminate, fingerprints, jaccard, pieces, quality, secrets, suffixes, tokencount
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,24 @@ def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.merkle_fingerprints(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation is written out as a raw transcript in one of several marker styles, then parsed and rendered."""
+    common.tune(spark)
+    turns = chat.conversations_of(common.table(spark, sf_dir, "conversations"))
+    model = chat.train_roles(turns)
+    parsed = chat.parse_transcripts(chat.written_transcripts(turns), model)
+    return parsed.select(
+        F.col("conv").alias("conv_id"),
+        "part",
+        F.coalesce(F.crc32(F.col("conv").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
+        "n_turns",
+        "roles",
+        (F.col("roles") == F.col("true_roles")).alias("roles_right"),
+        (F.col("rendered") == F.col("true_rendered")).alias("all_right"),
+        F.sha2("rendered", 256).alias("rendered_sha256"),
+    )
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
@@ -60,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
     "op3_merkle": op3_merkle,
+    "op4_chat": op4_chat,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_decontaminate": op7_decontaminate,
