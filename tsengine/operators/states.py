@@ -57,19 +57,17 @@ def log_likelihood(values: np.ndarray, weights: np.ndarray, starts: np.ndarray)
 
 
 def knee(scores: list[float]) -> int:
-    """k at the knee of scores for k = 1, 2, ...: the cut with the least squared error of a line on each side."""
-    n = len(scores)
-    if n < 3:
-        return n
-
-    def error(a, b):
-        x, y = np.arange(a, b, dtype=float), np.array(scores[a:b], float)
-        if len(x) < 3:
+    """k at the knee of scores for k = 1, 2, ...: one more than the number of scores left of the cut with the least squared error of
+    a line on each side; the first of equal cuts."""
+
+    def error(part):
+        if len(part) < 3:
             return 0.0
-        return float(((y - np.polyval(np.polyfit(x, y, 1), x)) ** 2).sum())
+        x = np.arange(len(part), dtype=float)
+        return float(((part - np.polyval(np.polyfit(x, part, 1), x)) ** 2).sum())
 
-    cuts = range(1, n - 1)
-    return min(cuts, key=lambda i: (round(error(0, i + 1) + error(i, n), 9), i)) + 1
+    y = np.array(scores, float)
+    return min(range(len(y)), key=lambda i: (round(error(y[:i]) + error(y[i:]), 9), i), default=0) + 1
 
 
 def discover(values: np.ndarray, weights: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
