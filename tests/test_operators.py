@@ -75,6 +75,21 @@ def test_gaps(spark):
     assert fill([n, n, n], 3) == [n, n, n]
 
 
+def test_columns_equal_the_single_steps(spark):
+    r = np.random.default_rng(8)
+    rows = [(n, i, None if r.random() < 0.1 else float(v)) for n in ("a", "b", "c") for i, v in enumerate(np.round(r.normal(0, 1, 60), 2))]
+    rows = [(n, i, 500.0 if (n, i) == ("b", 30) else v) for n, i, v in rows] + [("d", i, 1.0 if i % 2 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "sensor string, slot long, value double")
+    no = F.lit(False)
+    got = clean.clean_columns(df, 3, no, no)
+    marked = clean.mark_outliers(df).withColumn("value", F.when(~F.col("outlier"), F.col("value"))).drop("outlier")
+    filled = clean.fill_gaps(marked, 3)
+    kept = filled.join(clean.too_many_missing(filled).filter("not excluded"), "sensor", "left_semi").select("sensor", "slot", F.col("filled").alias("value"))
+    want = clean.normalise(kept).select("sensor", "slot", F.col("normalised").alias("value"))
+    assert {(x["sensor"], x["slot"]): x["value"] and round(x["value"], 9) for x in got.collect()} == {(x["sensor"], x["slot"]): x["value"] and round(x["value"], 9) for x in want.filter("sensor <> 'd'").collect()}
+    assert got.filter("sensor = 'd'").count() == 0
+
+
 def test_nearest_and_linear(spark):
     points = spark.createDataFrame([("a", 0, 1.0), ("a", 100, 2.0), ("a", 200, 3.0)], "sensor string, t long, value double")
     asked = spark.createDataFrame([("a", t) for t in (50, 51, 150, 990)], "sensor string, t long")

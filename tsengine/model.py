@@ -5,6 +5,8 @@ readings: sensor string, t long (microseconds since 1970 in UTC), value double.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,3 +34,15 @@ def readings(df: DataFrame, sensor: str | Column, ts: str | Column, value: str |
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` written to the checkpoint folder, its lineage cut: plans after it stay small and lost executors cost nothing before it.
+
+    The folder is the cluster's, spark.checkpoint.dir; a local one is made only where the session names none.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tsengine-"))
+    return df.checkpoint()

@@ -106,6 +106,31 @@ def normalise(df: DataFrame, keys: Sequence[str] = ("sensor",), value: str = "va
     return out.withColumn("normalised", F.when(F.col("_varies"), (F.col(value) - F.col("_mean")) / F.col("_norm"))).drop("_mean", "_norm", "_varies")
 
 
+def clean_columns(slots: DataFrame, max_gap: int, few: Column, raw: Column, percent: float = 1, sigmas: float = 20) -> DataFrame:
+    """`slots` (sensor, slot, value, ...) as finished columns: outliers out, gaps filled (`few`: by the nearest), columns of which
+    more than a fifth is missing left out, values normalised unless `raw`, constant columns left out.
+
+    The same rules as `mark_outliers`, `fill_gaps`, `too_many_missing`, `normalise` and `varying`, as windows over one shuffle by
+    sensor: a sensor has one row a slot, so none is larger than another.
+    """
+    w = Window.partitionBy("sensor")
+
+    def placed(df, value):
+        return df.withColumns({"_i": F.row_number().over(w.orderBy(F.col(value).asc_nulls_last())) - 1, "_n": F.count(value).over(w)})
+
+    cut = F.col("_n") * percent / 2 / 100
+    v = F.when(F.col("value").isNotNull() & (F.col("_i") >= F.floor(cut)) & (F.col("_i") < F.floor(F.col("_n") - cut)), F.col("value"))
+    bounds = placed(slots, "value").withColumns({"_lo": F.min(v).over(w), "_hi": F.max(v).over(w), "_sd": F.stddev_pop(v).over(w), "_k": F.count(v).over(w)})
+    out = (F.col("_k") > 10) & ((F.col("value") > F.col("_hi") + sigmas * F.col("_sd")) | (F.col("value") < F.col("_lo") - sigmas * F.col("_sd")))
+    good = bounds.withColumn("value", F.when(~F.coalesce(out, F.lit(False)), F.col("value"))).select(*slots.columns)
+    filled = fill_gaps(good, max_gap, nearest=few).withColumn("value", F.col("filled")).drop("filled")
+    kept = filled.withColumn("_missing", F.count_if(F.col("value").isNull()).over(w)).withColumn("_all", F.count("*").over(w)).filter("_missing <= _all / 5").select(*slots.columns)
+    middle = F.when((F.col("_i") >= F.floor(F.col("_n") * 0.05)) & (F.col("_i") < F.floor(F.col("_n") * 0.95)), F.col("value"))
+    stats = placed(kept, "value").withColumns({"_mean": F.avg("value").over(w), "_norm": F.sqrt(F.sum(F.col("value") * F.col("value")).over(w)), "_varies": F.min(middle).over(w) < F.max(middle).over(w)})
+    done = stats.withColumn("value", F.when(raw, F.col("value")).when(F.col("_varies"), (F.col("value") - F.col("_mean")) / F.col("_norm"))).select(*slots.columns)
+    return done.withColumns({"_lo": F.min("value").over(w), "_hi": F.max("value").over(w)}).filter("_lo <> _hi").select(*slots.columns)
+
+
 def regularise(r: DataFrame, percent: float = 1, sigmas: float = 20) -> DataFrame:
     """Readings on an even grid of each sensor's own step, the mean interval rounded up to seconds; from the first reading to
     before the last, outliers left out first. Linear between neighbours; sensors of few levels take the nearest."""

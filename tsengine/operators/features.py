@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tsengine.model import INT_TYPE
 
-from . import align, clean, ordered
+from . import align, clean
 
 
 def slot_feature(slotted: DataFrame, types: DataFrame | None = None) -> DataFrame:
@@ -42,31 +42,20 @@ def slot_difference(slotted: DataFrame, confidence: float = 0.5, types: DataFram
 def average_features(r: DataFrame, grid: DataFrame, start: int, end: int, width: int, max_gap: int, raw: Sequence[str] = ()) -> DataFrame:
     """(sensor, slot, value, num_type): the whole chain of the average feature: types, slot values, outliers out, gaps filled,
     columns with too much missing out, then normalised. Sensors of few levels and those named in `raw` (weather) stay as they are."""
-    types = clean.infer_types(r)
-    slots = align.with_all_slots(slot_feature(align.assign_slots(r, start, end, width), types), grid)
-    marked = clean.mark_outliers(slots, percent=1, sigmas=20)
-    good = marked.withColumn("value", F.when(~F.col("outlier"), F.col("value"))).drop("outlier").join(types.select("sensor", "num_type"), "sensor")
-    filled = clean.fill_gaps(good, max_gap, nearest=F.col("num_type") == INT_TYPE)
-    kept = filled.join(clean.too_many_missing(filled).filter("not excluded").select("sensor"), "sensor", "left_semi")
-    norm = clean.normalise(kept.select("sensor", "slot", "num_type", F.col("filled").alias("value")))
-    as_is = (F.col("num_type") == INT_TYPE) | F.col("sensor").isin(list(raw)) if raw else F.col("num_type") == INT_TYPE
-    out = norm.select("sensor", "slot", F.when(as_is, F.col("value")).otherwise(F.col("normalised")).alias("value"), "num_type")
-    return align.varying(out)
+    types = clean.infer_types(r).select("sensor", "num_type")
+    slots = align.with_all_slots(slot_feature(align.assign_slots(r, start, end, width), types), grid).join(types, "sensor")
+    few = F.col("num_type") == INT_TYPE
+    return clean.clean_columns(slots, max_gap, few, few | F.col("sensor").isin(list(raw)) if raw else few).select("sensor", "slot", "value", "num_type")
 
 
 def difference_features(r: DataFrame, grid: DataFrame, start: int, end: int, width: int, max_gap: int, confidence: float = 0.5) -> DataFrame:
     """(sensor, slot, value, num_type): the chain of the difference feature: regular series, slot differences, outliers out, gaps
     filled, columns with too much missing out, floats normalised, constant columns out."""
     even = clean.regularise(r)
-    types = clean.infer_types(even)
-    slots = align.with_all_slots(slot_difference(align.assign_slots(even, start, end, width), confidence, types), grid)
-    marked = clean.mark_outliers(slots)
-    good = marked.withColumn("value", F.when(~F.col("outlier"), F.col("value"))).drop("outlier").join(types.select("sensor", "num_type"), "sensor")
-    filled = clean.fill_gaps(good, max_gap, nearest=F.col("num_type") == INT_TYPE)
-    kept = filled.join(clean.too_many_missing(filled).filter("not excluded").select("sensor"), "sensor", "left_semi")
-    norm = clean.normalise(kept.select("sensor", "slot", "num_type", F.col("filled").alias("value")))
-    out = norm.select("sensor", "slot", F.when(F.col("num_type") == INT_TYPE, F.col("value")).otherwise(F.col("normalised")).alias("value"), "num_type")
-    return align.varying(out)
+    types = clean.infer_types(even).select("sensor", "num_type")
+    slots = align.with_all_slots(slot_difference(align.assign_slots(even, start, end, width), confidence, types), grid).join(types, "sensor")
+    few = F.col("num_type") == INT_TYPE
+    return clean.clean_columns(slots, max_gap, few, few).select("sensor", "slot", "value", "num_type")
 
 
 def pair_features(average: DataFrame, difference: DataFrame) -> DataFrame:
@@ -123,6 +112,3 @@ def token_frequency(names: DataFrame, column: str, strip_last: bool = True) -> D
 def cross_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, n): rows of each pair of keys."""
     return df.groupBy(a, b).agg(F.count("*").alias("n"))
-
-
-__all__ = ["average_features", "availability", "cross_counts", "density_statistics", "difference_features", "mean_interval", "ordered", "pair_features", "sampling_density", "slot_difference", "slot_feature", "slot_statistics", "statistical_windows", "token_frequency"]

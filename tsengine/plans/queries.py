@@ -673,3 +673,25 @@ def set_ops(spark, sf):
     marked = [(a.intersect(b), "both"), (a.union(b).distinct(), "any"), (a.subtract(b), "only")]
     out = [d.withColumn("side", F.lit(s)) for d, s in marked]
     return out[0].union(out[1]).union(out[2])
+
+
+@query()
+def explained_peaks(spark, sf):
+    """The whole analysis of the events: ranked causes of two sensors' peaks."""
+    from .analysis import analyse
+
+    r = events(spark, sf)
+    names = [x["sensor"] for x in r.select("sensor").distinct().orderBy("sensor").limit(2).collect()]
+    return analyse(r, START, END, DAY, names).ranked
+
+
+@query()
+def explaining_networks(spark, sf):
+    from tsengine.sources import exports
+
+    from .analysis import analyse
+
+    r = events(spark, sf)
+    names = [x["sensor"] for x in r.select("sensor").distinct().orderBy("sensor").limit(2).collect()]
+    edges = analyse(r, START, END, DAY, names).edges
+    return exports.graph_json(edges.union(spark.createDataFrame([("example", "a", "b")], edges.schema)))
