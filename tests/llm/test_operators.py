@@ -1,0 +1,350 @@
+"""The corpus operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing names."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import string
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tsengine.llm import backoff, chat, common, decontaminate, fingerprints, jaccard, pieces, quality, secrets, suffixes, tokencount
+from tsengine.llm.components import components
+
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
+def texts(seed=1, n=60):
+    r = random.Random(seed)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(1, 6))) for _ in range(80)] + ["É", "ñandú", "密码", "😀", "Don't"]
+    base = [" ".join(r.choices(words, k=r.choice([3, 20, 60, 200]))) for _ in range(n // 3)]
+    out = list(base)
+    for _ in range(n - len(base) - 6):
+        w = r.choice(base).split(" ")
+        for _ in range(r.choice([0, 0, 1, 2, 5])):
+            w[r.randrange(len(w))] = r.choice(words)
+        out.append(r.choice([" ", "\n", "\t "]).join(w))
+    out += [None, "", " \n ", "a", base[0], "\u00a0x\u2028y " + "long " * 4000]
+    r.shuffle(out)
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i * 3, t, "own") for i, t in enumerate(texts())]
+    rows.append(rows[7])
+    return spark.createDataFrame(rows, "doc_id long, text string, n_bytes string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.collect()]
+
+
+def by_id(df, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def words_of(t):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(LOWER)) if w]
+
+
+def test_token_counts(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    want = sorted((i, len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows)
+    cache = common.shared_dir(spark)
+    for _ in range(2):  # the second run takes all from the cache
+        got = tokencount.token_counts(docs, path, cache, normalise=tokencount.collapse_space, by_word=True)
+        assert by_id(got, "doc_id", "n_bytes", "n_tokens") == want
+    stored = spark.read.parquet(cache)
+    assert stored.count() == stored.select("digest").distinct().count()
+    assert by_id(tokencount.token_counts(docs, path, common.shared_dir(spark)), "doc_id", "n_bytes", "n_tokens") == want
+
+
+def test_token_counts_of_hard_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    hard = ["<|endoftext|>", "a<|startoftext|>b", "a <|endoftext|> b", "ΑΣ ΑΣΑ", "e\u0301 x", " \u0301a", "'s don't 'LL", "a\u00a0b\u2003c", "\r\n\t", "x\x00y", "1234 5", "ﬁ ǅ İ", "<|endoftext|><|endoftext|> !"]
+    df = spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string")
+    got = tokencount.token_counts(df, path, common.shared_dir(spark), normalise=tokencount.collapse_space, by_word=True)
+    assert by_id(got, "doc_id", "n_tokens") == [(i, len(t.encode(x, add_special_tokens=False).ids)) for i, x in enumerate(hard)]
+
+
+def test_pieces(docs, rows):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = []
+    for i, x in rows:
+        ids = sp.encode(x or "", add_eos=True)
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest(), True))
+    got = pieces.encode_pieces(docs, path, digests=True)
+    assert by_id(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_tile") == sorted(want)
+    spans = pieces.encode_pieces(docs, path).filter("text is not null").collect()
+    for r in spans:
+        data = r["text"].encode()
+        assert b"".join(data[a:b] for a, b in zip(r["piece_begin"], r["piece_end"])) == data
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train_quality(d, labels)
+    got = quality.score_quality(d, model, keep=["doc_id"]).filter("held_out").join(labels, "doc_id").toPandas()
+    assert (got.predicted == got.quality).mean() >= 0.95
+    other = quality.train_quality(d, labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality"))))
+    assert np.array_equal(model.weights, other.weights)  # held-out labels aren't read
+
+
+def test_quality_of_odd_texts(docs):
+    empty = quality.train_quality(docs.limit(0), docs.select("doc_id", F.lit(1).alias("quality")))
+    got = quality.score_quality(docs, empty)
+    assert got.count() == docs.count() and got.filter("score is null or score < 0 or score > 1").count() == 0
+
+
+def test_factorisation_identity():
+    r = np.random.default_rng(0)
+    m = quality.Model(0.3, r.normal(size=(quality.SIZE, 1 + quality.RANK)))
+    f, x = np.array([3, 9, 40, 70]), r.normal(size=4)
+    w, v = m.weights[:, 0], m.weights[:, 1:]
+    want = 0.3 + w[f] @ x + sum(v[f[i]] @ v[f[j]] * x[i] * x[j] for i in range(4) for j in range(i))
+    assert m.raw(f, x, np.array([0, 4]))[0][0] == pytest.approx(want)
+
+
+def py_leaves(t):
+    cut = lambda p: re.sub(r"([.,;:!?]) ", "\\1\x01", p).split("\x01")
+    return [[[hashlib.md5(c.encode()).hexdigest()[:8] for c in cut(p)] for p in s.split("\n")] for s in t.split("\n\n")]
+
+
+def test_fingerprints(spark):
+    long = "A one. B two,\nC three! d\n\nE four. " * 30
+    rows = [(5, "x. y\nz"), (1, None), (9, long), (7, ""), (5, "x. y\nz"), (12, "ñ😀. é\nz"), (2, long + "q")]
+    df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, fingerprint string")
+    got = {r["doc_id"]: r for r in fingerprints.merkle_fingerprints(df).collect()}
+    order = sorted((i, t or "") for i, t in rows)
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        if i == 5:
+            continue
+        h = len(t) // 2
+        ed = t[: len(t) - h] + nxt[:h]
+        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(ed.encode()).hexdigest()
+        a, b = ({c for s in py_leaves(x) for p in s for c in p} for x in (t, ed))
+        assert got[i]["near_edited"] == pytest.approx(2 * len(a & b) / (len(a) + len(b)))
+        tree = py_leaves(t)
+        md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+        root = hashlib.sha256("".join(md5("".join(md5("".join(p)) for p in s)) for s in tree).encode()).hexdigest()
+        assert got[i]["fingerprint"].split(":")[0] == root
+    a, b = "p one\np two\n\np three", "p one\np 2\n\np three"
+    two = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    prints = {r["doc_id"]: r["fingerprint"] for r in fingerprints.merkle_fingerprints(two).collect()}
+    d = spark.createDataFrame([(prints[1], prints[2])], "a string, b string")
+    assert d.select(fingerprints.differing_branches(F.col("a"), F.col("b"))).first()[0] == ["0.1"]
+    assert fingerprints.merkle_fingerprints(df.limit(0)).count() == 0
+
+
+def test_next_over_many_ranges(spark):
+    r = random.Random(4)
+    ids = r.sample(range(10**6), 1500) + [10**12]
+    df = spark.createDataFrame([(i, str(i)) for i in ids], "_id long, _text string")
+    got = {x["_id"]: x["_next"] for x in fingerprints.with_next(df).collect()}
+    order = sorted(ids)
+    assert got == {a: str(b) for a, b in zip(order, order[1:] + order[:1])}
+
+
+def brute_repeats(rows, length):
+    seen = collections.Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        seen.update(b[j : j + length] for j in range(len(b) - length + 1))
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        covered = np.zeros(len(b) + 1, int)
+        for j in range(len(b) - length + 1):
+            if seen[b[j : j + length]] > 1:
+                covered[j] += 1
+                covered[j + length] -= 1
+        c = np.cumsum(covered)[:-1] > 0
+        runs = int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum())
+        out.append((i, len(b), int(c.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~c].tobytes()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot, block, starts", [(2000, 1 << 20, 400_000), (1, 2000, 300)])
+def test_suffix_dedup(docs, rows, monkeypatch, hot, block, starts):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "HOT_SHARE", 1 << 40)
+    monkeypatch.setattr(suffixes, "BLOCK", block)
+    monkeypatch.setattr(suffixes, "STARTS", starts)
+    got = suffixes.remove_repeats(docs, length=100)
+    assert by_id(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows, 100)
+
+
+def test_repeated_starts_with_zero_bytes():
+    r = np.random.default_rng(7)
+    text = r.integers(0, 2, 900).astype(np.uint8)
+    text[500:700] = text[100:300]
+    starts = np.arange(len(text) - 80 + 1)
+    raw = text.tobytes()
+    seen = collections.Counter(raw[i : i + 80] for i in starts)
+    assert suffixes.repeated_starts(text, starts, np.zeros(len(starts), np.uint64), 80).tolist() == [seen[raw[i : i + 80]] > 1 for i in starts]
+
+
+def test_secrets(spark):
+    key = "AKIA" + "A1B2C3D4E5F6G7H8"
+    rows = [(1, f'Password: "abc123XYZ" and {key} end'), (2, None), (3, "nothing at all here"), (4, "0123456789abcdef0123456789abcdef"), (5, 'api_key="xY9kQ2mZ7pR4tW8vB3nL6sD1"'), (6, "password: short"), (6, "password: short")]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, spans int")
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(df, secrets.train_secret_models(df), redact="#").collect()}
+    assert (got[1]["n_assign"], got[1]["n_access"], got[4]["n_hex"], got[5]["n_assign"]) == (1, 1, 1, 1)
+    assert got[2]["spans"] == "" and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert got[6]["n_assign"] == 0 and got[3]["redacted"] == "nothing at all here"
+    assert "abc123XYZ" not in got[1]["redacted"] and key not in got[1]["redacted"]
+    spans = got[1]["spans"].split(",")
+    assert spans[0].startswith("assign:0:") and any(s.startswith("access:") for s in spans)
+
+
+def test_secret_models_tell_random_strings(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratios = secrets.train_secret_models(d)
+    r = random.Random(99)
+    found = sum(bool(secrets.markov_spans("see " + "".join(r.choices(string.ascii_letters + string.digits, k=32)) + " ok", ratios, [])) for _ in range(100))
+    plain = sum(bool(secrets.markov_spans("".join(r.choices(["the", "tion", "ing", "and"], k=8)), ratios, [])) for _ in range(100))
+    assert found >= 95 and plain <= 5
+
+
+def test_decontamination(spark):
+    item = " ".join(f"w{i}" for i in range(15))
+    rows = [(1, "start W3 w4, w5 w6 w7 w8 w9 w10 w11 w12 end"), (2, None), (3, "w3 w4 w5 w6"), (4, "short ITEM here"), (5, "shortitem here"), (6, item + " x " + item)]
+    items = [(10, item), (9, "Short item"), (8, ""), (7, None), (9, "Short item")]
+    d = spark.createDataFrame([(i, t, 1.5) for i, t in rows], "doc_id long, text string, n_hit double")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.mark_contamination(d, b, spans=True).collect()}
+    assert [(got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"]) for i in range(1, 7)] == [(12, 10, 1), (0, 0, 0), (4, 0, 0), (3, 2, 1), (2, 0, 0), (31, 30, 1)]
+    assert got[1]["items_sha256"] == hashlib.sha256(b"10").hexdigest() and not got[5]["contaminated"]
+    (span,) = got[1]["hit_spans"]
+    assert rows[0][1][span["begin"] : span["end"]] == "W3 w4, w5 w6 w7 w8 w9 w10 w11 w12"
+    assert decontaminate.mark_contamination(d, b.limit(0)).filter("contaminated").count() == 0
+
+
+def brute_components(rows, k, percent):
+    sets = [frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if (w := words_of(t)) else frozenset() for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                root[find(a)] = find(b)
+    least = collections.defaultdict(lambda: math.inf)
+    for a, (i, _) in enumerate(rows):
+        least[find(a)] = min(least[find(a)], i)
+    return sorted((i, len(sets[a]), least[find(a)] if sets[a] else i) for a, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("k, percent, tile", [(4, 85, 1024), (2, 50, 3)])
+def test_jaccard_components(docs, rows, monkeypatch, k, percent, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    got = jaccard.jaccard_components(docs, k=k, percent=percent)
+    assert by_id(got, "doc_id", "n_shingles", "component_id") == brute_components(rows, k, percent)
+
+
+def test_jaccard_of_nothing(docs):
+    assert jaccard.jaccard_components(docs.limit(0)).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(3)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(None, 4)]
+    got = dict(components(spark.createDataFrame(edges, "a long, b long"), common.shared_dir(spark)).collect())
+    near = collections.defaultdict(set)
+    for a, b in edges:
+        if a is not None and a != b:
+            near[a].add(b)
+            near[b].add(a)
+    for start in near:
+        todo, seen = [start], {start}
+        while todo:
+            for x in near[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        assert got[start] == min(seen)
+    assert set(got) == set(near)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_backoff(docs, rows, order, monkeypatch):
+    monkeypatch.setattr(backoff, "PART_GRAMS", 300)
+    monkeypatch.setattr(backoff, "CHUNK_BYTES", 2000)
+    count = collections.Counter()
+    for _, t in rows:
+        w = words_of(t)
+        for k in range(1, order + 1):
+            count.update(tuple(w[j : j + k]) for j in range(len(w) - k + 1))
+    total = sum(n for g, n in count.items() if len(g) == 1)
+    want = []
+    for i, t in rows:
+        w, s = words_of(t), 0.0
+        for j in range(len(w)):
+            longest = min(j + 1, order)
+            for k in range(longest, 0, -1):
+                g = tuple(w[j - k + 1 : j + 1])
+                if k == 1 or count[g] >= 2:
+                    s += math.log10(count[g] / (count[g[:-1]] if k > 1 else total)) + (longest - k) * math.log10(0.4)
+                    break
+        want.append((i, len(w), s))
+    got = by_id(backoff.backoff_scores(docs, order=order), "doc_id", "n_words", "log10_score")
+    for a, b in zip(got, sorted(want)):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2])
+
+
+def test_chat(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    conv = chat.conversations_of(turns)
+    model = chat.train_roles(conv)
+    got = chat.parse_transcripts(chat.written_transcripts(conv), model).filter(F.crc32(F.col("conv").cast("string")) % 5 == 0)
+    right = got.agg(F.avg((F.col("roles") == F.col("true_roles")).cast("double"))).first()[0]
+    assert right >= 0.7
+    plain = "User: Hello there, old friend.\nMore of it follows here.\nAssistant: Hi. What is it that you want?\n\nHuman: Nothing at all, good bye."
+    assert [r for r, _ in chat.parse(plain, model)] == ["user", "assistant", "user"]
+    assert chat.render([("user", "a <|x|>")]) == "<|user|>\na < |x|><|end|>\n"
+    odd = spark.createDataFrame([(None, 0, "user", "x"), (None, 0, "user", "y"), (1, None, None, None), (1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    assert chat.parse_transcripts(chat.written_transcripts(chat.conversations_of(odd)), model).count() == 3
+
+
+def test_viterbi_is_best():
+    r = np.random.default_rng(1)
+    n = len(chat.STATES)
+    model = chat.Model(r.random(n), r.random((n, n)), [r.random((n, s)) for s in chat.SIZES])
+    x = np.column_stack([r.integers(0, s, 4) for s in chat.SIZES])
+    import itertools
+
+    def score(path):
+        out = model.start[path[0]] + sum(model.step[a, b] for a, b in zip(path, path[1:]))
+        return out + sum(e[s, v] for s, row in zip(path, x) for e, v in zip(model.emit, row))
+
+    best = max(score(p) for p in itertools.product(range(n), repeat=4))
+    assert score(model.viterbi(x)) == pytest.approx(best)
+
+
+def test_bloom(spark):
+    keys = spark.range(2000).select(F.xxhash64("id").alias("h"))
+    words = common.bloom(keys, "h", 1 << 16)
+    h = np.array([r[0] for r in keys.collect()], np.int64).view(np.uint64)
+    assert common.in_bloom(words, h).all()
+    other = np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64)
+    assert common.in_bloom(words, other).mean() < 0.05

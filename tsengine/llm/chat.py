@@ -65,10 +65,10 @@ def write_out(roles: list, texts: list, style: int, drop: list[bool]) -> tuple[l
 
 
 class Model:
-    """Log probabilities of the first state, of state pairs and of feature values, from counts smoothed by 0.5."""
+    """Log probabilities of the first state, of state pairs and of feature values, from counts smoothed by 0.05."""
 
     def __init__(self, start: np.ndarray, step: np.ndarray, emit: list[np.ndarray]):
-        log = lambda c: np.log((c + 0.5) / (c + 0.5).sum(-1, keepdims=True))
+        log = lambda c: np.log((c + 0.05) / (c + 0.05).sum(-1, keepdims=True))
         self.start, self.step, self.emit = log(start), log(step), [log(e) for e in emit]
 
     def viterbi(self, x: np.ndarray) -> list[int]:

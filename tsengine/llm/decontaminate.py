@@ -20,6 +20,7 @@ CHARS_PER_AUTOMATON = 8_000_000
 CHARS_TO_DRIVER = 400_000_000
 
 _table = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_lower = {c: c + 32 for c in range(65, 91)}
 _word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -131,7 +132,7 @@ def mark_contamination(
                 covered = np.cumsum(change[:-1]) > 0
                 hit = int(covered.sum())
                 if spans:
-                    at = [m.span() for m in _word.finditer(source)]
+                    at = [m.span() for m in _word.finditer(source.translate(_lower))]
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], covered, [0]])))
                     run = [{"begin": at[a][0], "end": at[b - 1][1]} for a, b in zip(edge[::2], edge[1::2])]
             n_hit.append(hit)
