@@ -27,7 +27,7 @@ def full_name(building: str | Column, name: str | Column) -> Column:
     return F.upper(F.concat_ws("_", _c(building), _c(name)))
 
 
-def table_name(path: str | Column, prefix: str = "SDH") -> Column:
+def table_name(path: str | Column, prefix: str = "T_") -> Column:
     """A stream path as a table name: / - and blanks become _, upper case, with a prefix."""
     return F.upper(F.concat(F.lit(prefix), F.translate(_c(path), "/- ", "___")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tsengine.model import INT_TYPE
+from tsengine.model import INT_TYPE, settled
 
 from . import align, clean
 
@@ -51,7 +51,7 @@ def average_features(r: DataFrame, grid: DataFrame, start: int, end: int, width:
 def difference_features(r: DataFrame, grid: DataFrame, start: int, end: int, width: int, max_gap: int, confidence: float = 0.5) -> DataFrame:
     """(sensor, slot, value, num_type): the chain of the difference feature: regular series, slot differences, outliers out, gaps
     filled, columns with too much missing out, floats normalised, constant columns out."""
-    even = clean.regularise(r)
+    even = settled(clean.regularise(r))
     types = clean.infer_types(even).select("sensor", "num_type")
     slots = align.with_all_slots(slot_difference(align.assign_slots(even, start, end, width), confidence, types), grid).join(types, "sensor")
     few = F.col("num_type") == INT_TYPE

@@ -635,7 +635,7 @@ def symbol_encode(spark, sf):
     return weather.symbol_codes(table(spark, sf, "orders"), "o_orderpriority", "o_orderkey")
 
 
-@query("SELECT p_partkey, CASE WHEN regexp_matches(translate(p_name, './- ', '____'), '^[0-9]') THEN 'a_' ELSE '' END || translate(p_name, './- ', '____') AS clean, upper('SDH' || translate(p_type, '/- ', '___')) AS table_name FROM part")
+@query("SELECT p_partkey, CASE WHEN regexp_matches(translate(p_name, './- ', '____'), '^[0-9]') THEN 'a_' ELSE '' END || translate(p_name, './- ', '____') AS clean, upper('T_' || translate(p_type, '/- ', '___')) AS table_name FROM part")
 def clean_names(spark, sf):
     return table(spark, sf, "part").select("p_partkey", scalar.clean_name("p_name").alias("clean"), scalar.table_name("p_type").alias("table_name"))
 
@@ -686,12 +686,9 @@ def explained_peaks(spark, sf):
 
 
 @query()
-def explaining_networks(spark, sf):
+def network_graphs(spark, sf):
+    """Learnt edges as graph JSON, beside a fixed example."""
     from tsengine.sources import exports
 
-    from .analysis import analyse
-
-    r = events(spark, sf)
-    names = [x["sensor"] for x in r.select("sensor").distinct().orderBy("sensor").limit(2).collect()]
-    edges = analyse(r, START, END, DAY, names).edges
+    edges = bn_edges(spark, sf)
     return exports.graph_json(edges.union(spark.createDataFrame([("example", "a", "b")], edges.schema)))
