@@ -17,7 +17,10 @@ from .components import components
 COUNTERS = 1 << 20
 COUNTERS_PER_ROW = 1 << 14
 #: Bits of a signature.
-BITS = 1024
+BITS = 2048
+#: Before all pairs of a tile are tried, each class asks for its best partners in the tiles of its commonest shingles: so many,
+#: in so many tiles.
+BEST, LARGEST = 2, 3
 #: Rows of a tile beyond which it is cut into pairs of blocks.
 TILE = 1024
 #: Set digests that a task remembers, so that it sends the shingles of a repeated set once.
@@ -54,13 +57,31 @@ def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
-def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets with signatures x, y and sizes n, m can reach `percent`: each bit of one that the other lacks is an element
-    that they don't share."""
+def pack_set(h: np.ndarray) -> bytes:
+    """The first 48 bits of a set's sorted hashes as gaps, all first bytes before all second ones. Two sets of a thousand elements
+    agree by chance in an element with a chance of 4e-9."""
+    gaps = np.diff(h >> np.uint64(16), prepend=np.uint64(0))
+    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def unpack_set(b) -> np.ndarray:
+    planes = np.frombuffer(b, np.uint8).reshape(6, -1)
+    gaps = np.zeros((planes.shape[1], 8), np.uint8)
+    gaps[:, :6] = planes.T
+    return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def most_shared(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The most elements that sets with signatures x, y and sizes n, m can share: each bit of one that the other lacks is an
+    element that they don't share."""
     only_x = np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
     only_y = np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
-    most = np.minimum(n - only_x, m - only_y)
-    return most * (100 + percent) >= percent * (n + m)
+    return np.minimum(n - only_x, m - only_y)
+
+
+def may_link(shared: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes n, m that share that many elements reach `percent`."""
+    return shared * (100 + percent) >= percent * (n + m)
 
 
 def _frequencies(docs: DataFrame, text: str, k: int) -> np.ndarray:
@@ -133,7 +154,8 @@ def _checked(docs: DataFrame, text: str, k: int, percent: int, pairs: DataFrame,
             if rb.num_rows:
                 t = pa.Table.from_batches([rb])
                 x, y = (np.frombuffer(b"".join(t.column(f"_sig_{c}").to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in "ab")
-                keep = may_link(x, y, t.column("_n_a").to_numpy(), t.column("_n_b").to_numpy(), percent)
+                n, m = t.column("_n_a").to_numpy(), t.column("_n_b").to_numpy()
+                keep = may_link(most_shared(x, y, n, m), n, m, percent)
                 yield from t.select(["a", "b"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
     near = common.saved(near.mapInArrow(bound, "a long, b long"), f"{folder}/near")
@@ -154,35 +176,36 @@ def _checked(docs: DataFrame, text: str, k: int, percent: int, pairs: DataFrame,
                             done.clear()
                         done.add(d)
                         ids.append(d)
-                        values.append(h[at[i] : at[i + 1]].tobytes())
+                        values.append(pack_set(h[at[i] : at[i + 1]]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.binary())], names=["_cls", "_set"])
 
-    kept = docs.select(text).mapInArrow(sets, "_cls long, _set binary")
-    needed = near.select(F.explode(F.array("a", "b")).alias("_cls")).distinct()
-    kept = common.saved(kept.join(needed, "_cls", "left_semi").dropDuplicates(["_cls"]), f"{folder}/sets")
+    # dealt by class once; both joins read that exchange
+    kept = docs.select(text).mapInArrow(sets, "_cls long, _set binary").dropDuplicates(["_cls"])
 
     def exact(batches):
         for rb in batches:
             keep = []
             for x, y in zip(rb.column(rb.schema.get_field_index("_set_a")), rb.column(rb.schema.get_field_index("_set_b"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpack_set(x.as_buffer()), unpack_set(y.as_buffer())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield from pa.Table.from_batches([rb]).select(["a", "b"]).filter(pa.array(keep, pa.bool_())).combine_chunks().to_batches()
 
-    return common.saved(near.join(side(kept, "a", ["_set"]), "a").join(side(kept, "b", ["_set"]), "b").select("a", "b", "_set_a", "_set_b").mapInArrow(exact, "a long, b long"), f"{folder}/links")
+    both = near.join(side(kept, "b", ["_set"]), "b").join(side(kept, "a", ["_set"]), "a")
+    return common.saved(both.select("a", "b", "_set_a", "_set_b").mapInArrow(exact, "a long, b long"), f"{folder}/links")
 
 
-def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
+def _tile_pairs(tiles: DataFrame, percent: int, best: int | None) -> DataFrame:
     """Pairs of a tile's rows that are of different components and pass the signature bound; repeats within a task left out.
 
-    tiles: key, band, i, j, home, block, _cls, _n, _comp, _sig, the rows of a tile in one partition and together.
+    tiles: key, band, i, j, home, block, asks, _cls, _n, _comp, _sig, the rows of a tile in one partition and together. best: only
+    rows that ask look for partners, and take so many with the highest bound.
     """
 
     def run(batches):
         sent: set[tuple[int, int]] = set()
         rest = None
-        names = ["key", "band", "i", "j", "home", "block", "_cls", "_n", "_comp", "_sig"]
+        names = ["key", "band", "i", "j", "home", "block", "asks", "_cls", "_n", "_comp", "_sig"]
 
         def pairs(t: pa.Table):
             col = {c: t.column(c).to_numpy() for c in names[:-1]}
@@ -190,8 +213,10 @@ def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
             change = np.flatnonzero(np.any([col[c][1:] != col[c][:-1] for c in names[:4]], axis=0)) + 1
             out_a, out_b = [], []
             for s, e in zip([0, *change.tolist()], [*change.tolist(), t.num_rows]):
-                for at in range(s, e):  # one row against the rows after it: memory stays in proportion to the tile
-                    other = np.arange(at + 1, e)
+                for at in range(s, e):  # one row against the others: memory stays in proportion to the tile
+                    if best and not col["asks"][at]:
+                        continue
+                    other = np.arange(s if best else at + 1, e)
                     o = col["_comp"][other] != col["_comp"][at]
                     o &= col["home"][other] | col["home"][at]
                     if col["i"][s] != col["j"][s]:  # a pair of blocks: rows of one against rows of the other
@@ -199,17 +224,22 @@ def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
                     n, m = col["_n"][at], col["_n"][other]
                     o &= np.minimum(n, m) * 100 >= percent * np.maximum(n, m)
                     other = other[o]
-                    if len(other):
-                        other = other[may_link(sig[at : at + 1], sig[other], n, col["_n"][other], percent)]
-                        for b in col["_cls"][other].tolist():
-                            a = int(col["_cls"][at])
-                            pair = (min(a, b), max(a, b))
-                            if pair not in sent:
-                                if len(sent) > SETS_REMEMBERED:
-                                    sent.clear()
-                                sent.add(pair)
-                                out_a.append(pair[0])
-                                out_b.append(pair[1])
+                    if not len(other):
+                        continue
+                    m = col["_n"][other]
+                    shared = most_shared(sig[at : at + 1], sig[other], n, m)
+                    fit = may_link(shared, n, m, percent)
+                    if best and fit.sum() > best:
+                        fit = np.argsort(np.where(fit, shared / (n + m), -1), kind="stable")[-best:]
+                    a = int(col["_cls"][at])
+                    for b in col["_cls"][other[fit]].tolist():
+                        pair = (min(a, b), max(a, b))
+                        if pair not in sent:
+                            if len(sent) > SETS_REMEMBERED:
+                                sent.clear()
+                            sent.add(pair)
+                            out_a.append(pair[0])
+                            out_b.append(pair[1])
             return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
         for rb in batches:
@@ -228,6 +258,23 @@ def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return tiles.mapInArrow(run, "a long, b long")
 
 
+def _tiles(shared: DataFrame, joined: DataFrame, classes: DataFrame, partitions: int, asked: bool) -> DataFrame:
+    """The tiles with rows of several components: the rows of one shingle in a band of sizes (home) and in the band above it;
+    tiles of many rows as pairs of blocks. asks: a row of one of its class's commonest shingles. asked: only tiles with
+    rows that ask."""
+    labels = joined.withColumnRenamed("node", "_cls")
+    tiles = shared.join(labels, "_cls", "left").withColumn("_comp", F.coalesce("label", "_cls"))
+    seats = F.explode(F.array(F.struct(F.col("band"), F.lit(True).alias("home")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("home")))).alias("seat")
+    tiles = tiles.select("key", seats, "_cls", "_n", "_comp", "asks").select("key", "seat.*", "_cls", "_n", "_comp", "asks")
+    tile = Window.partitionBy("key", "band")
+    tiles = tiles.withColumns({"lo": F.min("_comp").over(tile), "hi": F.max("_comp").over(tile), "homes": F.max("home").over(tile), "rows": F.count("*").over(tile), "some": F.max("asks").over(tile)})
+    tiles = tiles.filter("lo <> hi and homes and some" if asked else "lo <> hi and homes")
+    tiles = tiles.withColumn("blocks", F.ceil(F.col("rows") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("_cls"), F.col("blocks")).cast("int"))
+    tiles = tiles.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("key", "band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "home", "block", "asks", "_cls", "_n", "_comp")
+    return tiles.join(classes.select("_cls", "_sig"), "_cls").repartition(partitions, "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", id_column: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles long, component_id): one row for each row of `docs`, under the name of `id_column`.
 
@@ -237,13 +284,15 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_column: str = "do
 
     How: equal sets become one class. Each class sends its rarest shingles (a prefix of which linked sets share one), ordered by
     frequency over all texts, so common passages draw no candidates. Rows of one shingle and one band of sizes form a tile.
-    First a tile only tries each class with its first and with the one before; links found there join what is alike, and then
-    only rows of different components are compared: bitmaps bound the overlap, the sorted sets decide. A tile of many rows is
-    cut into pairs of blocks. So no group emits all its pairs, and none is met by one task whole.
+    First a tile only tries each class with its first, then each class asks for its best partners by signature in the tiles of
+    its commonest shingles; links found there join what is alike, and then only rows of different components are compared:
+    bitmaps bound the overlap, the sorted sets decide. A tile of many rows is cut into pairs of blocks. So no group of similar
+    texts emits all its pairs, and none is met by one task whole.
 
     Null and empty texts have an empty set and are linked with nothing; null ids stay and are never chosen as a component's id
     unless it has no other. Repeated rows each get a row; ids that occur with several texts link all of them only through their
-    sets. Extra columns are ignored. An empty table gives an empty result. Digests of sets and shingles have 64 bits.
+    sets. Extra columns are ignored. An empty table gives an empty result. Digests of sets and shingles have 64 bits, of which the last
+    comparison of two sets uses 48.
     """
     spark = docs.sparkSession
     common.tune(spark)
@@ -254,34 +303,27 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_column: str = "do
     classes = catalogue.filter("_sig is not null").select("_cls", "_n", "_sig").dropDuplicates(["_cls"])
     band = F.floor(F.log(F.col("_n").cast("double")) / math.log(100 / (percent - 0.01))).cast("int")
 
-    by_key = Window.partitionBy("key")
-    rows = catalogue.filter("_prefix is not null").select(F.explode("_prefix").alias("key"), "_cls", "_n")
-    rows = rows.withColumns({"lo": F.min("_cls").over(by_key), "hi": F.max("_cls").over(by_key)}).filter("lo <> hi").select("key", "_cls", "_n", band.alias("band"))
+    by_key, in_order = Window.partitionBy("key"), Window.partitionBy("key").orderBy("_n", "_cls")
+    rows = catalogue.filter("_prefix is not null").select(F.posexplode("_prefix").alias("pos", "key"), "_cls", "_n", (F.col("pos") >= F.size("_prefix") - LARGEST).alias("asks"))
+    rows = rows.withColumns({"again": F.lag("_cls").over(in_order) == F.col("_cls"), "lo": F.min("_cls").over(by_key), "hi": F.max("_cls").over(by_key)})
+    rows = rows.filter("lo <> hi and not coalesce(again, false)").select("key", "_cls", "_n", band.alias("band"), "asks")
     shared = common.saved(rows, f"{folder}/shared")
 
-    in_order = Window.partitionBy("key").orderBy("_n", "_cls")
-    first = Window.partitionBy("key", "band").orderBy("_n", "_cls")
-    tried = shared.withColumns({"before": F.lag(F.struct("_cls", "_n")).over(in_order), "first": F.first(F.struct("_cls", "_n")).over(first)})
-    other = F.explode(F.array("before", "first"))
-    tried = tried.select("_cls", "_n", other.alias("o")).filter(f"o._cls <> _cls and least(_n, o._n) * 100 >= {percent} * greatest(_n, o._n)")
+    leader = F.first(F.struct("_cls", "_n")).over(Window.partitionBy("key", "band").orderBy("_n", "_cls"))
+    tried = shared.select("_cls", "_n", leader.alias("o")).filter(f"o._cls <> _cls and least(_n, o._n) * 100 >= {percent} * greatest(_n, o._n)")
     tried = tried.select(F.least("_cls", "o._cls").alias("a"), F.greatest("_cls", "o._cls").alias("b")).distinct()
     links = _checked(docs, "_text", k, percent, tried, classes, f"{folder}/first")
-    joined = components(links, f"{folder}/components1")
-
-    tiles = shared.distinct().join(joined.withColumnRenamed("node", "_cls"), "_cls", "left").withColumn("_comp", F.coalesce("label", "_cls"))
-    seats = F.explode(F.array(F.struct(F.col("band"), F.lit(True).alias("home")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("home")))).alias("seat")
-    tiles = tiles.select("key", seats, "_cls", "_n", "_comp").select("key", "seat.*", "_cls", "_n", "_comp")
-    tile = Window.partitionBy("key", "band")
-    tiles = tiles.withColumns({"lo": F.min("_comp").over(tile), "hi": F.max("_comp").over(tile), "homes": F.max("home").over(tile), "rows": F.count("*").over(tile)}).filter("lo <> hi and homes")
-    blocks = F.ceil(F.col("rows") / TILE).cast("int")
-    tiles = tiles.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("_cls"), F.col("blocks")).cast("int"))
-    tiles = tiles.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("key", "band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "home", "block", "_cls", "_n", "_comp")
-    tiles = tiles.join(classes.select("_cls", "_sig"), "_cls").repartition(common.partitions(spark), "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
-    more = common.saved(_tile_pairs(tiles, percent).distinct(), f"{folder}/more")
-    if not more.isEmpty():
-        links = links.union(_checked(docs, "_text", k, percent, more, classes, f"{folder}/second"))
-        joined = components(links, f"{folder}/components2")
+    joined = components(links, f"{folder}/merged")
+
+    tried = common.saved(tried, f"{folder}/tried")
+    for step, best in enumerate((BEST, None)):
+        tiles = _tiles(shared, joined, classes, common.partitions(spark), best is not None)
+        more = _tile_pairs(tiles, percent, best).distinct().join(tried, ["a", "b"], "left_anti")
+        more = common.saved(more, f"{folder}/more{step}")
+        if not more.isEmpty():
+            links = links.union(_checked(docs, "_text", k, percent, more, classes, f"{folder}/checked{step}"))
+            joined = components(links, f"{folder}/components{step}")
+            tried = tried.union(more)
 
     members = catalogue.select(F.col("_id"), F.col("_n"), F.col("_cls")).join(joined.withColumnRenamed("node", "_cls"), "_cls", "left").withColumn("label", F.coalesce("label", "_cls"))
     least = members.filter("_n > 0").groupBy("label").agg(F.min("_id").alias("least"))
