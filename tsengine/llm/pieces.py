@@ -14,7 +14,9 @@ from . import common
 
 SPACE = "▁"
 #: Entries of one generation of a worker's memory of encoded words; two generations are kept.
-WORDS_REMEMBERED = 150_000
+WORDS_REMEMBERED = 60_000
+#: Bytes of texts that are encoded at a time.
+TEXT_BYTES = 1 << 20
 _codecs: dict[str, "Codec"] = {}
 
 
@@ -212,6 +214,11 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", end_id:
         fields += [common.field(c, "array<int>") for c in ("piece_ids", "piece_begin", "piece_end")]
 
     def make(rb: pa.RecordBatch) -> list:
+        # runs of rows: while texts are encoded, their pieces are Python objects
+        parts = [some(rb.slice(a, b - a)) for a, b, _, _ in common.text_chunks(rb, text, TEXT_BYTES)]
+        return [pa.concat_arrays(x) for x in zip(*parts)]
+
+    def some(rb: pa.RecordBatch) -> list:
         c = codec(model_path)
         texts = common.strings(rb, text)
         end = c.library.eos_id()
