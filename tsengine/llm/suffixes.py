@@ -17,7 +17,7 @@ GRAM = 32
 #: Bits of a position in a packed (hash, position) value; texts are anchored in pieces of at most that many bytes.
 POSITION_BITS = 22
 #: Bytes of contexts that one block of suffix sorting holds.
-BLOCK = 3 << 20
+BLOCK = 1 << 20
 #: Starts that one sort takes; a block with more goes slice by slice of distances to the anchor.
 STARTS = 400_000
 #: An anchor with more occurrences than this, and than one in HOT_SHARE of all, is dealt out by more than its hash; so many of
@@ -26,8 +26,10 @@ HOT = 2000
 HOT_SHARE = 1 << 16
 #: Distances to a hot anchor that stay together.
 SLICE = 24
+#: Bytes of texts that are anchored at a time; arrays with several words for each byte are made.
+TEXT_BYTES = 1 << 20
 #: Contexts that a task remembers, so that it sends a repeated one once.
-CONTEXTS_REMEMBERED = 100_000
+CONTEXTS_REMEMBERED = 20_000
 #: A perfect difference cover: every distance mod PERIOD is a difference of two of these. Fixed values.
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 PERIOD = 57
@@ -199,7 +201,7 @@ def _contexts(docs: DataFrame, length: int, sent, hot) -> DataFrame:
     """One row for each context (the bytes under the strings of a repeated anchor) of a task, with the texts that hold it.
 
     key: what equal strings share; anchor: place of the anchor in the context; many: strings in it; twice: it occurs at several
-    places of this task, so all its strings are repeats; holders: (text digest, start) pairs as bytes.
+    places of this task, so all its strings are repeats; holders: the distinct (text digest, start) pairs, as bytes.
 
     The key is the anchor's hash. For a hot anchor, strings are dealt by their distance to it, SLICE distances together, and the
     key is a hash of the bytes that all strings of such a slice have in common, so that no task meets all contexts of the anchor.
@@ -212,19 +214,20 @@ def _contexts(docs: DataFrame, length: int, sent, hot) -> DataFrame:
             rows = list(held.values())
             held.clear()
             col = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.int32(), pa.int32()))]
-            col += [pa.array([len(r[4]) > 1 for r in rows], pa.bool_()), pa.array([np.array(r[4], np.int64).tobytes() for r in rows], pa.binary())]
+            col += [pa.array([r[5] > 1 for r in rows], pa.bool_()), pa.array([np.array(sorted(r[4]), np.int64).tobytes() for r in rows], pa.binary())]
             return pa.RecordBatch.from_arrays(col, names=["key", "context", "anchor", "many", "twice", "holders"])
 
         def add(key: int, context: bytes, anchor: int, many: int, place: tuple[int, int]):
             name = key.to_bytes(8, "little", signed=True) + anchor.to_bytes(4, "little", signed=True) + hashlib.blake2b(context, digest_size=16).digest()
             if name in held:
-                held[name][4].append(place)
+                held[name][4].add(place)
+                held[name][5] += 1
             else:
-                held[name] = [key, context, anchor, many, [place]]
+                held[name] = [key, context, anchor, many, {place}, 1]
 
         for rb in batches:
             digests = rb.column(rb.schema.get_field_index("_digest")).to_numpy()
-            for lo, _, data, offsets in common.text_chunks(rb, "_text"):
+            for lo, _, data, offsets in common.text_chunks(rb, "_text", TEXT_BYTES):
                 row, key, anchor, first, last = anchors(data, offsets, length)
                 keep = common.in_bloom(sent.value, key)
                 row, key, anchor, first, last = (x[keep] for x in (row, key, anchor, first, last))
@@ -242,6 +245,7 @@ def _contexts(docs: DataFrame, length: int, sent, hot) -> DataFrame:
                 if len(held) > CONTEXTS_REMEMBERED:
                     yield flush()
         yield flush()
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, "key long, context binary, anchor int, many int, twice boolean, holders binary")
 
@@ -306,6 +310,7 @@ def _ranges(contexts: DataFrame, length: int) -> DataFrame:
                 t, key = t.slice(stop), key[stop:]
         if held:
             yield block(pa.concat_tables(held))
+        pa.default_memory_pool().release_unused()
 
     return contexts.mapInArrow(run, "digest long, ranges binary")
 
@@ -334,7 +339,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, keep=
 
     def count(batches):
         for rb in batches:
-            for _, _, data, offsets in common.text_chunks(rb, "_text"):
+            for _, _, data, offsets in common.text_chunks(rb, "_text", TEXT_BYTES):
                 key, times = np.unique(anchors(data, offsets, length)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(times, pa.int64())], names=["key", "n"])
 
@@ -352,7 +357,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, keep=
     rows = rows.withColumn("_digest", F.xxhash64("_text"))
     own = [c for c in rows.columns if c.startswith("k")]
     maybe = common.append_columns(rows.select("_digest", *own, "_text"), lambda rb: [pa.array(common.in_bloom(hit.value, rb.column(0).to_numpy().view(np.uint64)))], [common.field("_hit", "boolean")])
-    per_text = ranges.groupBy("digest").agg(F.collect_list("ranges").alias("_ranges"))
+    per_text = ranges.groupBy("digest").agg(F.collect_set("ranges").alias("_ranges"))
     touched = maybe.filter("_hit").join(per_text.withColumnRenamed("digest", "_digest"), "_digest", "left").select(*own, "_text", "_ranges")
     whole = maybe.filter("not _hit").select(*own, "_text", F.lit(None).cast("array<binary>").alias("_ranges"))
 
