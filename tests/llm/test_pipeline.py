@@ -51,5 +51,19 @@ def test_repeated_and_null_ids(spark):
     assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 3, 4]
 
 
+def test_copies_are_told_by_row(spark):
+    t, u = "one two three four five six seven eight nine ten", "of all that was here nothing else is left to see now"
+    v = "red green blue white black brown grey pink teal gold"
+    rows = [(5, t), (5, u), (5, "a b c d e f g h"), (2, t + " x"), (None, v), (None, v + " y"), (None, v), (None, u), (7, "m n o p q r s t"), (7, "m n o p q r s t"), (8, " "), (8, None), (8, None), (None, ""), (None, "")]
+    d = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = stages.one_of_each_group(spark, d, "")
+    assert got.columns == d.columns
+    found = sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect())
+    of_v = [x for x in found if x[1].startswith("red")]
+    assert len(of_v) == 1 and of_v[0][0] == "None"
+    want = [(5, u), (5, "a b c d e f g h"), (2, t + " x"), (7, "m n o p q r s t"), (8, " "), (8, None), (None, ""), (None, "")]
+    assert sorted(set(found) - set(of_v)) == sorted({(str(i), str(x)) for i, x in want}) and len(found) == len(want) + 1
+
+
 def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontaminate", "secrets", "pieces"]

@@ -275,9 +275,13 @@ def _tiles(shared: DataFrame, joined: DataFrame, classes: DataFrame, partitions:
     return tiles.join(classes.select("_cls", "_sig"), "_cls").repartition(partitions, "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", id_column: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", id_column: str = "doc_id", k: int = 5, percent: int = 80, row_keys: bool = False) -> DataFrame:
     """(id, n_shingles long, component_id): one row for each row of `docs`, under the name of `id_column`.
 
+    row_keys: also text_key long, the xxhash64 of the text, and first boolean: whether the row's id (nulls last) and text_key are
+    the least of its component, true without words. Components are told apart by their links here, not by component_id, which
+    two may share if an id occurs with several texts.
+
     A text's set is its distinct runs of k words (the whole sequence if it has fewer; none without words), words being what
     blanks, tabs, line feeds, VT, FF and CR separate, A-Z lower-cased. Two texts link when 100 * intersection >= percent *
     union; component_id is the smallest id that links reach.
@@ -297,7 +301,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_column: str = "do
     spark = docs.sparkSession
     common.tune(spark)
     folder = common.shared_dir(spark)
-    docs = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"))
+    docs = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"), *([F.xxhash64(F.col(text)).alias("_key")] if row_keys else []))
     frequency = spark.sparkContext.broadcast(_frequencies(docs, "_text", k))
     catalogue = common.saved(_catalogue(docs, "_text", k, percent, frequency), f"{folder}/catalogue")
     classes = catalogue.filter("_sig is not null").select("_cls", "_n", "_sig").dropDuplicates(["_cls"])
@@ -325,8 +329,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_column: str = "do
             joined = components(links, f"{folder}/components{step}")
             tried = tried.union(more)
 
-    members = catalogue.select(F.col("_id"), F.col("_n"), F.col("_cls")).join(joined.withColumnRenamed("node", "_cls"), "_cls", "left").withColumn("label", F.coalesce("label", "_cls"))
-    least = members.filter("_n > 0").groupBy("label").agg(F.min("_id").alias("least"))
-    linked = members.filter("_n > 0").join(least, "label").select("_id", "_n", F.col("least").alias("component_id"))
-    alone = members.filter("_n = 0").select("_id", "_n", F.col("_id").alias("component_id"))
-    return linked.union(alone).select(F.col("_id").alias(id_column), F.col("_n").alias("n_shingles"), "component_id")
+    keys = ["_key"] if row_keys else []
+    members = catalogue.select("_id", "_n", "_cls", *keys).join(joined.withColumnRenamed("node", "_cls"), "_cls", "left").withColumn("label", F.coalesce("label", "_cls"))
+    row = F.struct(F.col("_id").isNull().alias("none"), "_id", *keys)
+    least = members.filter("_n > 0").groupBy("label").agg((F.min(row) if row_keys else F.struct(F.min("_id").alias("_id"))).alias("least"))
+    more = lambda first: [F.col("_key").alias("text_key"), first.alias("first")] if row_keys else []
+    linked = members.filter("_n > 0").join(least, "label").select("_id", "_n", F.col("least._id").alias("component_id"), *more(row == F.col("least")))
+    alone = members.filter("_n = 0").select("_id", "_n", F.col("_id").alias("component_id"), *more(F.lit(True)))
+    return linked.union(alone).withColumnsRenamed({"_id": id_column, "_n": "n_shingles"})

@@ -5,7 +5,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common, decontaminate, jaccard, pieces, quality, secrets
 
@@ -20,16 +19,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five words, 0.8), once; the others go.
+    """Of each group of near copies (five words, 0.8) the row with the smallest id, nulls last, and of one id's texts the one with
+    the smallest hash, once; the others go, and so do repeats of an id with the same text.
 
-    Only documents whose id is among the dropped or repeated ones, or may be by a Bloom filter of fixed size, are shuffled.
-    Documents without an id stay.
+    Groups are of rows, not of ids: texts of one id that are no near copies all stay. Texts without words are copies of nothing;
+    with a null id every one of them stays. Only rows whose id and text are among the dropped or repeated ones, or may be by a
+    Bloom filter of fixed size, are shuffled; repeats are merged before the shuffle.
     """
     folder = common.shared_dir(spark)
-    groups = common.saved(jaccard.jaccard_components(docs, k=5, percent=80).select("doc_id", "component_id"), f"{folder}/groups")
-    ids = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
-    special = ids.filter("n > 1 or component_id < doc_id").select(F.col("doc_id").alias("_id"), (F.col("component_id") < F.col("doc_id")).alias("_gone"))
-    special = common.saved(special.withColumn("_h", F.xxhash64("_id")), f"{folder}/special")
+    groups = common.saved(jaccard.jaccard_components(docs, k=5, percent=80, row_keys=True), f"{folder}/groups")
+    rows = groups.filter("doc_id is not null or n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count("*").alias("n"), F.min("first").alias("first"))
+    special = rows.filter("n > 1 or not first").select("_id", "_key", (~F.col("first")).alias("_gone"))
+    special = common.saved(special.withColumn("_h", F.xxhash64("_id", "_key")), f"{folder}/special")
     sent = spark.sparkContext.broadcast(common.bloom(special, "_h"))
     names = docs.columns
 
@@ -40,12 +41,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         h = rb.column(rb.schema.get_field_index("_h")).to_numpy(zero_copy_only=False)
         return [pa.array(common.in_bloom(sent.value, h.astype(np.int64).view(np.uint64)))]
 
-    marked = common.append_columns(docs.withColumn("_h", F.xxhash64("doc_id")), test, [common.field("_maybe", "boolean")])
-    through = marked.filter("not _maybe or doc_id is null").select(names)
-    checked = marked.filter("_maybe and doc_id is not null").join(special.select("_id", "_gone"), F.col("doc_id") == F.col("_id"), "left").filter("_gone is null or not _gone")
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    once = checked.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select(names)
-    return through.union(once)
+    keyed = docs.withColumn("_key", F.xxhash64("text")).withColumn("_h", F.xxhash64("doc_id", "_key"))
+    marked = common.append_columns(keyed, test, [common.field("_maybe", "boolean")])
+    free = F.col("doc_id").isNull() & F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*\z")
+    through = marked.filter(~F.col("_maybe") | free).select(names)
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    asked = marked.filter(F.col("_maybe") & ~free).select(F.col("doc_id").alias("_id"), "_key", row.alias("_row"), F.lit(None).cast("boolean").alias("_gone"))
+    told = special.select("_id", "_key", F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), "_gone")
+    once = asked.union(told).groupBy("_id", "_key").agg(F.min("_row").alias("_row"), F.max("_gone").alias("_gone"))
+    return through.union(once.filter("_row is not null and not coalesce(_gone, false)").select("_row.*"))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
