@@ -3,6 +3,8 @@
 import json
 
 import numpy as np
+from pyspark.sql import functions as F
+
 from tsengine.model import HOUR
 from tsengine.plans.analysis import analyse
 from tsengine.sources import exports
@@ -38,3 +40,26 @@ def test_exports(spark):
     assert sorted(map(tuple, exports.append_later(old, new).collect())) == [("a", 5, 1.0), ("a", 6, 3.0), ("b", 1, 4.0)]
     avg = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 3.0)], "sensor string, slot long, value double")
     assert json.loads(exports.processed_json(avg, avg.limit(1)).first()["json"]) == [[1, 2, 2]]
+
+
+def test_queries_take_every_sensor_and_day(spark):
+    from tsengine.plans import queries
+
+    sf = "/root/testdata/sf0.01"
+    sensors = {r["sensor"] for r in queries.events(spark, sf).select("sensor").distinct().collect()}
+    assert {r["effect"] for r in queries.explained_peaks(spark, sf).select("effect").distinct().collect()} == sensors
+    points = {}
+    for r in queries.events(spark, sf).filter(F.col("t").between(queries.START, queries.END - 1)).collect():
+        points.setdefault(r["sensor"], {}).setdefault(r["t"], []).append(r["value"])
+    got = {}
+    for r in queries.upsampled(spark, sf).collect():
+        got.setdefault(r["sensor"], []).append((r["t"], r["value"]))
+    grid = np.arange(queries.START, queries.END + 1, 600_000_000)
+    assert set(got) == sensors
+    for sensor, rows in got.items():
+        at = {queries.START: 0.0, queries.END: 0.0} | {t: sum(v) / len(v) for t, v in points[sensor].items()}
+        t = np.array(sorted(at))
+        rows.sort()
+        assert [x for x, _ in rows] == grid.tolist()
+        want = np.interp((grid - queries.START).astype(float), (t - queries.START).astype(float), [at[x] for x in t.tolist()])
+        assert np.allclose([v for _, v in rows], want)

@@ -238,8 +238,7 @@ def regularised(spark, sf):
 
 @query()
 def upsampled(spark, sf):
-    r = align.in_range(events(spark, sf), START, START + DAY)
-    return clean.upsample(r, 10 * MINUTE, START, START + DAY)
+    return clean.upsample(align.in_range(events(spark, sf), START, END), 10 * MINUTE, START, END)
 
 
 @query()
@@ -677,11 +676,11 @@ def set_ops(spark, sf):
 
 @query()
 def explained_peaks(spark, sf):
-    """The whole analysis of the events: ranked causes of two sensors' peaks."""
+    """The whole analysis of the events: ranked causes of every sensor's peaks."""
     from .analysis import analyse
 
     r = events(spark, sf)
-    names = [x["sensor"] for x in r.select("sensor").distinct().orderBy("sensor").limit(2).collect()]
+    names = [x["sensor"] for x in r.select("sensor").distinct().orderBy("sensor").collect()]
     return analyse(r, START, END, DAY, names).ranked
 
 
