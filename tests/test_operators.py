@@ -99,6 +99,30 @@ def test_nearest_and_linear(spark):
     assert column(ordered.linear_interpolation(points, asked), "t", "value") == [-10, 5, 20, 50]
 
 
+@pytest.mark.parametrize("q, noise", [(0.1, 1.0), (0.0, 2.0)])
+def test_kalman_in_chunks(spark, q, noise):
+    r = np.random.default_rng(8)
+    rows = [(s, int(t), float(v)) for s, n in (("a", 900), ("b", 1)) for t, v in zip(r.integers(0, 3000, n), r.normal(0, 5, n))]
+    df = spark.createDataFrame(rows, "sensor string, t long, value double")
+    out = clean.kalman(df, q, noise, rows=40)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    got = [(x["sensor"], x["t"], x["value"], x["smoothed"]) for x in out.collect()]
+    want = []
+    for s in "ab":
+        x, p = None, 1.0
+        for t, v in sorted((t, v) for z, t, v in rows if z == s):
+            if x is None:
+                x = v
+            else:
+                p += q
+                k = p / (p + noise)
+                x, p = x + k * (v - x), (1 - k) * p
+            want.append((s, t, v, x))
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got), want):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=1e-9)
+
+
 def test_chunked_previous_equals_plain(spark):
     r = np.random.default_rng(5)
     rows = [(s, int(t), float(i)) for i, (s, t) in enumerate(zip(r.choice(["a", "b"], 400), r.integers(0, 100_000, 400)))]

@@ -168,18 +168,75 @@ def downsample(r: DataFrame, rows: int = 600) -> DataFrame:
     return r.withColumn("block", block).groupBy("sensor", "block").agg(F.min("t").alias("t"), (F.sum("value") / rows).alias("value"))
 
 
-def kalman(r: DataFrame, q: float, noise: float) -> DataFrame:
-    """Readings with smoothed: a one-dimensional Kalman filter (first state the first value, first variance 1), folded over each
-    sensor's values in time order inside the JVM. A sensor's readings meet in one row: split long series by time before."""
-    series = r.groupBy("sensor").agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("s"))
-    begin = F.struct(F.col("s")[0]["value"].alias("x"), F.lit(1.0).alias("p"), F.array().cast("array<double>").alias("out"))
-
-    def step(state, point):
-        p = state["p"] + q
-        k = p / (p + noise)
-        x = state["x"] + k * (point["value"] - state["x"])
-        return F.struct(x.alias("x"), ((1 - k) * p).alias("p"), F.concat(state["out"], F.array(x)).alias("out"))
-
-    later = F.aggregate(F.slice("s", F.lit(2), F.size("s")), begin, step)["out"]
-    rows = series.select("sensor", F.explode(F.arrays_zip(F.col("s").alias("s"), F.concat(F.array(F.col("s")[0]["value"]), later).alias("x"))).alias("z"))
-    return rows.select("sensor", "z.s.t", "z.s.value", F.col("z.x").alias("smoothed"))
+def _kalman_variance(q: float, noise: float, steps: int) -> float:
+    """The filter's variance after so many updates from 1: each is the linear fraction noise (p + q) / (p + q + noise), so the
+    steps are a power of a 2 x 2 matrix."""
+    import numpy as np
+
+    one, all_ = np.array([[noise, noise * q], [1.0, q + noise]]), np.eye(2)
+    while steps:
+        if steps & 1:
+            all_ = one @ all_
+            all_ /= all_.max()
+        one = one @ one
+        one /= one.max()
+        steps >>= 1
+    return float((all_[0, 0] + all_[0, 1]) / (all_[1, 0] + all_[1, 1]))
+
+
+def kalman(r: DataFrame, q: float, noise: float, rows: int = 20_000) -> DataFrame:
+    """Readings with smoothed: a one-dimensional Kalman filter (first state the first value, first variance 1) over each sensor's
+    values in order of t and value.
+
+    Gains depend on the number of the step only, so a run of readings takes a state x to a x + b. Each sensor is cut by
+    quantiles of t into at most 1,000 chunks of about `rows` readings; one (a, b) a chunk gives the state with which each
+    chunk begins, and then every chunk is finished on its own. Readings of one time stay in one chunk.
+    """
+    import pandas as pd
+
+    share = [i / 1000 for i in range(1, 1000)]
+    edges = r.groupBy("sensor").agg(F.ceil(F.count("*") / rows).alias("_n"), F.percentile_approx("t", share, 10_000).alias("_at"))
+    # of 999 quantiles every so many, for the number of chunks wanted
+    some = F.filter("_at", lambda x, i: F.floor((i + 1) * F.col("_n") / 1000) > F.floor(i * F.col("_n") / 1000))
+    edges = edges.select("sensor", F.array_distinct(some).alias("_at"))
+    cut = r.join(edges, "sensor").select("sensor", "t", "value", F.size(F.filter("_at", lambda x: x <= F.col("t"))).alias("_chunk"))
+    order = Window.partitionBy("sensor").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy("sensor", "_chunk").agg(F.count("*").alias("_c"))
+    begin = counts.select("sensor", "_chunk", F.coalesce(F.sum("_c").over(order), F.lit(0)).cast("long").alias("_done"))
+
+    def fold(t: pd.DataFrame, x: float):
+        """a, b and the states of a chunk that begins with x."""
+        t = t.sort_values(["t", "value"], na_position="first")
+        done, values, a, out = int(t["_done"].iloc[0]), t["value"].tolist(), 1.0, []
+        if not done:
+            x, a = values[0], 0.0
+            out.append(x)
+        p = _kalman_variance(q, noise, max(done - 1, 0))
+        for v in values[len(out) :]:
+            p += q
+            k = p / (p + noise)
+            x += k * (v - x)
+            p *= 1 - k
+            a *= 1 - k
+            out.append(x)
+        return t, a, out
+
+    def compose(t: pd.DataFrame) -> pd.DataFrame:
+        _, a, out = fold(t, 0.0)
+        return t[["sensor", "_chunk"]].head(1).assign(_a=a, _b=out[-1])
+
+    def carry(t: pd.DataFrame) -> pd.DataFrame:
+        t, x, out = t.sort_values("_chunk"), 0.0, []
+        for a, b in zip(t["_a"].tolist(), t["_b"].tolist()):
+            out.append(x)
+            x = a * x + b
+        return t[["sensor", "_chunk"]].assign(_x=out)
+
+    def finish(t: pd.DataFrame) -> pd.DataFrame:
+        t, _, out = fold(t, float(t["_x"].iloc[0]))
+        return t[["sensor", "t", "value"]].assign(smoothed=out)
+
+    numbered = cut.join(begin, ["sensor", "_chunk"])
+    steps = numbered.groupBy("sensor", "_chunk").applyInPandas(compose, "sensor string, _chunk int, _a double, _b double")
+    states = steps.groupBy("sensor").applyInPandas(carry, "sensor string, _chunk int, _x double")
+    return numbered.join(states, ["sensor", "_chunk"]).groupBy("sensor", "_chunk").applyInPandas(finish, "sensor string, t long, value double, smoothed double")
