@@ -202,6 +202,18 @@ def test_exact_kmeans_is_best():
         assert cost(list(cuts)) == pytest.approx(best)
 
 
+def test_states_beside_a_far_outlier(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    values = np.unique(np.concatenate([np.round(r.uniform(a, a + 1, 900), 4) for a in (0, 500)] + [[1e6]]))
+    label, centres = states.discover(values, np.ones(len(values)), 6)
+    assert len(centres) >= 3 and label[values < 10].max() < label[(values > 10) & (values < 1000)].min() and (label == label[-1]).sum() == 1
+    df = slots(spark, values.tolist())
+    for most in (states.MOST_LEVELS, 1024):  # as they are, and in levels
+        monkeypatch.setattr(states, "MOST_LEVELS", most)
+        got = {x["value"]: x["label"] for x in states.value_states(df, ["sensor"]).collect()}
+        assert [got[v] for v in values.tolist()] == label.tolist()
+
+
 def ranges(spark, rows):
     return spark.createDataFrame([("u", a, b) for a, b in rows], "uuid string, start_ns long, end_ns long")
 
