@@ -214,6 +214,32 @@ def test_states_beside_a_far_outlier(spark, monkeypatch):
         assert [got[v] for v in values.tolist()] == label.tolist()
 
 
+def test_irregular_events_are_smoothed(spark):
+    r = np.random.default_rng(9)
+    t = np.cumsum(r.integers(1, 9, 3000)) * 1_000_000_000  # over several chunks of thirty days
+    v = np.cumsum(np.where(r.random(3000) < 0.05, 100.0, 0.0) + np.round(r.random(3000), 2))
+    v[1] = v[0] + 100  # the first row takes the second's label
+    rows = [("many", int(a), float(b)) for a, b in zip(t, v)] + [("few", i, float(i % 30 == 7)) for i in range(900)] + [("once", i, float(i * i % 400)) for i in range(4)]
+    df = spark.createDataFrame(rows, "sensor string, t long, value double")
+    got = {}
+    for x in states.irregular_events(df).collect():
+        got.setdefault(x["sensor"], []).append((x["t"], x["event"]))
+    raw = {}
+    for x in states.raw_events(df).collect():
+        raw.setdefault(x["sensor"], []).append((x["t"], x["event"]))
+    assert sorted(got["few"]) == sorted(raw["few"]) == [(i, float(i % 30 == 7)) for i in range(900)]
+    assert sorted(got["once"]) == sorted(raw["once"])
+    label = np.array([e for _, e in sorted(raw["many"])], float)
+    change = np.abs(np.diff(v))
+    assert label.tolist() == (np.r_[change[0], change] > 50).astype(float).tolist()
+    gap = np.diff(t[label == 1])
+    width = int((gap.min() + (gap.mean() - gap.min()) * math.log(2)) / ((t[-1] - t[0]) / len(t)))
+    width += width % 2 == 0
+    body = np.convolve(label, np.ones(width), "valid") / width
+    want = np.r_[np.full(width // 2, body[0]), body, np.full(width // 2, body[-1])]
+    assert width > 3 and np.allclose([e for _, e in sorted(got["many"])], want)
+
+
 def ranges(spark, rows):
     return spark.createDataFrame([("u", a, b) for a, b in rows], "uuid string, start_ns long, end_ns long")
 

@@ -27,6 +27,19 @@ def with_previous(df: DataFrame, keys: Sequence[str], values: Sequence[str], ord
     return joined.select(*df.columns, *[prev[v].alias(f"prev_{v}") for v in values])
 
 
+def with_totals(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str] = ("t",), chunk: int = 30 * DAY) -> DataFrame:
+    """`df` with place, the number of the row in its key by `order` (from 1; its first column is an integer time), and total, the
+    sum of `value` up to the row; counted in chunks of time as in `with_previous`."""
+    cut = df.withColumn("_chunk", F.floor(F.col(order[0]) / F.lit(chunk)))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    inside = cut.withColumn("_i", F.row_number().over(w)).withColumn("_s", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = cut.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"), F.sum(value).alias("_v"))
+    past = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_n"), F.coalesce(F.sum("_v").over(past), F.lit(0)).alias("_v"))
+    joined = inside.join(before, [*keys, "_chunk"])
+    return joined.select(*df.columns, (F.col("_i") + F.col("_n")).alias("place"), (F.col("_s") + F.col("_v")).alias("total"))
+
+
 def first_difference(r: DataFrame) -> DataFrame:
     """Readings with diff, the value less the one before; null for a sensor's first."""
     return with_previous(r, ["sensor"], ["value"], ["t", "value"]).withColumn("diff", F.col("value") - F.col("prev_value")).drop("prev_value")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsengine.model import settled
+
 from . import ordered
 
 PEAK, MIDDLE, LOW = 1, 0, -1
@@ -167,17 +169,45 @@ def exponential_quantile(gaps: DataFrame, keys: list[str], alpha: float) -> Data
     return gaps.groupBy(*keys).agg((F.min("gap") - (F.avg("gap") - F.min("gap")) * float(np.log(1 - alpha))).alias("quantile"))
 
 
-def irregular_events(r: DataFrame, most: int = 6, few: int = 10) -> DataFrame:
-    """(sensor, t, event): of sensors with fewer than `few` levels the rarest value is the event (the smallest of equally rare);
-    else the absolute differences are clustered and those of the top cluster are."""
+def raw_events(r: DataFrame, most: int = 6, few: int = 10) -> DataFrame:
+    """(sensor, t, value, levels, event 0/1): of sensors with fewer than `few` levels the rarest value is the event (the smallest of
+    equally rare); else the absolute differences are clustered and those of the top cluster are. A sensor's first row, which has
+    no difference, takes the second's."""
     levels = r.groupBy("sensor", "value").agg(F.count("*").alias("n"))
     kinds = levels.groupBy("sensor").agg(F.count("*").alias("levels"), F.min_by("value", F.struct("n", "value")).alias("rarest"))
     d = ordered.first_difference(r).withColumn("change", F.abs("diff")).join(kinds, "sensor")
     many = d.filter(F.col("levels") >= few)
     top = value_states(many, ["sensor"], "change", most).filter("label = n_states - 1 and n_states > 1")
     top = top.groupBy("sensor").agg(F.min("value").alias("least_change"))
+    second = many.filter("change is not null").groupBy("sensor").agg(F.min_by("change", F.struct("t", "value", -F.col("change"))).alias("second"))
+    d = d.join(second, "sensor", "left").withColumn("change", F.coalesce("change", "second"))
     event = F.when(F.col("levels") < few, F.col("value") == F.col("rarest")).otherwise(F.coalesce(F.col("change") >= F.col("least_change"), F.lit(False)))
-    return d.join(top, "sensor", "left").select("sensor", "t", event.cast("int").alias("event"))
+    return d.join(top, "sensor", "left").select("sensor", "t", "value", "levels", event.cast("int").alias("event"))
+
+
+def irregular_events(r: DataFrame, most: int = 6, few: int = 10, alpha: float = 0.5) -> DataFrame:
+    """(sensor, t, event double): `raw_events`; of sensors with more than ten levels and more than ten gaps between events the
+    centred mean of that label, the ends taking the nearest full window's.
+
+    The window is the alpha quantile of an exponential law fitted to the gaps between events over the mean interval of readings
+    (span over count), whole rows, an even number one more. Means are differences of running totals that are joined by place, so
+    windows may differ by sensor and no sensor meets in one task.
+    """
+    found = settled(raw_events(r, most, few))
+    gaps = ordered.inter_arrival(found.filter("event = 1").select("sensor", "t", "value")).filter("gap is not null")
+    law = gaps.groupBy("sensor").agg(F.count("*").alias("gaps")).join(exponential_quantile(gaps, ["sensor"], alpha), "sensor")
+    span = found.groupBy("sensor").agg((F.max("t") - F.min("t")).alias("span"), F.count("*").alias("n"), F.first("levels").alias("levels"))
+    rows = F.floor(F.col("quantile") * F.col("n") / F.col("span"))
+    half = span.join(law, "sensor").filter("gaps > 10 and levels > 10 and span > 0").select("sensor", "n", F.floor(rows / 2).alias("half"))
+    placed = settled(ordered.with_totals(found.select("sensor", "t", "value", "event"), ["sensor"], "event", ["t", "value", "event"]))
+    totals = placed.select("sensor", "place", "total")
+    at = lambda c: totals.select("sensor", F.col("place").alias(c), F.col("total").alias(f"_{c}"))
+    middle = F.greatest(F.least(F.greatest(F.col("place"), F.col("half") + 1), F.col("n") - F.col("half")), F.lit(1))
+    asked = placed.join(F.broadcast(half), "sensor", "left").withColumn("_middle", middle)
+    asked = asked.withColumns({"hi": F.least(F.col("_middle") + F.col("half"), F.col("n")), "lo": F.greatest(F.col("_middle") - F.col("half") - 1, F.lit(0))})
+    both = asked.join(at("hi"), ["sensor", "hi"], "left").join(at("lo"), ["sensor", "lo"], "left")
+    mean = (F.col("_hi") - F.coalesce("_lo", F.lit(0))) / (F.col("hi") - F.col("lo"))
+    return both.select("sensor", "t", F.coalesce(mean, F.col("event").cast("double")).alias("event"))
 
 
 def binary_table(events: DataFrame, cut: float, remove_repeats: bool = True) -> DataFrame:
