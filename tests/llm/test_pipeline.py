@@ -65,5 +65,19 @@ def test_copies_are_told_by_row(spark):
     assert sorted(set(found) - set(of_v)) == sorted({(str(i), str(x)) for i, x in want}) and len(found) == len(want) + 1
 
 
+def test_last_stage_keeps_the_decoded_text(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    texts = ["one  two\tthree", "", None, "ñandú 密码 😀 <s>", "a long text " * 200_000, "end\n"]
+    d = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    got = {r["doc_id"]: r for r in stages.encode(spark, d, "").collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert len(got) == len(texts)
+    for i, x in enumerate(texts):
+        ids = library.encode(x or "") + [library.eos_id()]
+        assert got[i]["piece_ids"] == ids and got[i]["decoded"] == library.decode(ids)
+
+
 def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontaminate", "secrets", "pieces"]

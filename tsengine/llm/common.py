@@ -70,10 +70,12 @@ def append_columns(
     make: Callable[[pa.RecordBatch], list],
     fields: list[T.StructField],
     keep: Sequence[str] | None = None,
+    parts: Callable[[pa.RecordBatch], list] | None = None,
 ) -> DataFrame:
     """Adds columns computed per Arrow batch, without a shuffle.
 
     make: gets a batch of `df`, returns one Arrow array for each of `fields`. keep: input columns to return (default: all).
+    parts: cuts a batch into smaller ones, each of which is made and returned before the next.
     An input column named like one of `fields` is replaced by it.
     """
     tune(df.sparkSession)
@@ -83,8 +85,8 @@ def append_columns(
     schema = T.StructType([df.schema[c] for c in kept] + fields)
 
     def run(batches):
-        for rb in batches:
-            if rb.num_rows:
+        for whole in batches:
+            for rb in (parts(whole) if parts else [whole]) if whole.num_rows else []:
                 cols = make(rb)
                 yield pa.RecordBatch.from_arrays([rb.column(rb.schema.get_field_index(c)) for c in kept] + list(cols), names=kept + new)
 

@@ -213,12 +213,11 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", end_id:
     elif spans:
         fields += [common.field(c, "array<int>") for c in ("piece_ids", "piece_begin", "piece_end")]
 
-    def make(rb: pa.RecordBatch) -> list:
-        # runs of rows: while texts are encoded, their pieces are Python objects
-        parts = [some(rb.slice(a, b - a)) for a, b, _, _ in common.text_chunks(rb, text, TEXT_BYTES)]
-        return [pa.concat_arrays(x) for x in zip(*parts)]
+    def parts(rb: pa.RecordBatch):
+        # runs of rows: while texts are encoded, their pieces are Python objects, and pieces are larger than texts
+        return (rb.slice(a, b - a) for a, b, _, _ in common.text_chunks(rb, text, TEXT_BYTES))
 
-    def some(rb: pa.RecordBatch) -> list:
+    def make(rb: pa.RecordBatch) -> list:
         c = codec(model_path)
         texts = common.strings(rb, text)
         end = c.library.eos_id()
@@ -243,4 +242,4 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", end_id:
             cols += [pa.array([more(x[k], n).astype(np.int32) for x, n in zip(found, size)], pa.list_(pa.int32())) for k in (2, 3)]
         return cols
 
-    return common.append_columns(docs, make, fields, keep)
+    return common.append_columns(docs, make, fields, keep, parts)

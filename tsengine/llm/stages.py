@@ -65,7 +65,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, piece ids and the bytes of the source under each."""
+    """doc_id, lang, source, n_tokens, the decoded text, piece ids and the bytes of the source under each."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     keep = [c for c in docs.columns if c in ("doc_id", "lang", "source")]
-    return pieces.encode_pieces(docs, path, keep=keep).drop("decoded")
+    return pieces.encode_pieces(docs, path, keep=keep)
