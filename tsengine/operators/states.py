@@ -136,7 +136,8 @@ def value_states(df: DataFrame, keys: list[str], value: str = "value", most: int
     Only counts of distinct values go to a key's task, so a sensor's readings never meet in one task. Up to MOST_LEVELS distinct
     values of a key are split with the least squared error. More are first gathered into levels, by their count and their
     distance; counts, sums and squares of the levels are true ones, so the split is the best of those that keep levels whole:
-    each cut lies at most one level (a 1 / 16,384 of the range, and about as much of the distinct values) from that of some best split.
+    it is no
+    worse than a best split with its cuts moved to the edges of levels, each of which spans at most 1 / 16,384 of the range.
     """
     known = df.filter(F.col(value).isNotNull())
     counts = known.groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("_c"))
