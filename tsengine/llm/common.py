@@ -33,26 +33,44 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name inside the cluster's shared folder.
 
-    That folder is `spark.checkpoint.dir`. Only where the session has none, as in tests on one machine, a local folder is
-    made and set as the checkpoint folder.
+    That folder is `spark.checkpoint.dir`. Where the session has none, a session on one machine gets a local folder, which is
+    set as the checkpoint folder; on a cluster that is an error, as executors and driver would not see the same files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         used = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if used.isEmpty():
-            root = tempfile.mkdtemp(prefix="tsengine-")
-            spark.sparkContext.setCheckpointDir(root)
-        else:
+        if not used.isEmpty():
             root = used.get()
-    elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        elif spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        else:
+            root = tempfile.mkdtemp(prefix="tsengine-")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/tsengine-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, path: str) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing before it."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes `df` to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing before it.
+
+    The shuffle files of the write go when it has ended (Spark's setting for that is on meanwhile), as the table takes their place.
+    """
+    spark = df.sparkSession
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that `saved` wrote. No DataFrame may need them any more."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

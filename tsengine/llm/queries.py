@@ -64,8 +64,9 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(common.table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=85)
 
 
-def op9_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = backoff.backoff_scores(common.table(spark, sf_dir, "documents").select("doc_id", "text"), order=3)
+def op9_backoff_cutoff2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by trigrams, bigrams and words; n-grams that the corpus has once count as unseen (the cut-off in the name)."""
+    scores = backoff.backoff_scores(common.table(spark, sf_dir, "documents").select("doc_id", "text"), order=3, least=2)
     return scores.select("doc_id", "n_words", *[F.round(c, 4).alias(c) for c in ("log10_score", "mean_log10_score")])
 
 
@@ -83,7 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_decontaminate": op7_decontaminate,
     "op8_jaccard": op8_jaccard,
-    "op9_backoff": op9_backoff,
+    "op9_backoff_cutoff2": op9_backoff_cutoff2,
     "op10_pieces": op10_pieces,
 }
 
@@ -151,7 +152,7 @@ SELECT doc_id, n AS n_chars, sha256(ed) AS edited_sha256, fp[1] AS fingerprint,
 FROM prints
 """,
     # Words with the two before them, count tables of one to three words, the longest that occurs twice.
-    "op9_backoff": r"""
+    "op9_backoff_cutoff2": r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
