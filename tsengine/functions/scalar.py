@@ -94,22 +94,34 @@ def readings_from_json(text: str | Column) -> Column:
     return F.flatten(each)
 
 
-#: Where each metadata field is found: the first path that has a value. Fixed values.
-METADATA_PATHS = {
-    "uuid": ["$.uuid"],
-    "unit": ["$.Properties.UnitofMeasure"],
-    "path": ["$.Path"],
-    "sensor_type": ["$.Metadata.Extra.Type", "$.Metadata.PointName"],
-    "node_id": ["$.Metadata.Extra.VAV", "$.Metadata.Instrument.PartNumber"],
-    "serial": ["$.Metadata.SerialNumber", "$.Metadata.Instrument.SerialNumber"],
-    "building": ["$.Metadata.Location.Building"],
-    "floor": ["$.Metadata.Location.Floor"],
-    "room": ["$.Metadata.Location.RoomNumber", "$.Metadata.Location.Room"],
-    "installed": ["$.Metadata.Instrument.InstallDate", "$.Metadata.Extra.InstallDate"],
-    "additional": ["$.Description", "$.Metadata.SourceName"],
+# Where each metadata field is found. Of a field's rules the first whose object is there decides: it takes the
+# first of its keys that has a value, or '-'.
+METADATA_RULES = {
+    "uuid": [("$", ["uuid"])],
+    "unit": [("$.Properties", ["UnitofMeasure"])],
+    "path": [("$", ["Path"])],
+    "sensor_type": [("$.Metadata.Instrument", ["SensorType"]), ("$.Metadata", ["SourceName"])],
+    "node_id": [("$.Metadata.Instrument", ["PartNumber"]), ("$.Metadata.Extra", ["MeterName"])],
+    "serial": [("$.Metadata", ["SerialNumber"])],
+    "building": [("$.Metadata.Location", ["Building"])],
+    "floor": [("$.Metadata.Location", ["Floor"]), ("$.Metadata", ["PointName"])],
+    "room": [("$.Metadata.Location", ["RoomNumber"]), ("$.Metadata.Extra", ["ServiceArea"]), ("$", ["Description"])],
+    "installed": [("$.Metadata.Location", ["Height"]), ("$.Metadata.Extra", ["System", "Operator"])],
+    "additional": [("$.Metadata.Extra", ["VAV", "ServiceDetail", "Type"])],
 }
+FLOOR_SUFFIX = "FL"
 
 
 def metadata(text: str | Column) -> dict[str, Column]:
-    """The eleven metadata fields of a sensor's JSON text, '-' where none is given."""
-    return {k: F.coalesce(*[F.get_json_object(_c(text), p) for p in paths], F.lit("-")) for k, paths in METADATA_PATHS.items()}
+    """The eleven metadata fields of a sensor's JSON text, '-' where none is given. A floor of a location gets FL."""
+    found = {}
+    for name, rules in METADATA_RULES.items():
+        value = None
+        for parent, keys in rules:
+            own = F.coalesce(*[F.get_json_object(_c(text), f"{parent}.{k}") for k in keys])
+            if name == "floor" and parent.endswith("Location"):
+                own = F.concat(own, F.lit(FLOOR_SUFFIX))
+            there = F.get_json_object(_c(text), parent).isNotNull()
+            value = F.when(there, own) if value is None else value.when(there, own)
+        found[name] = F.coalesce(value, F.lit("-"))
+    return found

@@ -39,10 +39,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settled(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder, its lineage cut: plans after it stay small and lost executors cost nothing before it.
 
-    The folder is the cluster's, spark.checkpoint.dir; a local one is made only where the session names none.
+    Spark deletes the files when the table is no longer used if spark.cleaner.referenceTracking.cleanCheckpoints is on.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tsengine-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where a session names none, one on a single machine gets
+    a local folder; on a cluster that is an error."""
+    context = spark.sparkContext
+    used = context._jsc.sc().getCheckpointDir()
+    if not used.isEmpty():
+        return used.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tsengine-")
+    context.setCheckpointDir(folder)
+    return folder

@@ -66,11 +66,11 @@ def fill_gaps(slots: DataFrame, max_gap: int, keys: Sequence[str] = ("sensor",),
     The first and the last slot are never filled. A run of missing values between two known ones stays if it is longer than
     max_gap; a run that reaches an end takes the one neighbour it has.
     """
-    by = Window.partitionBy(*keys).orderBy("slot")
+    up, down = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("slot"), F.desc("slot")))
     point = F.when(F.col("value").isNotNull(), F.struct("slot", "value"))
     seen = slots.withColumns({
-        "_b": F.last(point, True).over(by.rowsBetween(Window.unboundedPreceding, 0)),
-        "_a": F.first(point, True).over(by.rowsBetween(0, Window.unboundedFollowing)),
+        "_b": F.last(point, True).over(up),
+        "_a": F.last(point, True).over(down),
         "_lo": F.min("slot").over(Window.partitionBy(*keys)),
         "_hi": F.max("slot").over(Window.partitionBy(*keys)),
     })
@@ -163,9 +163,8 @@ def upsample(r: DataFrame, step: int = SECOND, start: int | None = None, end: in
 
 def downsample(r: DataFrame, rows: int = 600) -> DataFrame:
     """(sensor, block, t, value): sums of `rows` readings in time order over `rows`, of a short last block too."""
-    by = Window.partitionBy("sensor").orderBy("t", "value")
-    block = F.floor((F.row_number().over(by) - 1) / rows)
-    return r.withColumn("block", block).groupBy("sensor", "block").agg(F.min("t").alias("t"), (F.sum("value") / rows).alias("value"))
+    placed = ordered.with_totals(r, ["sensor"], "value", ["t", "value"])
+    return placed.withColumn("block", F.floor((F.col("place") - 1) / rows)).groupBy("sensor", "block").agg(F.min("t").alias("t"), (F.sum("value") / rows).alias("value"))
 
 
 def _kalman_variance(q: float, noise: float, steps: int) -> float:

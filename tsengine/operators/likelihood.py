@@ -127,6 +127,18 @@ def sensitivity_report(states: DataFrame, factors: Sequence[str], distance: str
     return out.withColumn("total", F.sum("sensitivity").over(Window.partitionBy("name"))).select("name", "factor", "sensitivity", "total")
 
 
+def most_sensitive(report: DataFrame, most: int) -> DataFrame:
+    """(name, total, rank): the names whose sensitivities sum highest; ties by name. One row a name, ranked together."""
+    totals = report.groupBy("name").agg(F.sum("sensitivity").alias("total"))
+    top = totals.orderBy(F.desc("total"), "name").limit(most)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "name")))
+
+
+def above(ranked: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """Ranked causes whose best likelihood exceeds the threshold."""
+    return ranked.filter(F.col("opt_prob") > threshold)
+
+
 def time_effect_map(states: DataFrame) -> DataFrame:
     """(name, month, weekday, hour, state, prob): P(state | month, weekday, hour)."""
     counts = states.groupBy("name", "month", "weekday", "hour", "state").agg(F.count("*").alias("n"))

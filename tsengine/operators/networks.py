@@ -8,6 +8,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsengine.model import settled
+
 #: Variables of one network; the search asks for counts of one family at a time.
 MOST_VARIABLES = 64
 
@@ -160,15 +162,16 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def is_acyclic(edges: DataFrame) -> bool:
-    """Whether no directed circle exists: nodes without parents are taken away until none are left. For networks of at most
-    MOST_VARIABLES variables, whose edges the driver holds."""
-    left = {(r["src"], r["dst"]) for r in edges.select("src", "dst").limit(MOST_VARIABLES * MOST_VARIABLES).collect()}
-    while left:
-        targets = {b for _, b in left}
-        rest = {(a, b) for a, b in left if a in targets}
-        if len(rest) == len(left):
+    """Whether no directed circle exists. Edges from nodes without parents are taken away, round by round, until none or only
+    circles are left; only a count a round reaches the driver."""
+    left = settled(edges.select("src", "dst").distinct())
+    n = left.count()
+    while n:
+        left = settled(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+        rest = left.count()
+        if rest == n:
             return False
-        left = rest
+        n = rest
     return True
 
 

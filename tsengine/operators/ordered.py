@@ -123,14 +123,16 @@ def neighbours(points: DataFrame, queries: DataFrame, chunk: int = 30 * DAY) ->
     p = points.select("sensor", "t", F.struct("t", "value").alias("_p"), F.lit(0).alias("_q"), F.lit(None).cast("long").alias("_id"))
     q = queries.select("sensor", "t").withColumn("_id", F.monotonically_increasing_id()).select("sensor", "t", F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), F.lit(1).alias("_q"), "_id")
     both = p.union(q).withColumn("_chunk", F.floor(F.col("t") / F.lit(chunk)))
-    w = Window.partitionBy("sensor", "_chunk").orderBy("t", "_q", "_p")
+    # a frame that ends at the partition's end is worked out anew for every row; the same rows in falling order are not
+    w = Window.partitionBy("sensor", "_chunk").orderBy("t", "_q", "_p").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("sensor", "_chunk").orderBy(F.desc("t"), F.desc("_q"), F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)
     edges = points.withColumn("_chunk", F.floor(F.col("t") / F.lit(chunk))).withColumn("_p", F.struct("t", "value"))
     edges = edges.groupBy("sensor", "_chunk").agg(F.max("_p").alias("_hi"), F.min("_p").alias("_lo"))
     spans = edges.unionByName(queries.select("sensor", F.floor(F.col("t") / F.lit(chunk)).alias("_chunk")).distinct(), allowMissingColumns=True)
     spans = spans.groupBy("sensor", "_chunk").agg(F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"))
-    by = Window.partitionBy("sensor").orderBy("_chunk")
-    spans = spans.withColumns({"_left": F.last("_hi", True).over(by.rowsBetween(Window.unboundedPreceding, -1)), "_right": F.first("_lo", True).over(by.rowsBetween(1, Window.unboundedFollowing))}).drop("_hi", "_lo")
-    seen = both.withColumns({"_b": F.last("_p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first("_p", True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    past, future = (Window.partitionBy("sensor").orderBy(c).rowsBetween(Window.unboundedPreceding, -1) for c in (F.asc("_chunk"), F.desc("_chunk")))
+    spans = spans.withColumns({"_left": F.last("_hi", True).over(past), "_right": F.last("_lo", True).over(future)}).drop("_hi", "_lo")
+    seen = both.withColumns({"_b": F.last("_p", True).over(w), "_a": F.last("_p", True).over(down)})
     seen = seen.filter("_q = 1").join(spans, ["sensor", "_chunk"], "left")
     before, after = F.coalesce("_b", "_left"), F.coalesce("_a", "_right")
     return seen.select("sensor", "t", before["t"].alias("before_t"), before["value"].alias("before_value"), after["t"].alias("after_t"), after["value"].alias("after_value"))
@@ -154,10 +156,15 @@ def linear_interpolation(points: DataFrame, queries: DataFrame) -> DataFrame:
     Points of one time count as one, with their mean. A sensor of one point is constant.
     """
     points = points.groupBy("sensor", "t").agg(F.avg("value").alias("value"))
-    by = Window.partitionBy("sensor").orderBy("t")
-    ends = points.withColumns({"_i": F.row_number().over(by), "_j": F.row_number().over(Window.partitionBy("sensor").orderBy(F.desc("t")))}).filter("_i <= 2 or _j <= 2")
-    pick = lambda c, k: F.max(F.when(F.col(c) == k, F.struct("t", "value")))
-    ends = ends.groupBy("sensor").agg(pick("_i", 1).alias("a0"), pick("_i", 2).alias("a1"), pick("_j", 2).alias("b0"), pick("_j", 1).alias("b1"))
+    point = F.struct("t", "value")
+    # the two first and last of a sensor, as the first and last of what an aggregate leaves: no task sorts a sensor
+    edges = points.groupBy("sensor").agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
+    ends = points.join(edges, "sensor").groupBy("sensor").agg(
+        F.min(point).alias("a0"),
+        F.min(F.when(F.col("t") > F.col("_lo"), point)).alias("a1"),
+        F.max(F.when(F.col("t") < F.col("_hi"), point)).alias("b0"),
+        F.max(point).alias("b1"),
+    )
     n = neighbours(points, queries).join(ends, "sensor")
     t = F.col("t")
     through = lambda p, q: linear(t, F.col(f"{p}.t"), F.col(f"{p}.value"), F.col(f"{q}.t"), F.col(f"{q}.value"))

@@ -11,12 +11,24 @@ from . import states
 #: The weather fields in use.
 FIELDS = ("TemperatureC", "Dew PointC", "Humidity", "Events", "Conditions")
 
-# Classes of conditions and events, by the words that occur in them.
-CONDITION_CLASSES = {
-    "Clear": 0, "Partly Cloudy": 1, "Scattered Clouds": 1, "Mostly Cloudy": 2, "Overcast": 3, "Haze": 4, "Mist": 4, "Fog": 5,
-    "Light Rain": 6, "Rain": 6, "Thunderstorm": 7, "Snow": 8, "Light Snow": 8,
-}
-EVENT_CLASSES = {"": 0, "Rain": 1, "Snow": 2, "Fog": 3}
+# The texts of each class of conditions and of events, and the names of the classes.
+CONDITION_TEXTS = {
+    8: ("Clear",),
+    7: ("Partly Cloudy", "Scattered Clouds"),
+    6: ("Mostly Cloudy", "Overcast"),
+    5: ("Fog", "Mist", "Shallow Fog", "Patches of Fog", "Light Freezing Fog"),
+    4: ("Drizzle", "Heavy Drizzle", "Light Drizzle", "Light Freezing Drizzle"),
+    3: ("Rain", "Rain Showers", "Thunderstorms and Rain", "Heavy Rain", "Heavy Rain Showers", "Freezing Rain", "Light Freezing Rain", "Light Rain Showers", "Light Rain", "Light Thunderstorms and Rain"),
+    2: ("Ice Pellets", "Ice Crystals", "Light Ice Crystals", "Light Ice Pellets"),
+    1: ("Snow", "Snow Showers", "Light Snow", "Light Snow Grains", "Light Snow Showers"),
+    0: ("Unknown",),
+}
+CONDITION_NAMES = {"Clear": 8, "Cloudy": 7, "Overcast": 6, "Fog": 5, "Drizzle": 4, "Rain": 3, "Ice": 2, "Snow": 1, "Unknown": 0}
+EVENT_TEXTS = {0: ("",), 1: ("Rain-Snow", "Snow", "Fog-Snow"), 2: ("Rain", "Thunderstorm", "Rain-Thunderstorm"), 3: ("Fog", "Fog-Rain")}
+EVENT_NAMES = {"NoEvent": 0, "Snow": 1, "Rain": 2, "Fog": 3}
+
+CONDITION_CLASSES = {text: k for k, texts in CONDITION_TEXTS.items() for text in texts}
+EVENT_CLASSES = {text: k for k, texts in EVENT_TEXTS.items() for text in texts}
 
 
 def symbol_codes(df: DataFrame, name: str, order: str) -> DataFrame:

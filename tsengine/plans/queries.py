@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tsengine.functions import scalar
-from tsengine.model import DAY, HOUR, MINUTE, SECOND, micros, readings, table
+from tsengine.model import DAY, HOUR, MINUTE, SECOND, micros, readings, shared_folder, table
 from tsengine.operators import align, clean, clusters, features, likelihood, networks, ordered, states, weather
 from tsengine.streaming import versions
 
@@ -231,29 +234,54 @@ def downsampled(spark, sf):
     return rounded(clean.downsample(events(spark, sf), 100))
 
 
-@query()
+_TRIM1 = _TRIM.replace("* 10 / 200.0", "* 1 / 200.0").replace("0.1 * stddev", "20 * stddev")
+_TYPES = "CASE WHEN CASE WHEN count(*) > 1000 THEN count(DISTINCT value) < 10 ELSE count(*) / count(DISTINCT value) > 100 END THEN 0 ELSE 1 END AS num_type"
+_AROUND = "nb AS (SELECT q.sensor, q.t, b.t AS bt, b.value AS bv FROM q ASOF LEFT JOIN o b ON q.sensor = b.sensor AND q.t >= b.t), na AS (SELECT nb.*, a.t AS at2, a.value AS av FROM nb ASOF LEFT JOIN o a ON nb.sensor = a.sensor AND nb.t < a.t)"
+_BETWEEN = "CASE WHEN bt = na.t OR at2 IS NULL THEN bv ELSE bv + (av - bv) * (na.t - bt) / (at2 - bt) END"
+_EVEN = f"{_R}, {_TRIM1}, o AS (SELECT r.sensor, t, avg(value) AS value FROM r JOIN b USING (sensor) WHERE NOT coalesce(value > high OR value < low, false) GROUP BY ALL), st AS (SELECT sensor, min(t) AS a, max(t) AS z, CAST(ceil((max(t) - min(t)) / count(*) / 1000000) AS BIGINT) * 1000000 AS step FROM o GROUP BY sensor HAVING max(t) > min(t)), q AS (SELECT sensor, unnest(range(a, z, step)) AS t FROM st), ty AS (SELECT sensor, {_TYPES} FROM o GROUP BY sensor), {_AROUND}, ev AS (SELECT na.sensor, na.t, CASE WHEN num_type = 0 THEN CASE WHEN at2 IS NULL OR na.t - bt <= at2 - na.t THEN bv ELSE av END ELSE {_BETWEEN} END AS value FROM na JOIN ty USING (sensor))"
+
+
+@query(f"WITH {_EVEN} SELECT sensor, t, round(value, 4) AS value FROM ev")
 def regularised(spark, sf):
-    return clean.regularise(events(spark, sf))
+    return rounded(clean.regularise(events(spark, sf)), 4)
 
 
-@query()
+@query(f"WITH {_R}, e AS (SELECT * FROM r WHERE t >= {START} AND t < {END}), an AS (SELECT sensor, t, avg(value) AS value FROM e GROUP BY ALL UNION ALL SELECT DISTINCT sensor, {START}, 0.0 FROM e UNION ALL SELECT DISTINCT sensor, {END}, 0.0 FROM e), o AS (SELECT sensor, t, arg_max(value, abs(value)) AS value FROM an GROUP BY ALL), q AS (SELECT sensor, unnest(range({START}, {END} + 1, {10 * MINUTE})) AS t FROM (SELECT DISTINCT sensor FROM o)), {_AROUND} SELECT sensor, t, round({_BETWEEN}, 4) AS value FROM na")
 def upsampled(spark, sf):
-    return clean.upsample(align.in_range(events(spark, sf), START, END), 10 * MINUTE, START, END)
+    return rounded(clean.upsample(align.in_range(events(spark, sf), START, END), 10 * MINUTE, START, END), 4)
 
 
-@query()
+@query(f"WITH RECURSIVE {_R}, p AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY t, value) AS i FROM r), k AS (SELECT sensor, t, value, i, value AS x, 1.0::DOUBLE AS p FROM p WHERE i = 1 UNION ALL SELECT n.sensor, n.t, n.value, n.i, k.x + (k.p + 0.1) / (k.p + 1.1) * (n.value - k.x), (k.p + 0.1) * (1 - (k.p + 0.1) / (k.p + 1.1)) FROM k JOIN p n ON n.sensor = k.sensor AND n.i = k.i + 1) SELECT sensor, t, value, round(x, 6) AS smoothed FROM k")
 def kalman(spark, sf):
-    return clean.kalman(events(spark, sf), 0.1, 1.0)
+    return clean.kalman(events(spark, sf), 0.1, 1.0).withColumn("smoothed", F.round("smoothed", 6) + 0.0)
 
 
-@query()
+# Slots (sl: sensor, slot, value, num_type) as finished columns: outliers out, gaps filled, columns with too much missing out, the
+# others normalised, constant ones out.
+_COLUMNS = """p1 AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY value NULLS LAST) - 1 AS i, count(value) OVER (PARTITION BY sensor) AS n FROM sl),
+b1 AS (SELECT sensor, min(value) AS lo, max(value) AS hi, stddev_pop(value) AS sd, count(value) AS k FROM p1 WHERE value IS NOT NULL AND i >= floor(n / 200.0) AND i < floor(n - n / 200.0) GROUP BY sensor),
+f AS (SELECT p1.sensor, slot, num_type, CASE WHEN k > 10 AND (value > hi + 20 * sd OR value < lo - 20 * sd) THEN NULL ELSE value END AS value FROM p1 LEFT JOIN b1 ON p1.sensor = b1.sensor),
+{fill}, g1 AS (SELECT sensor, slot, num_type, CASE WHEN num_type = 0 THEN {near} ELSE {line} END AS value FROM b),
+g2 AS (SELECT * FROM g1 QUALIFY count(*) FILTER (value IS NULL) OVER (PARTITION BY sensor) <= count(*) OVER (PARTITION BY sensor) / 5),
+g3 AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY value NULLS LAST) - 1 AS i, count(value) OVER (PARTITION BY sensor) AS n FROM g2),
+g4 AS (SELECT sensor, avg(value) AS mean, sqrt(sum(value * value)) AS norm, min(value) FILTER (value IS NOT NULL AND i >= floor(n * 0.05) AND i < floor(n * 0.95)) < max(value) FILTER (value IS NOT NULL AND i >= floor(n * 0.05) AND i < floor(n * 0.95)) AS varies FROM g3 GROUP BY sensor),
+g5 AS (SELECT g3.sensor, slot, num_type, CASE WHEN num_type = 0 THEN value WHEN varies THEN (value - mean) / norm END AS value FROM g3 JOIN g4 USING (sensor))
+SELECT sensor, slot, num_type, round(value, 6) AS value FROM g5 QUALIFY min(value) OVER (PARTITION BY sensor) <> max(value) OVER (PARTITION BY sensor)"""
+_COLUMNS_18 = _COLUMNS.format(fill=_FILL, near=_FILLED.format(gap=18, between=_NEAR), line=_FILLED.format(gap=18, between=_LINE))
+
+
+@query(f"WITH {_R}, {_S}, {_M}, ty AS (SELECT sensor, {_TYPES} FROM r GROUP BY sensor), sl AS (SELECT g.sensor, g.slot, value, num_type FROM (SELECT sensor, slot FROM (SELECT DISTINCT sensor FROM s), (SELECT unnest(range(0, {(END - START) // WIDTH})) AS slot)) g LEFT JOIN m USING (sensor, slot) JOIN ty ON ty.sensor = g.sensor), {_COLUMNS_18}")
 def average_features(spark, sf):
-    return features.average_features(events(spark, sf), align.slot_grid(spark, START, END, WIDTH), START, END, WIDTH, 18)
+    return rounded(features.average_features(events(spark, sf), align.slot_grid(spark, START, END, WIDTH), START, END, WIDTH, 18))
 
 
-@query()
+_DIFFS = "d1 AS (SELECT sensor, slot, abs(value - lag(value) OVER (PARTITION BY sensor, slot ORDER BY t, value)) AS d FROM s1), d2 AS (SELECT *, row_number() OVER (PARTITION BY sensor, slot ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY sensor, slot) AS n FROM d1 WHERE d IS NOT NULL), d3 AS (SELECT sensor, slot, avg(d) AS value FROM d2 WHERE i >= floor(n * 0.5) GROUP BY ALL)"
+
+
+@query(f"WITH {_EVEN}, s1 AS (SELECT *, (t - {START}) // {DAY} AS slot FROM ev WHERE t >= {START} AND t < {END}), {_DIFFS}, ty1 AS (SELECT sensor, {_TYPES} FROM ev GROUP BY sensor), sl AS (SELECT g.sensor, g.slot, value, num_type FROM (SELECT sensor, slot FROM (SELECT DISTINCT sensor FROM s1), (SELECT unnest(range(0, {(END - START) // DAY})) AS slot)) g LEFT JOIN d3 USING (sensor, slot) JOIN ty1 ON ty1.sensor = g.sensor), {_COLUMNS_18.replace('b AS (', 'b9 AS (').replace('FROM b)', 'FROM b9)')}")
 def difference_features(spark, sf):
-    return features.difference_features(events(spark, sf), align.slot_grid(spark, START, END, WIDTH), START, END, WIDTH, 18)
+    """Slots of a day, so that each has several readings of the even series at every size."""
+    return rounded(features.difference_features(events(spark, sf), align.slot_grid(spark, START, END, DAY), START, END, DAY, 18))
 
 
 # --- ordered
@@ -433,12 +461,14 @@ def incremental_equals_full(spark, sf):
 
 
 def _replayed(spark, sf, make, name: str) -> DataFrame:
-    """A stream of the events file, run to its end into a memory table."""
+    """A stream of the events file, run to its end; the complete result of the last batch is a table in the shared folder."""
     rows = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     live = rows.select(F.col("event_type").alias("sensor"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    q = make(live).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/result")
+    q = make(live).writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{folder}/result")
 
 
 @query("SELECT event_type AS sensor, epoch_us(ts) // 21600000000 * 21600000000 AS start_us, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
@@ -519,9 +549,21 @@ def sensitivity_tv(spark, sf):
     return rounded(likelihood.sensitivity(dated_states(spark, sf), "month", "v"), 5)
 
 
-@query()
+_HELLINGER = "sqrt(1 - least(1, sum(sqrt(p.prob * q.prob))))"
+
+
+def _sens_of(factor: str) -> str:
+    return _SENS.format(d=_HELLINGER).replace("month AS level", f"{factor} AS level").replace("round(avg(d), 5)", "avg(d)")
+
+
+@query(f"WITH a AS (SELECT *, 'month' AS factor FROM ({_sens_of('month')}) UNION ALL SELECT *, 'weekday' FROM ({_sens_of('weekday')})) SELECT name, factor, round(sensitivity, 5) AS sensitivity, round(sum(sensitivity) OVER (PARTITION BY name), 5) AS total FROM a")
 def sensitivity_report(spark, sf):
-    return likelihood.sensitivity_report(dated_states(spark, sf), ["month", "weekday"], "h")
+    return rounded(likelihood.sensitivity_report(dated_states(spark, sf), ["month", "weekday"], "h"), 5)
+
+
+@query(f"WITH a AS (SELECT *, 'month' AS factor FROM ({_sens_of('month')}) UNION ALL SELECT *, 'weekday' FROM ({_sens_of('weekday')})), t AS (SELECT name, sum(sensitivity) AS total FROM a GROUP BY name) SELECT name, round(total, 5) AS total, CAST(row_number() OVER (ORDER BY total DESC, name) AS INT) AS rank FROM t QUALIFY rank <= 2")
+def most_sensitive(spark, sf):
+    return rounded(likelihood.most_sensitive(likelihood.sensitivity_report(dated_states(spark, sf), ["month", "weekday"], "h"), 2), 5)
 
 
 @query(f"WITH {_DATED} SELECT name, month, weekday, hour, state, round(count(*) / sum(count(*)) OVER (PARTITION BY name, month, weekday, hour), 6) AS prob FROM d GROUP BY name, month, weekday, hour, state")
@@ -620,9 +662,56 @@ def irregular_events(spark, sf):
     return states.irregular_events(events(spark, sf))
 
 
+#: Columns that depend on each other by rule: the half year on the quarter, big orders on the quantity.
+NET = ["quarter", "half", "qty", "big"]
+
+
+def dependent(spark, sf) -> DataFrame:
+    quarter = F.quarter("l_shipdate") - 1
+    qty = F.floor(F.col("l_quantity") / 10).cast("int")
+    noisy = F.when(F.col("l_orderkey") % 10 == 0, F.lit(1)).otherwise((qty > 2).cast("int"))
+    return table(spark, sf, "lineitem").select(quarter.cast("int").alias("quarter"), F.floor(quarter / 2).cast("int").alias("half"), qty.alias("qty"), noisy.alias("big"))
+
+
+_NET = "w AS (SELECT CAST(quarter(l_shipdate) - 1 AS INT) AS quarter, CAST((quarter(l_shipdate) - 1) // 2 AS INT) AS half, CAST(floor(l_quantity / 10) AS INT) AS qty, CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE CAST(floor(l_quantity / 10) > 2 AS INT) END AS big FROM lineitem)"
+
+
+def _families() -> list[tuple[str, list[str]]]:
+    return [(c, [p for j, p in enumerate(rest) if k >> j & 1]) for c in NET for rest in [[v for v in NET if v != c]] for k in range(8)]
+
+
+def _family_sql(child: str, parents: list[str]) -> str:
+    whole = f"GROUP BY {', '.join(parents)}" if parents else ""
+    size = " * ".join(["1.0", *[f"(SELECT count(DISTINCT {p}) FROM w)" for p in parents]])
+    return f"SELECT '{child}' AS child, '{','.join(parents)}' AS parents, (SELECT sum(n * ln(n)) FROM (SELECT count(*) AS n FROM w GROUP BY {", ".join([*parents, child])})) - (SELECT sum(n * ln(n)) FROM (SELECT count(*) AS n FROM w {whole})) - ln((SELECT count(*) FROM w)) / 2 * {size} * ((SELECT count(DISTINCT {child}) FROM w) - 1) AS bic"
+
+
+_FAMILIES = f"{_NET}, fb AS ({' UNION ALL '.join(_family_sql(*f) for f in _families())})"
+
+
+@query(f"WITH {_FAMILIES} SELECT child, parents, round(bic, 4) AS bic FROM fb")
+def family_scores(spark, sf):
+    """The BIC of every family of four variables."""
+    s = networks.FamilyScores(dependent(spark, sf), NET)
+    rows = [(c, ",".join(p), x) for (c, p), x in zip(_families(), s.scores(_families()))]
+    s.close()
+    return rounded(spark.createDataFrame(rows, "child string, parents string, bic double"), 4)
+
+
+# The best network: of all orders of the variables, the one whose best families from variables before them sum highest.
+_ORDERS = " UNION ALL ".join(f"SELECT {i} AS o, {k} AS place, '{v}' AS v" for i, order in enumerate(itertools.permutations(NET)) for k, v in enumerate(order))
+
+
+@query(f"WITH {_FAMILIES}, od AS ({_ORDERS}), bf AS (SELECT a.o, a.v, max(bic) AS bic FROM od a JOIN fb ON fb.child = a.v WHERE NOT EXISTS (SELECT 1 FROM od b WHERE b.o = a.o AND b.place >= a.place AND contains(',' || fb.parents || ',', ',' || b.v || ',')) GROUP BY ALL) SELECT 'lines' AS model_id, round(max(total), 4) AS bic FROM (SELECT o, sum(bic) AS total FROM bf GROUP BY o)")
+def best_network(spark, sf):
+    """The score of the network that hill climbing finds, beside the best of all networks."""
+    _, score = networks.hill_climb(dependent(spark, sf), NET)
+    return rounded(spark.createDataFrame([("lines", float(score))], "model_id string, bic double"), 4)
+
+
 @query()
 def bn_edges(spark, sf):
-    edges, _ = networks.hill_climb(wide(spark, sf), ["flag", "status", "qty", "disc"])
+    edges, _ = networks.hill_climb(dependent(spark, sf), NET)
     return networks.edges_table(spark, "lines", edges)
 
 
@@ -659,10 +748,41 @@ def parse_nanoseconds(spark, sf):
     return table(spark, sf, "events").select("event_id", scalar.parse_nanoseconds(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".5"))).alias("ns"))
 
 
-@query("SELECT o_orderpriority, o_orderstatus, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 END AS o_orderpriority_class, count(*) AS n FROM orders GROUP BY ALL")
+_CONDITIONS = ["Clear", "Partly Cloudy", "Scattered Clouds", "Mostly Cloudy", "Overcast", "Fog", "Mist", "Patches of Fog", "Light Drizzle", "Heavy Rain", "Thunderstorms and Rain", "Light Freezing Rain", "Ice Pellets", "Light Snow", "Snow Showers", "Unknown", "Haze"]
+_EVENTS = ["", "Rain", "Snow", "Fog", "Rain-Snow", "Fog-Rain", "Fog-Snow", "Rain-Thunderstorm", "Thunderstorm", "Hail"]
+
+
+@query(f"""WITH t AS (SELECT {_CONDITIONS}[o_orderkey % {len(_CONDITIONS)} + 1] AS conditions, {_EVENTS}[o_custkey % {len(_EVENTS)} + 1] AS events FROM orders)
+SELECT conditions, events, CASE WHEN conditions = 'Clear' THEN 8 WHEN conditions IN ('Partly Cloudy', 'Scattered Clouds') THEN 7 WHEN conditions IN ('Mostly Cloudy', 'Overcast') THEN 6
+  WHEN conditions IN ('Fog', 'Mist', 'Patches of Fog') THEN 5 WHEN conditions = 'Light Drizzle' THEN 4 WHEN conditions IN ('Heavy Rain', 'Thunderstorms and Rain', 'Light Freezing Rain') THEN 3
+  WHEN conditions = 'Ice Pellets' THEN 2 WHEN conditions IN ('Light Snow', 'Snow Showers') THEN 1 WHEN conditions = 'Unknown' THEN 0 END AS conditions_class,
+  CASE WHEN events = '' THEN 0 WHEN events IN ('Snow', 'Rain-Snow', 'Fog-Snow') THEN 1 WHEN events IN ('Rain', 'Thunderstorm', 'Rain-Thunderstorm') THEN 2 WHEN events IN ('Fog', 'Fog-Rain') THEN 3 END AS events_class,
+  count(*) AS n FROM t GROUP BY ALL""")
 def class_map(spark, sf):
-    o = weather.classify(table(spark, sf, "orders"), "o_orderpriority", {"1-URGENT": 1, "2-HIGH": 2})
-    return o.groupBy("o_orderpriority", "o_orderstatus", "o_orderpriority_class").agg(F.count("*").alias("n"))
+    """Weather texts, dealt to the orders by their keys, and their classes; texts that no class has are null."""
+    pick = lambda texts, key: F.element_at(F.array(*map(F.lit, texts)), (F.col(key) % len(texts) + 1).cast("int"))
+    o = table(spark, sf, "orders").select(pick(_CONDITIONS, "o_orderkey").alias("conditions"), pick(_EVENTS, "o_custkey").alias("events"))
+    o = weather.classify(weather.classify(o, "conditions", weather.CONDITION_CLASSES), "events", weather.EVENT_CLASSES)
+    return o.groupBy("conditions", "events", "conditions_class", "events_class").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT s_suppkey, 'u' || s_suppkey AS uuid, CASE WHEN s_suppkey % 2 = 0 THEN 'kW' ELSE '-' END AS unit,
+  CASE s_suppkey % 4 WHEN 0 THEN 'Power' WHEN 1 THEN '-' WHEN 2 THEN s_name ELSE '-' END AS sensor_type, CASE s_suppkey % 4 WHEN 0 THEN 'P1' WHEN 1 THEN '-' WHEN 2 THEN 'M2' ELSE '-' END AS node_id,
+  CASE s_suppkey % 4 WHEN 0 THEN s_nationkey || 'FL' WHEN 1 THEN '-' WHEN 2 THEN 'point' ELSE '-' END AS floor, CASE s_suppkey % 4 WHEN 0 THEN '-' WHEN 1 THEN 'R1' WHEN 2 THEN 'area' ELSE 'told' END AS room,
+  CASE s_suppkey % 4 WHEN 0 THEN '2m' WHEN 1 THEN '-' WHEN 2 THEN 'op' ELSE '-' END AS installed, CASE s_suppkey % 4 WHEN 2 THEN 'kind' ELSE '-' END AS additional FROM supplier""")
+def sensor_metadata(spark, sf):
+    """Metadata texts of four kinds, one for each branch of the rules, and the fields found in them."""
+    s, kind = table(spark, sf, "supplier"), F.col("s_suppkey") % 4
+    inner = (
+        F.when(kind == 0, F.format_string('{"Instrument": {"SensorType": "Power", "PartNumber": "P1"}, "SourceName": "x", "Location": {"Floor": "%s", "Height": "2m"}}', F.col("s_nationkey").cast("string")))
+        .when(kind == 1, F.lit('{"Instrument": {}, "Location": {"RoomNumber": "R1"}, "PointName": "no"}'))
+        .when(kind == 2, F.format_string('{"SourceName": "%s", "PointName": "point", "Extra": {"MeterName": "M2", "ServiceArea": "area", "Operator": "op", "Type": "kind"}}', "s_name"))
+        .otherwise(F.lit("{}"))
+    )
+    unit = F.when(F.col("s_suppkey") % 2 == 0, F.lit('{"UnitofMeasure": "kW"}')).otherwise(F.lit("{}"))
+    text = F.format_string('{"uuid": "u%s", "Description": "told", "Properties": %s, "Metadata": %s}', F.col("s_suppkey").cast("string"), unit, inner)
+    found = scalar.metadata("text")
+    return s.withColumn("text", text).select("s_suppkey", *[found[k].alias(k) for k in ("uuid", "unit", "sensor_type", "node_id", "floor", "room", "installed", "additional")])
 
 
 @query("WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 0), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier) SELECT k, 'both' AS side FROM (FROM a INTERSECT FROM b) UNION ALL SELECT k, 'any' FROM (FROM a UNION FROM b) UNION ALL SELECT k, 'only' FROM (FROM a EXCEPT FROM b)")
@@ -686,8 +806,7 @@ def explained_peaks(spark, sf):
 
 @query()
 def network_graphs(spark, sf):
-    """Learnt edges as graph JSON, beside a fixed example."""
+    """Learnt edges as graph JSON."""
     from tsengine.sources import exports
 
-    edges = bn_edges(spark, sf)
-    return exports.graph_json(edges.union(spark.createDataFrame([("example", "a", "b")], edges.schema)))
+    return exports.graph_json(bn_edges(spark, sf))

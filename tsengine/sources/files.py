@@ -50,8 +50,8 @@ def read_readings_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sequence_file(spark: SparkSession, path: str, sensor: str) -> DataFrame:
-    """Readings of a legacy key-value file (epoch seconds to value). The format has no DataFrame reader; rows become columns at
-    once."""
+    """Readings of a legacy key-value file (epoch seconds to value), for taking old files over. The format has no DataFrame reader,
+    so rows pass through Python one by one; keep what is read as Parquet (`write_readings`)."""
     pairs = spark.sparkContext.sequenceFile(path).map(lambda kv: (int(kv[0]), float(kv[1])))
     return spark.createDataFrame(pairs, "s long, value double").select(F.lit(sensor).alias("sensor"), (F.col("s") * SECOND).alias("t"), "value")
 
@@ -69,8 +69,10 @@ def read_weather_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """The metadata fields of JSON files, one sensor a file; rows without a usable uuid are left out."""
-    m = spark.read.option("wholetext", True).text(path).select(*[c.alias(k) for k, c in scalar.metadata("value").items()])
+    """The metadata fields of JSON files, each one object or a list of them; rows without a usable uuid are left out."""
+    text = spark.read.option("wholetext", True).text(path)
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))
+    m = text.select(F.explode(listed).alias("value")).select(*[c.alias(k) for k, c in scalar.metadata("value").items()])
     return m.filter("uuid not in ('', '-', '\n')")
 
 
