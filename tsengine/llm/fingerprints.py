@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import common
@@ -13,31 +14,47 @@ RANGE_ROWS = 512
 RANGES = 1_000_000
 #: Quantiles of the ids from which the ranges are cut.
 QUANTILES = 200
+#: Hex digits of a leaf that a fingerprint shows; trees and roots are made of whole digests.
 LEAF_DIGITS = 8
 
 
 def leaves(text: Column) -> Column:
     """array<array<array<string>>>: digests of the clauses of each paragraph of each section.
 
-    Sections are separated by blank lines, paragraphs by line feeds, clauses by one of .,;:!? and a blank.
+    Sections are separated by blank lines, paragraphs by line feeds, clauses by a blank after one of .,;:!? - so a text is its
+    clauses with those separators between, and different texts have different trees.
     """
-    clauses = lambda p: F.split(F.regexp_replace(p, "([.,;:!?]) ", "$1\u0001"), "\u0001", -1)
-    paragraph = lambda p: F.transform(clauses(p), lambda x: F.substring(F.md5(x), 1, LEAF_DIGITS))
+    paragraph = lambda p: F.transform(F.split(p, "(?<=[.,;:!?]) ", -1), lambda x: F.sha2(x, 256))
     return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), paragraph))
 
 
-def fingerprint(tree: Column) -> Column:
-    """root:branches. Branches are the leaves, paragraphs parted by commas and sections by slashes; a paragraph's digest is over
-    its leaves, a section's over its paragraphs, and the root over the sections."""
-    section = lambda s: F.md5(F.array_join(F.transform(s, lambda p: F.md5(F.array_join(p, ""))), ""))
-    root = F.sha2(F.array_join(F.transform(tree, section), ""), 256)
-    shown = F.array_join(F.transform(tree, lambda s: F.array_join(F.transform(s, lambda p: F.array_join(p, "")), ",")), "/")
-    return F.concat(root, F.lit(":"), shown)
+def _node(kind: str, children: Column) -> Column:
+    """The digest of a node: of its kind and its children's digests, all of one length."""
+    return F.sha2(F.concat(F.lit(kind), F.array_join(children, "")), 256)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Twice the distinct leaves that two trees share over the sum of their distinct leaves; 1 for equal texts."""
-    x, y = F.array_distinct(F.flatten(F.flatten(a))), F.array_distinct(F.flatten(F.flatten(b)))
+def nodes(tree: Column) -> Column:
+    """struct(paragraphs, sections, root) of a tree of leaves: the digests of its inner nodes."""
+    paragraphs = F.transform(tree, lambda s: F.transform(s, lambda p: _node("p", p)))
+    return F.struct(F.flatten(paragraphs).alias("paragraphs"), F.transform(paragraphs, lambda s: _node("s", s)).alias("sections"))
+
+
+def fingerprint(tree: Column, inner: Column) -> Column:
+    """root:branches. The root is over the sections, a section over its paragraphs, a paragraph over its leaves: equal roots mean
+    equal texts. Branches are the first digits of the leaves, paragraphs parted by commas and sections by slashes."""
+    short = lambda p: F.array_join(F.transform(p, lambda x: F.substring(x, 1, LEAF_DIGITS)), "")
+    shown = F.array_join(F.transform(tree, lambda s: F.array_join(F.transform(s, short), ",")), "/")
+    return F.concat(_node("r", inner["sections"]), F.lit(":"), shown)
+
+
+def likeness(a: Column, a_inner: Column, b: Column, b_inner: Column) -> Column:
+    """Twice the distinct nodes that two trees share over the sum of their distinct nodes: leaves, paragraphs, sections and the
+    root. 1 for equal texts only: texts of equal leaves in another order share the leaves, but not what is above."""
+
+    def all_nodes(tree, inner):
+        return F.array_distinct(F.concat(F.flatten(F.flatten(tree)), inner["paragraphs"], inner["sections"], F.array(_node("r", inner["sections"]))))
+
+    x, y = all_nodes(a, a_inner), all_nodes(b, b_inner)
     return F.lit(2.0) * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
 
 
@@ -59,13 +76,23 @@ def _ranges(docs: DataFrame, bounds: list[float], parts: int) -> Column:
     """The range of a row's id: its interval between quantiles, cut into `parts` of equal width; -1 for null."""
     if len(bounds) < 2:
         return F.when(F.col("_id").isNull(), -1).otherwise(0).cast("long")
-    x, edges = F.col("_id").cast("double"), F.array(*[F.lit(b) for b in bounds])
+    x, edges = F.col("_x"), F.array(*[F.lit(b) for b in bounds])
     at = F.least(F.greatest(F.size(F.filter(edges, lambda e: e <= x)), F.lit(1)), F.lit(len(bounds) - 1))
     low, high = F.element_at(edges, at), F.element_at(edges, at + 1)
     part = F.least(F.greatest(F.floor((x - low) / (high - low) * parts), F.lit(0)), F.lit(parts - 1))
     return F.when(F.col("_id").isNull(), -1).otherwise(at.cast("long") * parts + part)
 
 
+def _place(docs: DataFrame) -> Column:
+    """A number that never falls as ids rise: the id, or of other types the first six bytes of its text."""
+    kind = docs.schema["_id"].dataType
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return F.col("_id").cast("double")
+    if isinstance(kind, (T.TimestampType, T.DateType)):
+        return F.col("_id").cast("timestamp").cast("double")
+    return F.conv(F.rpad(F.hex(F.substring(F.col("_id").cast("string").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """`docs` (_id, _text) with _next, the text of the row with the next id; after the last comes the first. Rows of one id
     follow each other by their text's hash, null ids come first.
@@ -73,9 +100,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     Rows are dealt into ranges of ids, so no task orders all of them; each range gets, as its last row, the first text of the
     range after it. The first ids of all ranges (RANGES at most) are the only thing that one task orders.
     """
-    n, low, high = docs.agg(F.count("*"), F.min("_id"), F.max("_id")).first()
+    docs = docs.select("_id", "_text", _place(docs).alias("_x"))
+    n, low, high = docs.agg(F.count("*"), F.min("_x"), F.max("_x")).first()
     cuts = [i / QUANTILES for i in range(1, QUANTILES)] if n > RANGE_ROWS else []
-    inner = docs.stat.approxQuantile("_id", cuts, 1 / (4 * QUANTILES)) if cuts else []
+    inner = docs.stat.approxQuantile("_x", cuts, 1 / (4 * QUANTILES)) if cuts else []
     bounds = sorted({float(b) for b in (low, *inner, high) if b is not None})
     parts = max(1, min(RANGES, n // RANGE_ROWS) // QUANTILES)
     rows = docs.select("_id", "_text", _ranges(docs, bounds, parts).alias("_range"), F.xxhash64("_text").alias("_order"))
@@ -95,7 +123,8 @@ def merkle_fingerprints(docs: DataFrame, text: str = "text", id_column: str = "d
     """(id, n_chars long, edited_sha256, fingerprint, edited_fingerprint string, near_edited, near_next double): one row a row.
 
     The edited text is the text whose last half of code points (rounded down) gives way to as many (or all) of the next
-    document's first. near_edited and near_next are the likeness to the edited and to the next text's fingerprint.
+    document's first. near_edited and near_next are the likeness to the edited and to the next text's fingerprint. A column
+    edited_branches follows: section.paragraph of the paragraphs that the edit changed, found by going down differing branches.
 
     Null is the empty text, a tree of one empty leaf. Rows of one id (or of null) follow each other in a fixed order; a table of
     one row is its own next. Extra columns are ignored; an empty table gives an empty result.
@@ -104,13 +133,17 @@ def merkle_fingerprints(docs: DataFrame, text: str = "text", id_column: str = "d
     rows = with_next(docs).withColumn("n_chars", F.length("_text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("_next"), F.lit(1), half))
-    rows = rows.withColumn("_edited", edited).select("_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), *[leaves(F.col(c)).alias(c) for c in ("_text", "_edited", "_next")])
-    return rows.select(
+    trees = ("_text", "_edited", "_next")
+    rows = rows.withColumn("_edited", edited).select("_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), *[leaves(F.col(c)).alias(c) for c in trees])
+    rows = rows.select("_id", "n_chars", "edited_sha256", *trees, *[nodes(F.col(c)).alias(f"{c}_nodes") for c in trees])
+    like = lambda x, y: likeness(F.col(x), F.col(f"{x}_nodes"), F.col(y), F.col(f"{y}_nodes"))
+    prints = rows.select(
         F.col("_id").alias(id_column),
         "n_chars",
         "edited_sha256",
-        fingerprint(F.col("_text")).alias("fingerprint"),
-        fingerprint(F.col("_edited")).alias("edited_fingerprint"),
-        likeness(F.col("_text"), F.col("_edited")).alias("near_edited"),
-        likeness(F.col("_text"), F.col("_next")).alias("near_next"),
+        fingerprint(F.col("_text"), F.col("_text_nodes")).alias("fingerprint"),
+        fingerprint(F.col("_edited"), F.col("_edited_nodes")).alias("edited_fingerprint"),
+        like("_text", "_edited").alias("near_edited"),
+        like("_text", "_next").alias("near_next"),
     )
+    return prints.withColumn("edited_branches", F.array_join(differing_branches(F.col("fingerprint"), F.col("edited_fingerprint")), ","))

@@ -33,8 +33,8 @@ class CharacterMap:
             self.units = np.frombuffer(blob, "<u4", size // 4, 4)
             self.texts = blob[4 + size :]
         self.list = self.units.tolist()
-        #: Bytes with which some key starts; a run of other bytes is copied as it is.
-        self.starts = bytes(b for b in range(256) if self.list and self._step(self._offset(self.list[0]), b) is not None)
+        #: Which bytes some key starts with; runs of other bytes are copied as they are.
+        self.starts = np.array([bool(self.list) and self._step(self._offset(self.list[0]), b) is not None for b in range(256)])
 
     @staticmethod
     def _offset(unit: int) -> int:
@@ -77,6 +77,9 @@ class Codec:
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = b"", False, False, False
         self.segment = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         normal = [p.piece for p in model.pieces if p.type in (1, 4, 5)]
+        self.symbols = sorted((p.piece.encode() for p in model.pieces if p.type == 4), key=len, reverse=True)
+        self.starts_any = self.map.starts.copy()
+        self.starts_any[[s[0] for s in self.symbols if s]] = True
         self.size = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces], np.int64)
         self.unknown = [i for i, p in enumerate(model.pieces) if p.type == 2][0]
         self.fallback = model.trainer_spec.byte_fallback
@@ -87,66 +90,58 @@ class Codec:
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
+    def _mapped(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes after the character map, and for each the byte of the source where it came from: its own place where it is
+        copied, the first byte of the key where it is replaced. The model's own symbols stay as they are."""
+        raw = np.frombuffer(data, np.uint8)
+        out, source, done, free = [], [], 0, 0
+        for at in np.flatnonzero(self.starts_any[raw]).tolist():
+            if at < free:
+                continue
+            own = next((len(s) for s in self.symbols if data.startswith(s, at)), 0)
+            if own:
+                free = at + own
+                continue
+            found = self.map.longest(data, at) if self.map.starts[raw[at]] else None
+            if found is None:
+                # a key starts where a character does
+                free = at + (1 if raw[at] < 0x80 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4)
+                continue
+            n, part = found
+            out += [raw[done:at], np.frombuffer(part, np.uint8)]
+            source += [np.arange(done, at), np.full(len(part), at)]
+            done = free = at + n
+        return np.concatenate([*out, raw[done:]]), np.concatenate([*source, np.arange(done, len(raw))])
+
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and for each of its bytes (and its end) the byte of the source where it came from."""
         data = text.encode()
-        if not self.map.starts and not self.squeeze and self.escape and not self.suffix:
-            if not data:
-                return "", np.zeros(1, np.int64)
-            raw = np.frombuffer(data, np.uint8)
-            width = np.where(raw == 32, 3, 1)
-            if self.prefix:
-                at = np.repeat(np.arange(-1, len(raw) + 1), np.concatenate([[3], width, [1]]))
-                at[:3] = 0
-            else:
-                at = np.repeat(np.arange(len(raw) + 1), np.append(width, 1))
-            return (SPACE if self.prefix else "") + text.replace(" ", SPACE), at
-        return self._normalise_by_map(data)
-
-    def _normalise_by_map(self, data: bytes) -> tuple[str, np.ndarray]:
-        out, source = bytearray(), []
-        mark = SPACE.encode() if self.escape else b" "
-
-        def next_part(at):
-            if data[at] in self.map.starts and (found := self.map.longest(data, at)):
-                return found
-            n = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
-            return n, data[at : at + n]
-
-        at = 0
-        if self.squeeze:  # leading blanks go
-            while at < len(data):
-                n, part = next_part(at)
-                if part != b" ":
-                    break
-                at += n
-        if at == len(data):
-            return "", np.zeros(1, np.int64)
-        if self.prefix and not self.suffix:
-            out += mark
-            source += [at] * len(mark)
-        blank = self.squeeze
-        while at < len(data):
-            n, part = next_part(at)
-            while blank and part.startswith(b" "):
-                part = part[1:]
-            if part:
-                for b in part:
-                    piece = mark if b == 32 else bytes([b])
-                    out += piece
-                    source += [at] * len(piece)
-                blank = self.squeeze and part.endswith(b" ")
-            at += n
+        out, source = self._mapped(data)
         end = len(data)
-        if self.squeeze:
-            while out.endswith(mark):
-                del out[-len(mark) :]
-                end = source[len(out)]
-                del source[len(out) :]
+        blank = out == 32
+        if self.squeeze:  # of a run of blanks the first stays; none at the ends
+            keep = ~blank
+            keep[1:] |= ~blank[:-1]
+            full = np.flatnonzero(~blank)
+            keep[: full[0] if len(full) else len(out)] = False
+            if len(full):
+                end = int(source[full[-1] + 1]) if full[-1] + 1 < len(out) else end
+                keep[full[-1] + 1 :] = False
+            out, source, blank = out[keep], source[keep], blank[keep]
+        if not len(out):
+            return "", np.zeros(1, np.int64)
+        mark = np.frombuffer(SPACE.encode() if self.escape else b" ", np.uint8)
+        if self.escape:
+            width = np.where(blank, 3, 1)
+            at = np.cumsum(width) - width
+            out, source = np.repeat(out, width), np.repeat(source, width)
+            for k, b in enumerate(mark):
+                out[at[blank] + k] = b
         if self.prefix and self.suffix:
-            out += mark
-            source += [end] * len(mark)
-        return out.decode(), np.array([*source, end])
+            out, source = np.concatenate([out, mark]), np.concatenate([source, np.full(len(mark), end)])
+        elif self.prefix:
+            out, source = np.concatenate([mark, out]), np.concatenate([np.full(len(mark), source[0]), source])
+        return out.tobytes().decode(), np.append(source, end)
 
     def _remember(self, words: set[str]) -> None:
         if len(self.young) > WORDS_REMEMBERED:
@@ -180,7 +175,7 @@ class Codec:
             if self.fallback or not (ids == self.unknown).any():
                 edge = np.concatenate([[0], np.cumsum(self.size[ids])])
             else:  # an unknown piece stands for any run of characters
-                edge = np.array([0] + [p.end for p in self.segment.encode(text, out_type="immutable_proto").pieces])
+                edge = np.array([0] + [p.end for p in self.segment.encode(text, return_type="proto").pieces])
                 edge = np.cumsum([0] + [len(c.encode()) for c in text])[edge]
             out.append((ids, shown, source[edge[:-1]], source[edge[1:]]))
         return out

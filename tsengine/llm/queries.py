@@ -139,17 +139,25 @@ e AS (SELECT *, length(t) AS n, substr(t, 1, length(t) - length(t) // 2) || subs
 trees AS (
   SELECT doc_id, n, ed,
     list_transform([t, ed, nxt], lambda x: list_transform(string_split(x, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
-      lambda p: list_transform(string_split(regexp_replace(p, '([.,;:!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda c: left(md5(c), 8))))) AS tree
+      lambda p: list_transform(string_split(regexp_replace(p, '([.,;:!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda c: sha256(c))))) AS tree
   FROM e),
+inner_nodes AS (
+  SELECT *, list_transform(tree, lambda x: list_transform(x, lambda s: list_transform(s, lambda p: sha256('p' || array_to_string(p, ''))))) AS ps FROM trees),
+section_nodes AS (SELECT *, list_transform(ps, lambda x: list_transform(x, lambda s: sha256('s' || array_to_string(s, '')))) AS ss FROM inner_nodes),
 prints AS (
-  SELECT *, list_transform(tree, lambda x: sha256(array_to_string(list_transform(x, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))), ''))
-      || ':' || array_to_string(list_transform(x, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(p, '')), ',')), '/')) AS fp,
-    list_transform(tree, lambda x: list_distinct(flatten(flatten(x)))) AS l
-  FROM trees)
-SELECT doc_id, n AS n_chars, sha256(ed) AS edited_sha256, fp[1] AS fingerprint, fp[2] AS edited_fingerprint,
+  SELECT *, list_transform(ss, lambda x: sha256('r' || array_to_string(x, ''))) AS root,
+    list_transform(tree, lambda x: array_to_string(list_transform(x, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(list_transform(p, lambda c: left(c, 8)), '')), ',')), '/')) AS fp
+  FROM section_nodes),
+alls AS (
+  SELECT *, list_transform([1, 2, 3], lambda k: list_distinct(list_concat(list_concat(flatten(flatten(tree[k])), flatten(ps[k])), list_concat(ss[k], [root[k]])))) AS l,
+    string_split(fp[1], '/') AS sa, string_split(fp[2], '/') AS sb
+  FROM prints)
+SELECT doc_id, n AS n_chars, sha256(ed) AS edited_sha256, root[1] || ':' || fp[1] AS fingerprint, root[2] || ':' || fp[2] AS edited_fingerprint,
   2.0::DOUBLE * len(list_intersect(l[1], l[2])) / (len(l[1]) + len(l[2])) AS near_edited,
-  2.0::DOUBLE * len(list_intersect(l[1], l[3])) / (len(l[1]) + len(l[3])) AS near_next
-FROM prints
+  2.0::DOUBLE * len(list_intersect(l[1], l[3])) / (len(l[1]) + len(l[3])) AS near_next,
+  array_to_string(list_filter(flatten(list_transform(sa, lambda s, i: list_transform(string_split(s, ','), lambda p, j:
+    CASE WHEN string_split(coalesce(sb[i], ''), ',')[j] IS NOT DISTINCT FROM p THEN NULL ELSE (i - 1) || '.' || (j - 1) END))), lambda z: z IS NOT NULL), ',') AS edited_branches
+FROM alls
 """,
     # Words with the two before them, count tables of one to three words, the longest that occurs twice.
     "op9_backoff_cutoff2": r"""

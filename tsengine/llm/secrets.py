@@ -7,6 +7,9 @@ import math
 import random
 import re
 import string
+import zlib
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +22,10 @@ KINDS = ("assign", "access", "hex", "markov")
 #: What the Markov models read; any other character ends a candidate.
 ALPHABET = string.ascii_letters + string.digits + "+/_="
 SHORTEST_CANDIDATE = 16
-#: Mean log-likelihood ratio per character from which a candidate counts as random.
-THRESHOLD = 0.35
+#: Of the ordinary identifiers held out of training, at most this share may reach the threshold.
+FALSE_SHARE = 1e-3
+#: Cells of the histogram of mean ratios, from -LIMIT to LIMIT, from which the threshold is chosen.
+CELLS, LIMIT = 4000, 10.0
 
 _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _keyword = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -72,54 +77,105 @@ def markov_ratios(random_pairs: np.ndarray, ordinary_pairs: np.ndarray) -> np.nd
     return np.hstack([np.zeros((N, 1)), log_p(random_pairs) - log_p(ordinary_pairs)])
 
 
-def train_secret_models(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The table of log-likelihood ratios, trained over all of `docs`.
+class Models(NamedTuple):
+    """What `train_secret_models` finds: the table of ratios, the threshold of their mean, and on samples held out of training the
+    share of random strings that reach it and of ordinary identifiers that do."""
 
-    Labelled samples: the values that the fixed patterns find, with strings random by rule, are the random class; runs of 8 and
-    more characters of the alphabet outside those patterns are ordinary identifiers. Every task counts pairs of characters and
-    only those sums (at most alphabet squared for each task) are shuffled and reach the driver. Without ordinary identifiers,
-    as in an empty table, the smoothing leaves that class uniform.
+    ratios: np.ndarray
+    threshold: float
+    recall: float
+    false_share: float
+
+
+def _samples(text: str) -> tuple[list[str], list[str]]:
+    """(ordinary identifiers, random strings) of a text: runs of 8 and more characters of the alphabet outside the fixed
+    patterns, and the values that those patterns find."""
+    ordinary, found, at = [], [], 0
+    for start, end, kind in base_spans(text):
+        value = text[start:end]
+        found += _candidate.findall(_assign.match(value).group(2) if kind == 0 else value)
+        ordinary += _word.findall(text, at, start) if start > at else ()
+        at = max(at, end)
+    return ordinary + _word.findall(text, at), found
+
+
+def _held_out(strings: list[str]) -> list[bool]:
+    """One sample in five, by its own hash, is held out: equal samples are on one side."""
+    return [zlib.crc32(s.encode()) % 5 == 0 for s in strings]
+
+
+def _means(strings: list[str], ratios: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(strings))
+    for i, s in enumerate(strings):
+        a = _code[np.frombuffer(("\0" + s).encode("ascii"), np.uint8)]
+        out[i] = ratios[a[:-1], a[1:]].mean()
+    return out
+
+
+def _cells(means: np.ndarray) -> np.ndarray:
+    at = np.clip((means + LIMIT) / (2 * LIMIT) * CELLS, 0, CELLS - 1).astype(np.int64)
+    return np.bincount(at, minlength=CELLS)
+
+
+def train_secret_models(docs: DataFrame, text: str = "text", false_share: float = FALSE_SHARE) -> Models:
+    """Two character models, trained over all of `docs`, and the threshold between them.
+
+    Labelled samples: the values that the fixed patterns find, with strings random by rule, are the random class; other runs of
+    the alphabet's characters are ordinary identifiers. One distinct sample in five, by hash, is held out. Tasks count pairs of
+    characters of the others, and only those sums (alphabet squared) reach the driver. The threshold is the least that at most
+    `false_share` of the held-out ordinary identifiers of a candidate's length reach, and that lies above 0, where both classes
+    are as likely; a second pass makes the histogram of their means, of a fixed number of cells.
+
+    Without ordinary identifiers, as in an empty table, the smoothing leaves that class uniform and the threshold is 0.
     """
     common.tune(docs.sparkSession)
 
-    def count(batches):
+    def table(df: DataFrame, make, size: int) -> np.ndarray:
+        """The sum over all texts of the arrays that make(texts) gives."""
+
+        def run(batches):
+            total = np.zeros(size, np.int64)
+            for rb in batches:
+                total += make(common.strings(rb, text))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["cell", "n"])
+
+        out = np.zeros(size)
+        for cell, n in df.select(text).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            out[cell] = n
+        return out
+
+    def count(texts):
         total = np.zeros((2, N, N), np.int64)
-        for rb in batches:
-            found: tuple[list[str], list[str]] = ([], [])
-            for t in common.strings(rb, text):
-                spans = base_spans(t)
-                for start, end, kind in spans:
-                    value = t[start:end]
-                    if kind == 0:
-                        value = _assign.match(value).group(2)
-                    found[1].extend(_candidate.findall(value))
-                at = 0
-                for start, end, _ in spans:
-                    found[0].extend(_word.findall(t, at, start) if start > at else ())
-                    at = max(at, end)
-                found[0].extend(_word.findall(t, at))
-            for k in (0, 1):
-                total[k] += _pairs(found[k])
-        at = np.nonzero(total.ravel())[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at], pa.int64())], names=["cell", "n"])
+        for k, strings in enumerate(map(list, map(chain.from_iterable, zip(*map(_samples, texts))))):
+            total[k] += _pairs([s for s, out in zip(strings, _held_out(strings)) if not out])
+        return total.ravel()
+
+    ordinary, found = table(docs, count, 2 * N * N).reshape(2, N, N)
+    made = random_strings()
+    out = _held_out(made)
+    ratios = markov_ratios(found + _pairs([s for s, o in zip(made, out) if not o]), ordinary)
+
+    def measure(texts):
+        kept = [[s for s in strings if len(s) >= SHORTEST_CANDIDATE] for strings in map(chain.from_iterable, zip(*map(_samples, texts)))]
+        return np.concatenate([_cells(_means([s for s, o in zip(k, _held_out(k)) if o], ratios)) for k in kept])
 
-    rows = docs.select(text).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    table = np.zeros(2 * N * N)
-    for cell, n in rows:
-        table[cell] = n
-    ordinary, found = table.reshape(2, N, N)
-    return markov_ratios(found + _pairs(random_strings()), ordinary)
+    seen, right = table(docs, measure, 2 * CELLS).reshape(2, CELLS)
+    right = right + _cells(_means([s for s, o in zip(made, out) if o], ratios))
+    above = lambda x: np.append(np.cumsum(x[::-1])[::-1], 0)
+    share = above(seen) / max(seen.sum(), 1)
+    cell = max(int(np.argmax(share <= false_share)), CELLS // 2)
+    return Models(ratios, cell / CELLS * 2 * LIMIT - LIMIT, float(above(right)[cell] / max(right.sum(), 1)), float(share[cell]))
 
 
-def markov_spans(text: str, ratios: np.ndarray, taken: list[tuple[int, int, int]], threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
+def markov_spans(text: str, models: Models, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates outside the `taken` spans whose mean log-likelihood ratio reaches the threshold."""
     out = []
     for m in _candidate.finditer(text):
         start, end = m.span()
         if any(s < end and start < e for s, e, _ in taken):
             continue
-        a = _code[np.frombuffer(("\0" + m.group()).encode("ascii"), np.uint8)]
-        if ratios[a[:-1], a[1:]].sum() >= threshold * (end - start):
+        if _means([m.group()], models.ratios)[0] >= models.threshold:
             out.append((start, end, 3))
     return out
 
@@ -128,18 +184,18 @@ def _shown(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
-def scan_secrets(docs: DataFrame, ratios: np.ndarray, text: str = "text", threshold: float = THRESHOLD, keep=None, redact: str | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, models: Models, text: str = "text", keep=None, redact: str | None = None) -> DataFrame:
     """`docs` with the secrets of every whole text.
 
     Columns: n_assign, n_access, n_hex, n_markov long; base_sha256, the SHA-256 of the spans of the fixed patterns; spans, all
     spans as kind:start:end (code points, end exclusive) by start and kind, joined by commas. redact: also `redacted`, the text
     with every span replaced by this string (overlapping spans as one).
-    ratios: from `train_secret_models`. keep: input columns to return (default: all).
+    models: from `train_secret_models`. keep: input columns to return (default: all).
 
     Null is the empty text, without spans. Works row by row: repeated rows and ties keep their place and an empty table gives
     an empty result; texts are read whole. Input columns named like the new ones are replaced.
     """
-    if not math.isfinite(float(np.abs(ratios).sum())):
+    if not math.isfinite(float(np.abs(models.ratios).sum())):
         raise ValueError("ratios must be finite")
     fields = [common.field(f"n_{k}", "long") for k in KINDS] + [common.field("base_sha256", "string"), common.field("spans", "string")]
     if redact is not None:
@@ -149,7 +205,7 @@ def scan_secrets(docs: DataFrame, ratios: np.ndarray, text: str = "text", thresh
         counts, digests, shown, clean = [], [], [], []
         for t in common.strings(rb, text):
             base = base_spans(t)
-            more = markov_spans(t, ratios, base, threshold)
+            more = markov_spans(t, models, base)
             spans = sorted(base + more, key=lambda s: (s[0], s[2]))
             counts.append(np.bincount([s[2] for s in spans], minlength=4) if spans else np.zeros(4, np.int64))
             digests.append(hashlib.sha256(_shown(base).encode()).hexdigest())
