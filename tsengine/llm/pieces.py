@@ -176,7 +176,6 @@ class Codec:
                 edge = np.concatenate([[0], np.cumsum(self.size[ids])])
             else:  # an unknown piece stands for any run of characters
                 edge = np.array([0] + [p.end for p in self.segment.encode(text, return_type="proto").pieces])
-                edge = np.cumsum([0] + [len(c.encode()) for c in text])[edge]
             out.append((ids, shown, source[edge[:-1]], source[edge[1:]]))
         return out
 
