@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -83,17 +85,26 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system: workers stay for the tasks that follow, of other stages too."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def append_columns(
     df: DataFrame,
     make: Callable[[pa.RecordBatch], list],
     fields: list[T.StructField],
     keep: Sequence[str] | None = None,
     parts: Callable[[pa.RecordBatch], list] | None = None,
+    end: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Adds columns computed per Arrow batch, without a shuffle.
 
     make: gets a batch of `df`, returns one Arrow array for each of `fields`. keep: input columns to return (default: all).
-    parts: cuts a batch into smaller ones, each of which is made and returned before the next.
+    parts: cuts a batch into smaller ones, each of which is made and returned before the next. end: what a task does when it is
+    done, such as emptying what it has remembered.
     An input column named like one of `fields` is replaced by it.
     """
     tune(df.sparkSession)
@@ -107,6 +118,10 @@ def append_columns(
             for rb in (parts(whole) if parts else [whole]) if whole.num_rows else []:
                 cols = make(rb)
                 yield pa.RecordBatch.from_arrays([rb.column(rb.schema.get_field_index(c)) for c in kept] + list(cols), names=kept + new)
+                del rb, cols
+        if end:
+            end()
+        release()
 
     return df.mapInArrow(run, schema)
 

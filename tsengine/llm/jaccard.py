@@ -24,7 +24,7 @@ BEST, LARGEST = 2, 3
 #: Rows of a tile beyond which it is cut into pairs of blocks.
 TILE = 1024
 #: Set digests that a task remembers, so that it sends the shingles of a repeated set once.
-SETS_REMEMBERED = 200_000
+SETS_REMEMBERED = 100_000
 
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
@@ -157,6 +157,7 @@ def _checked(docs: DataFrame, text: str, k: int, percent: int, pairs: DataFrame,
                 n, m = t.column("_n_a").to_numpy(), t.column("_n_b").to_numpy()
                 keep = may_link(most_shared(x, y, n, m), n, m, percent)
                 yield from t.select(["a", "b"]).filter(pa.array(keep)).combine_chunks().to_batches()
+        common.release()
 
     near = common.saved(near.mapInArrow(bound, "a long, b long"), f"{folder}/near")
     wanted = common.bloom(near.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c")
@@ -178,6 +179,8 @@ def _checked(docs: DataFrame, text: str, k: int, percent: int, pairs: DataFrame,
                         ids.append(d)
                         values.append(pack_set(h[at[i] : at[i + 1]]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.binary())], names=["_cls", "_set"])
+        done.clear()
+        common.release()
 
     # dealt by class once; both joins read that exchange
     kept = docs.select(text).mapInArrow(sets, "_cls long, _set binary").dropDuplicates(["_cls"])
@@ -254,6 +257,8 @@ def _tile_pairs(tiles: DataFrame, percent: int, best: int | None) -> DataFrame:
             rest = t.slice(cut)
         if rest is not None and rest.num_rows:
             yield pairs(rest)
+        rest = None
+        common.release()
 
     return tiles.mapInArrow(run, "a long, b long")
 

@@ -14,9 +14,9 @@ from . import common
 
 SPACE = "▁"
 #: Entries of one generation of a worker's memory of encoded words; two generations are kept.
-WORDS_REMEMBERED = 60_000
+WORDS_REMEMBERED = 40_000
 #: Bytes of texts that are encoded at a time.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
 _codecs: dict[str, "Codec"] = {}
 
 
@@ -158,6 +158,9 @@ class Codec:
             for w, ids in zip(part, self.segment.encode(part, num_threads=1)):
                 self.young[w] = (np.array(ids, np.int32).tobytes(), " ".join(map(str, ids)))
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str, np.ndarray, np.ndarray]]:
         """For each text: ids, the ids as text, and the byte span [begin, end) of the source under each piece."""
         normal = [self.normalise(t) for t in texts]
@@ -236,4 +239,4 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", end_id:
             cols += [pa.array([more(x[k], n).astype(np.int32) for x, n in zip(found, size)], pa.list_(pa.int32())) for k in (2, 3)]
         return cols
 
-    return common.append_columns(docs, make, fields, keep, parts)
+    return common.append_columns(docs, make, fields, keep, parts, lambda: codec(model_path).forget())

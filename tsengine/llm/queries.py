@@ -47,7 +47,11 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    """What 400-byte repeats remove, and n_passage_windows: runs of 51 words that another document has, removed or not."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    passages = suffixes.repeated_passages(docs).withColumnRenamed("digest", "_digest")
+    kept = suffixes.remove_repeats(docs.withColumn("_digest", F.xxhash64(F.coalesce("text", F.lit("")))), keep=["doc_id", "_digest"])
+    return kept.join(passages, "_digest", "left").withColumn("n_passage_windows", F.coalesce("n_windows", F.lit(0).cast("long"))).drop("_digest", "n_windows")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,13 +27,17 @@ HOT_SHARE = 1 << 16
 #: Distances to a hot anchor that stay together.
 SLICE = 24
 #: Bytes of texts that are anchored at a time; arrays with several words for each byte are made.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
 #: Contexts that a task remembers, so that it sends a repeated one once.
-CONTEXTS_REMEMBERED = 20_000
+CONTEXTS_REMEMBERED = 10_000
+#: Words of the runs whose hashes choose the anchors of passages.
+SHORT = 8
 #: A perfect difference cover: every distance mod PERIOD is a difference of two of these. Fixed values.
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 PERIOD = 57
 
+_blank = np.zeros(256, bool)
+_blank[[9, 10, 11, 12, 13, 32]] = True
 _in_cover = np.zeros(PERIOD, bool)
 _in_cover[list(COVER)] = True
 
@@ -245,7 +249,7 @@ def _contexts(docs: DataFrame, length: int, sent, hot) -> DataFrame:
                 if len(held) > CONTEXTS_REMEMBERED:
                     yield flush()
         yield flush()
-        pa.default_memory_pool().release_unused()
+        common.release()
 
     return docs.mapInArrow(run, "key long, context binary, anchor int, many int, twice boolean, holders binary")
 
@@ -310,11 +314,75 @@ def _ranges(contexts: DataFrame, length: int) -> DataFrame:
                 t, key = t.slice(stop), key[stop:]
         if held:
             yield block(pa.concat_tables(held))
-        pa.default_memory_pool().release_unused()
+        common.release()
 
     return contexts.mapInArrow(run, "digest long, ranges binary")
 
 
+def _word_windows(data: np.ndarray, offsets: np.ndarray, words: int):
+    """For runs of `words` words of each row: (row, hash of the run, hash of its anchor). The anchor is the least of the hashes of
+    its SHORT-word runs, so equal runs have equal anchors."""
+    start, end, cut = kernels.word_spans(data, offsets, _blank)
+    w = kernels.range_hashes(kernels.prefix_hashes(data), start, end)
+    up, down = kernels._powers("up", len(w) + 1), kernels._powers("down", len(w) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[: len(w)])])
+
+    def runs(k):
+        return kernels.mix((sums[k:] - sums[:-k]) * down[: len(w) - k + 1] + np.uint64(k)) if len(w) >= k else np.zeros(0, np.uint64)
+
+    whole, least = runs(words), window_minima(runs(SHORT), words - SHORT + 1)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(cut))
+    inside = row[: len(whole)] == row[words - 1 :] if len(whole) else np.zeros(0, bool)
+    return row[: len(whole)][inside], whole[inside], least[inside]
+
+
+def repeated_passages(docs: DataFrame, text: str = "text", words: int = 51) -> DataFrame:
+    """(digest long, n_windows long): for texts, by the xxhash64 of their bytes (null: empty), how many runs of `words` words they
+    share with another row; texts without such runs are left out.
+
+    Runs are compared by 64-bit hashes. Anchors of runs are counted over all texts; only runs under an anchor that several rows
+    have are dealt by their hash, where the least and the greatest row tell whether rows differ. Words are what blanks, tabs, line
+    feeds, VT, FF and CR separate. Shorter texts have no runs; every run of a repeated row is shared; an empty table gives an empty
+    result.
+    """
+    spark = docs.sparkSession
+    common.tune(spark)
+    folder = common.shared_dir(spark)
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_digest", F.xxhash64("_text"))
+
+    def anchors_of(batches):
+        for rb in batches:
+            for _, _, data, offsets in common.text_chunks(rb, "_text", TEXT_BYTES):
+                row, _, least = _word_windows(data, offsets, words)
+                new = np.ones(len(row), bool)  # neighbours often have one anchor in common
+                new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
+                key, times = np.unique(least[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(times, pa.int64())], names=["key", "n"])
+        common.release()
+
+    seen = texts.select("_text").mapInArrow(anchors_of, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
+    sent = spark.sparkContext.broadcast(common.bloom(common.saved(seen.select("key"), f"{folder}/passage_anchors"), "key"))
+
+    def asked_of(batches):
+        for rb in batches:
+            digests = rb.column(rb.schema.get_field_index("_digest")).to_numpy()
+            for lo, _, data, offsets in common.text_chunks(rb, "_text", TEXT_BYTES):
+                row, whole, least = _word_windows(data, offsets, words)
+                keep = common.in_bloom(sent.value, least)
+                yield pa.RecordBatch.from_arrays([pa.array(whole[keep].view(np.int64)), pa.array(digests[lo + row[keep]])], names=["run", "digest"])
+        common.release()
+
+    asked = common.saved(texts.mapInArrow(asked_of, "run long, digest long"), f"{folder}/passages")
+    copies = texts.groupBy(F.col("_digest").alias("digest")).agg(F.count("*").alias("rows"))
+    shared = asked.groupBy("run").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("run")
+    between = asked.join(shared, "run").groupBy("digest").agg(F.count("*").alias("n"))
+    own = asked.groupBy("digest").agg(F.count("*").alias("all"))
+    found = own.join(between, "digest", "left").join(copies, "digest")
+    # a repeated row shares all it has with its copies; what was asked for it counts once for each
+    n = F.when(F.col("rows") > 1, F.col("all") / F.col("rows")).otherwise(F.coalesce("n", F.lit(0)))
+    return common.saved(found.select("digest", n.cast("long").alias("n_windows")).filter("n_windows > 0"), f"{folder}/passage_counts")
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, keep=None, kept_text: str | None = None) -> DataFrame:
     """`docs` without the bytes that a repeated string of `length` bytes covers.
 
@@ -342,6 +410,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, keep=
             for _, _, data, offsets in common.text_chunks(rb, "_text", TEXT_BYTES):
                 key, times = np.unique(anchors(data, offsets, length)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(times, pa.int64())], names=["key", "n"])
+        common.release()
 
     repeated = texts.select("_text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
     repeated = common.saved(repeated, f"{folder}/repeated")
