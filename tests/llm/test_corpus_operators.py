@@ -6,6 +6,7 @@ import math
 import random
 import re
 import string
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -121,14 +122,19 @@ def test_factorisation_identity():
     assert m.raw(f, x, np.array([0, 4]))[0][0] == pytest.approx(want)
 
 
-def py_leaves(t):
-    cut = lambda p: re.sub(r"([.,;:!?]) ", "\\1\x01", p).split("\x01")
-    return [[[hashlib.md5(c.encode()).hexdigest()[:8] for c in cut(p)] for p in s.split("\n")] for s in t.split("\n\n")]
+def py_tree(t):
+    """(leaves by section and paragraph, all nodes, root) of a text."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    tree = [[[sha(c) for c in re.split(r"(?<=[.,;:!?]) ", p)] for p in s.split("\n")] for s in t.split("\n\n")]
+    paragraphs = [[sha("p" + "".join(p)) for p in s] for s in tree]
+    sections = [sha("s" + "".join(s)) for s in paragraphs]
+    root = sha("r" + "".join(sections))
+    return tree, {c for s in tree for p in s for c in p} | {p for s in paragraphs for p in s} | {*sections, root}, root
 
 
 def test_fingerprints(spark):
     long = "A one. B two,\nC three! d\n\nE four. " * 30
-    rows = [(5, "x. y\nz"), (1, None), (9, long), (7, ""), (5, "x. y\nz"), (12, "ñ😀. é\nz"), (2, long + "q")]
+    rows = [(5, "x. y\nz"), (1, None), (9, long), (7, ""), (5, "x. y\nz"), (12, "ñ😀. é\nz"), (2, long + "q"), (20, "One a. two"), (21, "One a.\x01two"), (22, "a\nb"), (23, "b\na")]
     df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, fingerprint string")
     got = {r["doc_id"]: r for r in fingerprints.merkle_fingerprints(df).collect()}
     order = sorted((i, t or "") for i, t in rows)
@@ -138,12 +144,13 @@ def test_fingerprints(spark):
         h = len(t) // 2
         ed = t[: len(t) - h] + nxt[:h]
         assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(ed.encode()).hexdigest()
-        a, b = ({c for s in py_leaves(x) for p in s for c in p} for x in (t, ed))
+        (_, a, root), (_, b, _), (_, c, _) = (py_tree(x) for x in (t, ed, nxt))
         assert got[i]["near_edited"] == pytest.approx(2 * len(a & b) / (len(a) + len(b)))
-        tree = py_leaves(t)
-        md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
-        root = hashlib.sha256("".join(md5("".join(md5("".join(p)) for p in s)) for s in tree).encode()).hexdigest()
+        assert got[i]["near_next"] == pytest.approx(2 * len(a & c) / (len(a) + len(c)))
         assert got[i]["fingerprint"].split(":")[0] == root
+        assert (got[i]["edited_branches"] == "") == (ed == t)
+    roots = [got[i]["fingerprint"].split(":")[0] for i in (20, 21, 22, 23)]
+    assert len(set(roots)) == 4 and got[22]["near_next"] < 1  # different texts, also of the same paragraphs in another order
     a, b = "p one\np two\n\np three", "p one\np 2\n\np three"
     two = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
     prints = {r["doc_id"]: r["fingerprint"] for r in fingerprints.merkle_fingerprints(two).collect()}
@@ -152,6 +159,14 @@ def test_fingerprints(spark):
     assert fingerprints.merkle_fingerprints(df.limit(0)).count() == 0
 
 
+def test_next_of_text_ids(spark):
+    ids = [f"key{i:05d}" for i in random.Random(5).sample(range(90000), 1400)] + ["", "é"]
+    df = spark.createDataFrame([(i, i) for i in ids], "_id string, _text string")
+    got = {x["_id"]: x["_next"] for x in fingerprints.with_next(df).collect()}
+    order = sorted(ids, key=lambda x: x.encode())
+    assert got == dict(zip(order, order[1:] + order[:1]))
+
+
 def test_next_over_many_ranges(spark):
     r = random.Random(4)
     ids = r.sample(range(10**6), 1500) + [10**12]
@@ -213,13 +228,105 @@ def test_secrets(spark):
     assert spans[0].startswith("assign:0:") and any(s.startswith("access:") for s in spans)
 
 
-def test_secret_models_tell_random_strings(spark):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    ratios = secrets.train_secret_models(d)
-    r = random.Random(99)
-    found = sum(bool(secrets.markov_spans("see " + "".join(r.choices(string.ascii_letters + string.digits, k=32)) + " ok", ratios, [])) for _ in range(100))
-    plain = sum(bool(secrets.markov_spans("".join(r.choices(["the", "tion", "ing", "and"], k=8)), ratios, [])) for _ in range(100))
-    assert found >= 95 and plain <= 5
+def brute_base(t):
+    """The fixed patterns of the contract, written out again."""
+    t = t or ""
+    out = [(m.start(), m.end(), 0) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m.group(2)) >= 6]
+    out += [(m.start(), m.end(), 1) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 20]
+    out += [(m.start(), m.end(), 2) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 24]
+    return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+def test_base_spans_of_a_table(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(d, secrets.train_secret_models(d)).collect()}
+    for r in d.collect():
+        want = brute_base(r["text"])
+        shown = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, b, k in want)
+        assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest()
+        assert set(shown.split(",")) - {""} <= set(got[r["doc_id"]]["spans"].split(","))
+
+
+def test_planted_secrets_without_keyword(spark):
+    """Random strings that no pattern names, planted in documents: recall, and what else is found there."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    models = secrets.train_secret_models(d)
+    assert models.recall >= 0.9 and models.false_share <= 2e-3
+    r, planted = random.Random(99), {}
+    rows = []
+    for i, row in enumerate(d.orderBy("doc_id").limit(400).collect()):
+        words = (row["text"] or "").split(" ")
+        if i % 2:
+            key = "".join(r.choices(string.ascii_letters + string.digits + "+/", k=r.randint(20, 44)))
+            words.insert(r.randrange(len(words) + 1), key)
+            planted[i] = key
+        rows.append((i, " ".join(words)))
+    got = {x["doc_id"]: x for x in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), models).collect()}
+    found = right = 0
+    for i, t in rows:
+        spans = [s.split(":") for s in got[i]["spans"].split(",") if s.startswith("markov")]
+        values = [t[int(a) : int(b)] for _, a, b in spans]
+        found += len(values)
+        right += sum(v == planted.get(i) for v in values)
+    assert right >= 0.9 * len(planted) and right >= 0.9 * found
+
+
+def test_redaction_of_overlaps_and_nulls(spark):
+    key = "AKIA" + "Z" * 20
+    rows = [(1, f"secret={key} x"), (2, None), (3, ""), (4, "a" * 30 + " end")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["redacted"] for r in secrets.scan_secrets(d, secrets.train_secret_models(d), redact="#").collect()}
+    assert got == {1: "# x", 2: "", 3: "", 4: "# end"}
+    assert secrets.scan_secrets(d.limit(0), secrets.train_secret_models(d.limit(0))).count() == 0
+
+
+def test_mapped_model(spark, tmp_path):
+    """The public model with the library's NFKC map: ids, decoding and byte spans as the library gives them."""
+    import sentencepiece as spm
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    mapped, model = pb.ModelProto(), pb.ModelProto()
+    mapped.ParseFromString(spm.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model.ParseFromString(f.read())
+    model.normalizer_spec.precompiled_charsmap = mapped.normalizer_spec.precompiled_charsmap
+    model.normalizer_spec.remove_extra_whitespaces = True
+    path = str(tmp_path / "mapped.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    r = random.Random(3)
+    bits = ["ﬁ", "①", "Ａ", "e\u0301", "ｶﾞ", "\u3000", "  ", " ", "\t", "\n", "word", "Ⅷ", "\u200b", "½", "😀", "密", "\x00", "x.y"]
+    rows = [(0, None), (1, ""), (2, " \t "), *[(k, "".join(r.choices(bits, k=r.randint(1, 60)))) for k in range(3, 400)]]
+    lib = spm.SentencePieceProcessor(model_file=path)
+    got = {x["doc_id"]: x for x in pieces.encode_pieces(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    for k, t in rows:
+        want = lib.encode(t or "", return_type="proto").pieces
+        assert got[k]["piece_ids"] == [p.id for p in want] + [lib.eos_id()]
+        assert got[k]["decoded"] == lib.decode(got[k]["piece_ids"])
+        for p, a, b in zip(want, got[k]["piece_begin"], got[k]["piece_end"]):
+            assert p.piece.startswith("<0x") or (p.begin, p.end) == (a, b)
+
+
+def test_repeated_passages(docs, rows):
+    words = 15
+    got = {r["digest"]: r["n_windows"] for r in suffixes.repeated_passages(docs, words=words).collect()}
+    key = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    split = [[w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w] for _, t in rows]
+    seen = collections.defaultdict(set)
+    for n, w in enumerate(split):
+        for j in range(len(w) - words + 1):
+            seen[tuple(w[j : j + words])].add(n)
+    for (i, _), w in zip(rows, split):
+        assert got.get(key[i], 0) == sum(len(seen[tuple(w[j : j + words])]) > 1 for j in range(len(w) - words + 1))
+    assert suffixes.repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_large_benchmark_is_joined(docs, spark, monkeypatch):
+    items = [(k, t) for k, t in enumerate([r["text"] for r in docs.limit(12).collect()])] + [(90, "a"), (91, None), (None, "b c")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    small = by_id(decontaminate.mark_contamination(docs, b, spans=True), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
+    monkeypatch.setattr(decontaminate, "CHARS_FOR_AUTOMATON", 10)
+    assert by_id(decontaminate.mark_contamination(docs, b, spans=True), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans") == small
 
 
 def test_decontamination(spark):
@@ -288,8 +395,9 @@ def test_components(spark):
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_backoff(docs, rows, order, monkeypatch):
-    monkeypatch.setattr(backoff, "PART_GRAMS", 300)
-    monkeypatch.setattr(backoff, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(backoff, "TEXT_BYTES", 1500)
+    monkeypatch.setattr(backoff, "COMMON_SHARE", 50)
+    monkeypatch.setattr(backoff, "SLOTS", 64)
     count = collections.Counter()
     for _, t in rows:
         w = words_of(t)
@@ -313,17 +421,53 @@ def test_backoff(docs, rows, order, monkeypatch):
 
 
 def test_chat(spark):
-    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    turns = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
     conv = chat.conversations_of(turns)
     model = chat.train_roles(conv)
-    got = chat.parse_transcripts(chat.written_transcripts(conv), model).filter(F.crc32(F.col("conv").cast("string")) % 5 == 0)
-    right = got.agg(F.avg((F.col("roles") == F.col("true_roles")).cast("double"))).first()[0]
-    assert right >= 0.7
+    held = [r for r in conv.collect() if zlib.crc32(str(r["conv"]).encode()) % 5 == 0]
+    unseen = ({"system": "World: ", "user": "Bob: ", "assistant": "Guide: "}, {"system": "## Setting\n", "user": "## Player\n", "assistant": "## Narrator\n"})
+    styles, chat.STYLES = chat.STYLES, chat.STYLES + unseen
+    try:
+        for style in range(len(chat.STYLES)):
+            for some in (False, True):  # with all markers, and with about one in eight missing
+                right = lines_seen = 0
+                for r in held:
+                    bare = chat._bare(f"{r['conv']}:{r['part']}", len(r["turns"])) if some else [False] * len(r["turns"])
+                    lines, states = chat.write_out([t["role"] for t in r["turns"]], [t["text"] for t in r["turns"]], style, bare)
+                    found = model.viterbi(chat.line_features(lines))
+                    right += sum(a // 2 == b // 2 for a, b in zip(found, states))
+                    lines_seen += len(states)
+                assert right >= (0.9 if some else 0.97) * lines_seen
+    finally:
+        chat.STYLES = styles
     plain = "User: Hello there, old friend.\nMore of it follows here.\nAssistant: Hi. What is it that you want?\n\nHuman: Nothing at all, good bye."
     assert [r for r, _ in chat.parse(plain, model)] == ["user", "assistant", "user"]
     assert chat.render([("user", "a <|x|>")]) == "<|user|>\na < |x|><|end|>\n"
     odd = spark.createDataFrame([(None, 0, "user", "x"), (None, 0, "user", "y"), (1, None, None, None), (1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
-    assert chat.parse_transcripts(chat.written_transcripts(chat.conversations_of(odd)), model).count() == 3
+    parsed = chat.parse_transcripts(chat.part_edges(chat.written_transcripts(chat.conversations_of(odd)), model), model)
+    assert parsed.count() == 4
+    assert chat.parse_transcripts(chat.written_transcripts(chat.conversations_of(odd.limit(0))), model).count() == 0
+
+
+def test_parts_of_a_conversation_are_parsed_as_a_whole(spark):
+    r = np.random.default_rng(2)
+    n = len(chat.STATES)
+    model = chat.Model(r.random(n), r.random((n, n)), [r.random((n, s)) for s in chat.SIZES])
+    lines = [r.choice(["User: a?", "more", "", "Assistant: b.", "Zed: c", "x!"]) for _ in range(40)]
+    cut = [0, 1, 7, 20, 40]
+    # without names beyond the known ones, whose order a part doesn't share with the others
+    lines = [x.replace("Zed: ", "") for x in lines]
+    features = chat.line_features(lines)
+    for a in cut[1:-1]:  # a part sees no line before it
+        features[a] = chat.line_features(lines[a : a + 1])[0]
+        for k in range(a + 1, 40):
+            features[k] = chat.line_features(lines[a : k + 1])[-1]
+    whole = model.viterbi(features)
+    df = spark.createDataFrame([(1, k, "\n".join(lines[a:b])) for k, (a, b) in enumerate(zip(cut, cut[1:]))], "conv long, part long, text string")
+    for e in chat.part_edges(df, model).collect():
+        a, b = cut[e["part"]], cut[e["part"] + 1]
+        assert e["state_last"] == whole[b - 1] and e["state_before"] == (whole[a - 1] if a else -1)
+        assert model.viterbi(features[a:b], e["state_before"], e["state_last"]) == whole[a:b]
 
 
 def test_viterbi_is_best():
