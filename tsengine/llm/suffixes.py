@@ -374,7 +374,9 @@ def repeated_passages(docs: DataFrame, text: str = "text", words: int = 51) -> D
 
     asked = common.saved(texts.mapInArrow(asked_of, "run long, digest long"), f"{folder}/passages")
     copies = texts.groupBy(F.col("_digest").alias("digest")).agg(F.count("*").alias("rows"))
+    # a table of its own, so that Spark can split the rows of a passage that many texts have when the two are joined
     shared = asked.groupBy("run").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("run")
+    shared = common.saved(shared, f"{folder}/passages_shared")
     between = asked.join(shared, "run").groupBy("digest").agg(F.count("*").alias("n"))
     own = asked.groupBy("digest").agg(F.count("*").alias("all"))
     found = own.join(between, "digest", "left").join(copies, "digest")
