@@ -21,14 +21,28 @@ def test_finds_the_cause(spark):
             rows += [("temp", t, hot[i] + r.normal(0, 0.05)), ("power", t, 2 * hot[i] + 1 + r.normal(0, 0.05)), ("noise", t, r.normal(0, 1))]
     rows += [("sparse", 5, 1.0)]
     df = spark.createDataFrame([(a, int(b), float(c)) for a, b, c in rows], "sensor string, t long, value double")
-    a = analyse(df, 0, n * HOUR, HOUR, ["power", "absent"], n_causes=3)
+    sky = [("Clear", "Light Rain", "Light Snow")[[0.0, 5.0, 9.0].index(x)] for x in hot]
+    weather = spark.createDataFrame([(i * HOUR + 7, f"{x + r.normal(0, 0.05):.3f}", c, "") for i, (x, c) in enumerate(zip(hot, sky))], "t long, TemperatureC string, Conditions string, Events string")
+    a = analyse(df, 0, n * HOUR, HOUR, ["power", "absent"], n_causes=3, weather=weather)
     assert [x["sensor"] for x in a.purged.filter("purged").collect()] == ["sparse"]
-    assert a.failures.first()["effect"] == "absent"
-    groups = {x["sensor"]: x["exemplar"] for x in a.clusters.collect()}
+    assert {(x["effect"], x["sig_tag"]) for x in a.failures.collect()} >= {("absent", "avg"), ("absent", "diff")}
+    average = a.clusters.filter("sig_tag = 'avg'").drop("sig_tag")
+    groups = {x["sensor"]: x["exemplar"] for x in average.collect()}
     assert groups["temp"] == groups["power"] != groups["noise"]
-    assert a.states.filter("name = 'power'").select("state").distinct().count() == 3
-    assert a.ranked.count() == 3
-    table = {x["sensor"]: x for x in exports.cluster_table(df, a.clusters).collect()}
+    s = a.states.filter("sig_tag = 'avg'")
+    assert s.filter("name = 'power'").select("state").distinct().count() == 3
+    assert {x["state"] for x in s.filter("name = 'Conditions'").select("state").distinct().collect()} == {8, 3, 1}
+    assert {x["state"] for x in s.filter("name = 'TemperatureC'").select("state").distinct().collect()} == {0, 5, 9}
+    assert s.filter("name = 'Events'").count() == 0  # it never changes
+    assert a.ranked.filter("sig_tag = 'avg'").count() == 3
+    assert {x["cause"] for x in a.ranked.filter("sig_tag = 'avg' and opt_prob > 0.99").collect()} >= {"Conditions", "TemperatureC"}
+    nets = {}
+    for x in a.edges.collect():
+        nets.setdefault(x["model_id"], set()).add((x["src"], x["dst"]))
+    explained = {x for x, y in nets["power|avg|weather"] if y == "power"}
+    assert explained and explained <= {"Conditions", "TemperatureC"}
+    assert ("power|avg|all" in nets) and all(x != "power" for edges in nets.values() for x, _ in edges)
+    table = {x["sensor"]: x for x in exports.cluster_table(df, average).collect()}
     assert table["sparse"]["label"] == "-" and table["sparse"]["zero_variance"]
 
 
@@ -62,4 +76,4 @@ def test_queries_take_every_sensor_and_day(spark):
         rows.sort()
         assert [x for x, _ in rows] == grid.tolist()
         want = np.interp((grid - queries.START).astype(float), (t - queries.START).astype(float), [at[x] for x in t.tolist()])
-        assert np.allclose([v for _, v in rows], want)
+        assert np.allclose([v for _, v in rows], want, atol=6e-5)  # the query rounds to four decimals

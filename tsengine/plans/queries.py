@@ -801,7 +801,7 @@ def explained_peaks(spark, sf):
 
     r = events(spark, sf)
     names = [x["sensor"] for x in r.select("sensor").distinct().orderBy("sensor").collect()]
-    return analyse(r, START, END, DAY, names).ranked
+    return analyse(r, START, END, DAY, names, tags=["avg"]).ranked
 
 
 @query()
