@@ -156,18 +156,18 @@ def conversations_of(turns: DataFrame, conv: str = "conv_id", turn: str = "turn"
     return keyed.groupBy("conv", "own", "part").agg(F.sort_array(F.collect_list("t")).alias("turns")).drop("own")
 
 
-def _written(rb: pa.RecordBatch, styles=None):
-    """For each conversation of a batch: id, key, lines, states, turns; in each of `styles`, or else in the one of its key."""
+def _written(rb: pa.RecordBatch, twice: bool = False):
+    """For each conversation of a batch: id, key, lines, states, turns; in the style of its key, and if `twice` in one further on."""
     names = rb.schema.get_field_index
     for conv, part, turns in zip(*(rb.column(names(c)).to_pylist() for c in ("conv", "part", "turns"))):
         key = f"{conv}:{part}"
-        for style in [_style(key)] if styles is None else styles:
+        for style in (_style(key), (_style(key) + 3) % len(STYLES))[: 1 + twice]:
             lines, states = write_out([t["role"] for t in turns], [t["text"] for t in turns], style, _bare(key, len(turns)))
             yield conv, key, lines, states, turns
 
 
 def train_roles(conversations: DataFrame) -> Model:
-    """A model from the labelled turns of conversations whose crc32(id as text) mod 5 is not 0, each written out in every style.
+    """A model from the labelled turns of conversations whose crc32(id as text) mod 5 is not 0, each written out in two of the styles, by the hash of its id.
 
     Tasks count; only the sums (states by states and by feature values) reach the driver. Lines of unknown or null roles teach
     nothing. Without turns the smoothing leaves every probability equal.
@@ -178,7 +178,7 @@ def train_roles(conversations: DataFrame) -> Model:
     def count(batches):
         total = np.zeros(cells[-1], np.int64)
         for rb in batches:
-            for conv, _, lines, states, _ in _written(rb, range(len(STYLES))):
+            for conv, _, lines, states, _ in _written(rb, True):
                 s = np.array(states)
                 if conv is None or zlib.crc32(str(conv).encode()) % 5 == 0 or not len(s):
                     continue
@@ -224,7 +224,7 @@ def part_edges(transcripts: DataFrame, model: Model, text: str = "text", conv: s
     the line before a part (-1: none) and of its last line. `parse_transcripts` then reads each part as a piece of the whole.
 
     Every part gives the best scores from each state before it to each at its end, a few numbers; only these meet, part by part.
-    Parts without conversation are wholes of their own.
+    Conversations of one part, and parts without conversation, are wholes of their own and take no part in that.
     """
     n = len(STATES)
 
@@ -238,7 +238,8 @@ def part_edges(transcripts: DataFrame, model: Model, text: str = "text", conv: s
             found.append(np.concatenate([begun, model.transfer(x).ravel()]))
         return [pa.array(found, pa.list_(pa.float64()))]
 
-    scored = common.append_columns(transcripts.filter(F.col(conv).isNotNull()), make, [common.field("_scores", "array<double>")], [conv, part])
+    many = transcripts.filter(F.col(conv).isNotNull()).groupBy(conv).agg(F.count("*").alias("_n")).filter("_n > 1").select(conv)
+    scored = common.append_columns(transcripts.join(many, conv, "left_semi"), make, [common.field("_scores", "array<double>")], [conv, part])
 
     def carry(t):
         t = t.sort_values(part)

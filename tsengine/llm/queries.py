@@ -33,7 +33,8 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.tune(spark)
     turns = chat.conversations_of(common.table(spark, sf_dir, "conversations"))
     model = chat.train_roles(turns)
-    parsed = chat.parse_transcripts(chat.part_edges(chat.written_transcripts(turns), model), model)
+    written = common.saved(chat.written_transcripts(turns), common.shared_dir(spark))
+    parsed = chat.parse_transcripts(chat.part_edges(written, model), model)
     return parsed.select(
         F.col("conv").alias("conv_id"),
         "part",
