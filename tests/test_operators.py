@@ -373,3 +373,19 @@ def test_files(spark, tmp_path):
     assert files.read_readings(spark, str(tmp_path / "out"), 0, 1).count() == 1
     files.write_sequence_file(series(spark, [1, 2], step=SECOND), str(tmp_path / "seq"))
     assert files.read_sequence_file(spark, str(tmp_path / "seq"), "a").count() == 2
+
+
+def test_other_parameters_compute_anew(spark):
+    s = spark.createDataFrame([("a", 0, 1.0, 1, False), ("a", 10, 2.0, 2, False)], "uuid string, time_ns long, value double, version long, deleted boolean")
+    times = lambda k: lambda rows, ranges: rows.select("uuid", "time_ns", (F.col("value") * k).alias("value"))
+    old, control, anew = versions.refresh(versions.Distillate("d", times(2), params={"k": 2}), s, s.limit(0).select("uuid", "time_ns", "value"), None, 1)
+    assert anew
+    _, control, anew = versions.refresh(versions.Distillate("d", times(2), params={"k": 2}), s, old, control, 2)
+    assert not anew
+    new, _, anew = versions.refresh(versions.Distillate("d", times(3), params={"k": 3}), s, old, control, 2)
+    assert anew and sorted(r["value"] for r in new.collect()) == [3.0, 6.0]
+
+
+def test_read_ids(spark, tmp_path):
+    (tmp_path / "ids.csv").write_text(" a1 ,x\n\n , y\nb2\n")
+    assert sorted(r["id"] for r in files.read_ids(spark, str(tmp_path / "ids.csv")).collect()) == ["a1", "b2"]

@@ -116,3 +116,8 @@ def varying(long: DataFrame, keys: Sequence[str] = ("sensor",), value: str = "va
     """Rows of the columns that take more than one value."""
     good = long.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi")).filter("lo <> hi").select(*keys)
     return long.join(good, list(keys), "left_semi")
+
+
+def with_ids(rows: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
+    """`rows` with the id of their name, from `names` (`name`, id); null where `names` doesn't have it."""
+    return rows.join(names.select(name, "id"), name, "left")

@@ -239,3 +239,9 @@ def kalman(r: DataFrame, q: float, noise: float, rows: int = 20_000) -> DataFram
     steps = numbered.groupBy("sensor", "_chunk").applyInPandas(compose, "sensor string, _chunk int, _a double, _b double")
     states = steps.groupBy("sensor").applyInPandas(carry, "sensor string, _chunk int, _x double")
     return numbered.join(states, ["sensor", "_chunk"]).groupBy("sensor", "_chunk").applyInPandas(finish, "sensor string, t long, value double, smoothed double")
+
+
+def repair_zone(r: DataFrame, recorded: str, site: str) -> DataFrame:
+    """Readings whose times were taken from a clock in zone `recorded`, with the times that a clock in zone `site` showed."""
+    right = F.to_utc_timestamp(F.timestamp_micros("t"), recorded)
+    return r.withColumn("t", F.unix_micros(F.from_utc_timestamp(right, site)))

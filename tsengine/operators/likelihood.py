@@ -177,3 +177,8 @@ def correlation(a: str, b: str, places: int = 3) -> Column:
     """Pearson correlation as an aggregate, rounded; null where one side is constant. From moments, which every task sums."""
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
     return F.round(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), places)
+
+
+def likely(best: DataFrame, least: float = 0.9) -> DataFrame:
+    """The rows of `best_states` with a likelihood above `least`."""
+    return best.filter(F.col("opt_prob") > least)

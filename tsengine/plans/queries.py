@@ -810,3 +810,21 @@ def network_graphs(spark, sf):
     from tsengine.sources import exports
 
     return exports.graph_json(bn_edges(spark, sf))
+
+
+@query(f"WITH {_LH.format(x='max')}, {_BEST} SELECT effect, cause, opt_state, round(opt_prob, 6) AS opt_prob FROM br WHERE opt_prob > 0.5")
+def likely_causes(spark, sf):
+    best = likelihood.best_states(likelihood.state_likelihoods(simple_states(spark, sf)))
+    return rounded(likelihood.likely(best, 0.5).select("effect", "cause", "opt_state", "opt_prob"))
+
+
+@query(f"WITH {_R} SELECT sensor, epoch_us((make_timestamp(t) AT TIME ZONE 'America/Los_Angeles') AT TIME ZONE 'Europe/Helsinki') AS t, value FROM r")
+def zone_repaired(spark, sf):
+    return clean.repair_zone(events(spark, sf), "America/Los_Angeles", "Europe/Helsinki").select("sensor", "t", "value")
+
+
+@query("SELECT s_name AS name, s_nationkey AS nation, CASE WHEN s_acctbal > 0 THEN s_suppkey END AS id FROM supplier")
+def name_to_id(spark, sf):
+    s = table(spark, sf, "supplier")
+    names = s.filter("s_acctbal > 0").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("id"))
+    return align.with_ids(s.select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")), names)

@@ -121,3 +121,9 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 __all__ = [n for n in dir() if n.startswith(("read_", "write_", "find_"))] + ["micros", "readings", "sensor_json", "summary_json"]
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(id): the first field of every line of a CSV text, without blanks around it; empty ones are left out."""
+    first = F.trim(F.split_part("value", F.lit(","), F.lit(1)))
+    return spark.read.text(path).select(first.alias("id")).filter("id <> ''")

@@ -6,6 +6,7 @@ version v if its version is at most v and no later one up to v has the same uuid
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -102,7 +103,8 @@ def erase_then_insert(bounds: DataFrame, visible: DataFrame, new: DataFrame, ver
 class Distillate:
     """A derived stream: compute(input rows, ranges) gives (uuid, time_ns, value) for the ranges.
 
-    before/after: nanoseconds of input that a range needs around it. version: of the algorithm; a new one computes all anew.
+    before/after: nanoseconds of input that a range needs around it. version, params: of the algorithm; a change of
+    either computes all anew.
     """
 
     name: str
@@ -116,17 +118,19 @@ class Distillate:
     params: dict = field(default_factory=dict)
 
 
-CONTROL = "name string, algorithm long, input_version long"
+CONTROL = "name string, algorithm long, params string, input_version long"
 
 
 def refresh(d: Distillate, inputs: DataFrame, output: DataFrame, control: DataFrame | None, target: int) -> tuple[DataFrame, DataFrame, bool]:
     """(new output, new control row, whether all was computed anew): brings a distillate from its last input version to `target`.
 
     What changed is merged, clamped and widened; only input rows in the widened ranges are read, and only the changed ranges of
-    the output are replaced. Without control row, or with another algorithm version, the output is dropped and all recomputed.
+    the output are replaced. Without control row, or with another algorithm version or other parameters, the output is dropped and
+    all recomputed.
     """
     row = control.filter(F.col("name") == d.name).first() if control is not None else None
-    anew = row is None or row["algorithm"] != d.version
+    params = json.dumps(d.params, sort_keys=True, default=str)
+    anew = row is None or (row["algorithm"], row["params"]) != (d.version, params)
     if not anew and d.run_once:
         return output, control.filter(F.col("name") == d.name), False
     since = -1 if anew else row["input_version"]
@@ -136,7 +140,7 @@ def refresh(d: Distillate, inputs: DataFrame, output: DataFrame, control: DataFr
     computed = d.compute(rows_in_ranges(snapshot(inputs, target), needed), ranges)
     base = output.limit(0) if anew else output
     fresh = rows_in_ranges(computed, ranges.withColumn("uuid", F.col("uuid")))
-    control_row = inputs.sparkSession.createDataFrame([(d.name, d.version, target)], CONTROL)
+    control_row = inputs.sparkSession.createDataFrame([(d.name, d.version, params, target)], CONTROL)
     return replace_ranges(base, ranges, fresh), control_row, anew
 
 
