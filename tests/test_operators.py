@@ -11,7 +11,7 @@ from tsengine.functions import scalar
 from tsengine.model import DAY, INT_TYPE, MINUTE, SECOND
 from tsengine.operators import align, clean, clusters, features, likelihood, networks, ordered, states, weather
 from tsengine.sources import files
-from tsengine.streaming import versions
+from tsengine.streaming import schedule, versions
 
 
 def series(spark, values, sensor="a", step=1):
@@ -389,3 +389,96 @@ def test_other_parameters_compute_anew(spark):
 def test_read_ids(spark, tmp_path):
     (tmp_path / "ids.csv").write_text(" a1 ,x\n\n , y\nb2\n")
     assert sorted(r["id"] for r in files.read_ids(spark, str(tmp_path / "ids.csv")).collect()) == ["a1", "b2"]
+
+
+def test_mixture_of_normal_laws():
+    r = np.random.default_rng(4)
+    v = np.sort(np.concatenate([r.normal(0, 1, 400), r.normal(20, 3, 200)]))
+    w = r.integers(1, 4, len(v)).astype(float)
+    one, label, means = states.mixture(v, w, np.array([0]), np.zeros(len(v)))
+    m = np.average(v, weights=w)
+    var = np.average((v - m) ** 2, weights=w) + 1e-3
+    assert not label.any() and means[0] == pytest.approx(m)
+    assert one == pytest.approx(float((w * (-0.5 * np.log(2 * np.pi * var) - (v - m) ** 2 / (2 * var))).sum()))
+    two, label, means = states.mixture(v, w, states.best_cuts(v, w, 2)[1], np.zeros(len(v)))
+    assert two > one and means == pytest.approx([np.average(v[v < 8], weights=w[v < 8]), np.average(v[v >= 8], weights=w[v >= 8])], abs=0.2)
+    assert (label == (v >= 8)).mean() > 0.99
+    whole = states.mixture(np.repeat(v, w.astype(int)), np.ones(int(w.sum())), np.array([0, int(w[v < 8].sum())]), np.zeros(int(w.sum())))
+    assert whole[0] == pytest.approx(two, rel=1e-6)  # a weight counts as that many rows
+
+
+def test_mixture_states(spark):
+    r = np.random.default_rng(5)
+    v = np.round(np.concatenate([r.normal(0, 1, 200), r.normal(50, 1, 200), r.normal(100, 1, 200)]), 3)
+    df = slots(spark, v.tolist())
+    found = {x["value"]: (x["label"], x["n_states"]) for x in states.value_states(df, ["sensor"], method="mixture").collect()}
+    assert set(found) == set(v.tolist())
+    low, middle, high = (max(l for x, (l, _) in found.items() if a < x < b) for a, b in ((-9, 9), (41, 59), (91, 109)))
+    assert low < middle < high == next(iter(found.values()))[1] - 1
+
+
+def test_ward_and_kmeans_labels():
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(9, 4)), 2)
+    error = lambda rows: ((x[rows] - x[rows].mean(0)) ** 2).sum()
+    found, groups = clusters.ward_labels(x, 1), [[i] for i in range(9)]
+    while len(groups) > 1:
+        a, b = min(itertools.combinations(groups, 2), key=lambda g: error(g[0] + g[1]) - error(g[0]) - error(g[1]))
+        groups = [g for g in groups if g not in (a, b)] + [a + b]
+        label = found[len(groups)]
+        assert {frozenset(np.flatnonzero(label == k)) for k in np.unique(label)} == {frozenset(g) for g in groups}
+    apart = np.concatenate([r.normal(c, 0.1, size=(5, 2)) for c in (0, 5, 10)])
+    assert len({tuple(clusters.kmeans_labels(apart, 3)[i : i + 5]) for i in (0, 5, 10)}) == 3
+    assert len(np.unique(clusters.kmeans_labels(np.ones((4, 2)), 3))) == 1  # equal rows
+
+
+def test_compared_clusterings(spark):
+    place = {"a": 0.0, "b": 0.1, "c": 1.2, "d": 1.3, "e": 1.25}
+    d = spark.createDataFrame([(x, y, abs(place[x] - place[y])) for x, y in itertools.combinations(sorted(place), 2)], "a string, b string, d double")
+    names = spark.createDataFrame([(x,) for x in place], "sensor string")
+    found = clusters.clusterings(d, names)
+    got = {(r["method"], r["k"]): r for r in clusters.compare_clusterings(d, found, clusters.distance_bounds(0.9), clusters.distance_bounds(0.1)).collect()}
+    for method in ("pack", "ward", "kmeans"):
+        r = got[(method, 2)]
+        assert (round(r["intra_max"], 6), round(r["inter_min"], 6), r["intra_violations"], r["inter_violations"]) == (0.1, 1.1, 0, 0)
+        assert r["validity"] == pytest.approx((0.1 + 0.1 + 0.05 + 0.05) / 4 / 1.1)
+    assert found.filter("method in ('ward', 'kmeans') and k = 2 and exemplar in ('c', 'd')").count() == 0  # e is their medoid
+
+
+def test_site_names(spark):
+    df = spark.createDataFrame([("BXkey00001x0123_KW", 1), ("BXkey00001xKW", 2), ("nothing", 3), (None, 4)], "code string, n int")
+    names = spark.createDataFrame([("key00001", "Hall")], "key string, name string")
+    kinds = {r["n"]: r["site_name"] for r in align.site_names(df, "code", names, 2, 8, ("KVA", "KW")).collect()}
+    assert kinds[1] == "Hall_KW_0123" and kinds[3] == "nothing" and kinds[4] is None and kinds[2].startswith("Hall_KW_")
+    rest = spark.createDataFrame([("thing", "Thing"), ("key", "no")], "key string, name string")
+    assert [r["site_name"] for r in align.site_names(df, "code", rest).orderBy("n").collect()] == ["BXkey00001x0123_KW", "BXkey00001xKW", "Thing", None]
+
+
+def test_merged_parts(spark):
+    a = spark.createDataFrame([("a", 1, 1.0)], "sensor string, t long, value double")
+    b = spark.createDataFrame([(2.0, "a", 1)], "value double, sensor string, t long")
+    assert sorted(tuple(r) for r in files.merge_parts([a, b]).collect()) == [("a", 1, 1.0), ("a", 1, 2.0)]
+
+
+def doubled(factor: float = 2.0):
+    return lambda rows, ranges: rows.select("uuid", "time_ns", (F.col("value") * factor).alias("value"))
+
+
+def test_scheduler(spark, tmp_path):
+    stream = "uuid string, time_ns long, value double, version long, deleted boolean"
+    source, target = f"{tmp_path}/in", f"{tmp_path}/out"
+    spark.createDataFrame([("a", 0, 1.0, 1, False), ("a", 10**9, 5.0, 1, False)], stream).write.parquet(source)
+    section = {"deps": {"in": source}, "outputs": {"out": target}, "params": {"factor": 2.0}, "paramver": "1", "mintime": "1970-01-01", "maxtime": "2030-01-01T00:00:00"}
+    config = {"global": {"enabled": "true", "algorithm": f"{__name__}.doubled"}, "twice": section}
+    values = lambda: sorted((r["time_ns"], r["value"]) for r in schedule.latest(spark, target).collect())
+    assert schedule.latest(spark, target).count() == 0
+    assert schedule.run(spark, config) == schedule.DONE and values() == [(0, 2.0), (10**9, 10.0)]
+    assert schedule.run(spark, config) == schedule.NO_CHANGE
+    spark.createDataFrame([("a", 10**9, 6.0, 2, False)], stream).write.mode("append").parquet(source)
+    assert schedule.run(spark, config) == schedule.DONE and values() == [(0, 2.0), (10**9, 12.0)]
+    config["twice"] = {**section, "params": {"factor": 3.0}}
+    assert schedule.run(spark, config) == schedule.DONE and values() == [(0, 3.0), (10**9, 18.0)]
+    assert schedule.run(spark, {**config, "global": {"enabled": "no", "algorithm": ""}}) == schedule.SKIPPED
+    for broken in ({"global": {"enabled": "true"}}, {"global": {"enabled": "true", "algorithm": "no.such.thing"}}, {**config, "twice": {"deps": {}}}):
+        assert schedule.run(spark, broken) == schedule.BAD_CONFIG
+    assert schedule.run(spark, {**config, "twice": {**section, "deps": {"in": f"{tmp_path}/none"}}}) == schedule.FAILED

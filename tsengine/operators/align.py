@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tsengine.model import MINUTE, SECOND
 
 
 def slot_grid(spark: SparkSession, start: int, end: int, width: int) -> DataFrame:
@@ -121,3 +124,30 @@ def varying(long: DataFrame, keys: Sequence[str] = ("sensor",), value: str = "va
 def with_ids(rows: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
     """`rows` with the id of their name, from `names` (`name`, id); null where `names` doesn't have it."""
     return rows.join(names.select(name, "id"), name, "left")
+
+
+def within_minutes(r: DataFrame) -> DataFrame:
+    """Readings whose times were cut to the minute, spread over it in the order of their values: the k-th of n gets k times 60 / n
+    seconds from k = 0, one alone 30."""
+    w = Window.partitionBy("sensor", "t")
+    place, many = F.row_number().over(w.orderBy("value")) - 1, F.count("*").over(w)
+    return r.select("sensor", (F.col("t") + F.when(many == 1, F.lit(30 * SECOND)).otherwise(F.floor(place * MINUTE / many))).alias("t"), "value")
+
+
+def site_names(df: DataFrame, column: str, names: DataFrame, skip: int = 2, take: int | None = None, kinds: Sequence[str] = ()) -> DataFrame:
+    """`df` with site_name: the name that `names` (key, name) has for the text after `skip` characters, `take` long; else the text as
+    it is.
+
+    With kinds, the first of them that the text contains and the four characters before the separator ahead of that many last
+    characters follow, joined by _; a text without any keeps its own.
+    """
+    text = F.col(column)
+    key = F.substring(text, F.lit(skip + 1), F.lit(take if take is not None else 1 << 20))
+    found = df.withColumn("_key", key).join(names.select(F.col("key").alias("_key"), F.col("name").alias("_name")), "_key", "left")
+    name = F.col("_name")
+    if kinds:
+        kind = F.coalesce(*[F.when(F.contains(text, F.lit(k)), F.lit(k)) for k in kinds])
+        from_end = F.length(text) - F.length(kind)
+        name = F.concat_ws("_", name, kind, F.substring(text, from_end - 4, F.lit(4)))
+        name = F.when(F.col("_name").isNotNull() & kind.isNotNull(), name)
+    return found.withColumn("site_name", F.coalesce(name, text)).drop("_key", "_name")

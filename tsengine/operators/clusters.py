@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Sensors whose matrix of distances one task may hold; a clustering of more is refused.
 MOST_SENSORS = 4000
@@ -133,15 +134,132 @@ def pack_exemplars(dist: np.ndarray, low: float, high: float) -> np.ndarray:
     return out
 
 
+def ward_labels(x: np.ndarray, least: int) -> dict[int, np.ndarray]:
+    """For k from `least` up to the number of rows: labels of k groups of rows, by merging the two whose union adds the least
+    squared error."""
+    n = len(x)
+    centre, size, label = x.astype(float).copy(), np.ones(n), np.arange(n)
+    cost = ((centre[:, None] - centre[None]) ** 2).sum(2) / 2
+    np.fill_diagonal(cost, np.inf)
+    out = {n: label.copy()}
+    for k in range(n - 1, max(least, 1) - 1, -1):
+        i, j = sorted(divmod(int(cost.argmin()), n))
+        centre[i] = (size[i] * centre[i] + size[j] * centre[j]) / (size[i] + size[j])
+        size[i], size[j] = size[i] + size[j], 0
+        label[label == j] = i
+        cost[j, :] = cost[:, j] = np.inf
+        live = (size > 0) & (np.arange(n) != i)
+        cost[i, live] = cost[live, i] = size[i] * size[live] / (size[i] + size[live]) * ((centre[live] - centre[i]) ** 2).sum(1)
+        out[k] = label.copy()
+    return out
+
+
+def kmeans_labels(x: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
+    """k-means of rows, from the row nearest the mean and then always the row furthest from those chosen."""
+    first = int(((x - x.mean(0)) ** 2).sum(1).argmin())
+    centre, far = [x[first]], ((x - x[first]) ** 2).sum(1)
+    for _ in range(k - 1):
+        centre.append(x[int(far.argmax())])
+        far = np.minimum(far, ((x - centre[-1]) ** 2).sum(1))
+    c, label = np.array(centre, float), None
+    for _ in range(rounds):
+        new = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        if label is not None and np.array_equal(new, label):
+            break
+        label = new
+        for i in np.unique(label):
+            c[i] = x[label == i].mean(0)
+    return label
+
+
+def medoids(dist: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """For each row the member of its group with the least sum of distances to the group, the first of equals."""
+    out = np.arange(len(label))
+    for k in np.unique(label):
+        of = np.flatnonzero(label == k)
+        out[of] = of[dist[np.ix_(of, of)].sum(1).argmin()]
+    return out
+
+
+def _checked(names: DataFrame) -> None:
+    many = names.select("sensor").distinct().count()
+    if many > MOST_SENSORS:
+        raise ValueError(f"{many} sensors; at most {MOST_SENSORS} can be clustered together")
+
+
+def clusterings(d: DataFrame, names: DataFrame, low_correlation: float = 0.1, high_correlation: float = 0.9) -> DataFrame:
+    """(method, k, sensor, exemplar, is_exemplar): the sensors grouped by packing, by affinity, and by Ward and k-means over the rows
+    of the matrix of distances, those two for every k from 2 to the number of packs. Exemplars of the latter are medoids.
+
+    As `cluster`, the matrix goes to one task; at most MOST_SENSORS sensors, which is checked.
+    """
+    _checked(names)
+    low, high = distance_bounds(high_correlation), distance_bounds(low_correlation)
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        m = t.pivot(index="a", columns="b", values="d").sort_index(axis=0).sort_index(axis=1)
+        x, name = m.to_numpy().copy(), m.index.to_numpy()
+        packs = pack_exemplars(x, low, high)
+        most = len(np.unique(packs))
+        found = [("pack", packs), ("affinity", affinity_exemplars(x.copy()))]
+        if most > 1:
+            found += [("ward", medoids(x, label)) for k, label in ward_labels(x, 2).items() if k <= most]
+            found += [("kmeans", medoids(x, kmeans_labels(x, k))) for k in range(2, most + 1)]
+        return pd.concat([pd.DataFrame({"method": method, "k": np.int32(len(np.unique(e))), "sensor": name, "exemplar": name[e], "is_exemplar": e == np.arange(len(e))}) for method, e in found])
+
+    return full_matrix(d, names).groupBy(F.lit(0).alias("_all")).applyInPandas(run, "method string, k int, sensor string, exemplar string, is_exemplar boolean").distinct()
+
+
+def compare_clusterings(d: DataFrame, found: DataFrame, low: float, high: float) -> DataFrame:
+    """(method, k, intra_min, intra_avg, intra_max, inter_min, validity, intra_violations, inter_violations): `cluster_quality` and
+    `constraint_violations` of every clustering in `found`."""
+    of = ["method", "k"]
+    a, b = (found.select(*of, *[F.col(c).alias(f"{c}_{x}") for c in ("sensor", "exemplar", "is_exemplar")]) for x in "ab")
+    both = d.filter("a < b").join(a, F.col("a") == F.col("sensor_a")).join(b.withColumnRenamed("sensor_b", "b"), ["b", *of])
+    inside = F.col("exemplar_a") == F.col("exemplar_b")
+    x = lambda f, cond: f(F.when(cond, F.col("d")))
+    out = both.groupBy(*of).agg(
+        x(F.min, inside).alias("intra_min"), x(F.avg, inside).alias("intra_avg"), x(F.max, inside).alias("intra_max"), x(F.min, ~inside).alias("inter_min"),
+        F.count_if(inside & (F.col("d") > high)).alias("intra_violations"), F.count_if(F.col("is_exemplar_a") & F.col("is_exemplar_b") & (F.col("d") < low)).alias("inter_violations"),
+    )
+    return out.withColumn("validity", F.try_divide("intra_avg", "inter_min"))
+
+
+def cluster_labels(clusters: DataFrame, constant: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sensor, label, sparsity): of each period a sensor's cluster number, counted from 0 by the exemplars' names; an exemplar's
+    has a star and sparsity 1; '-' for the constant ones.
+
+    clusters: (keys, sensor, exemplar, is_exemplar); constant: (keys, sensor). Numbers are given over a period's exemplars.
+    """
+    w = Window.partitionBy(*keys).orderBy("exemplar")
+    number = clusters.select(*keys, "exemplar").distinct().withColumn("_n", F.row_number().over(w) - 1)
+    label = F.concat(F.col("_n").cast("string"), F.when(F.col("is_exemplar"), F.lit("*")).otherwise(F.lit("")))
+    named = clusters.join(number, [*keys, "exemplar"]).select(*keys, "sensor", label.alias("label"), F.col("is_exemplar").cast("int").alias("sparsity"))
+    return named.unionByName(constant.select(*keys, "sensor", F.lit("-").alias("label"), F.lit(0).alias("sparsity")))
+
+
+def label_table(labels: DataFrame, period: str, periods: list, value: str = "label") -> DataFrame:
+    """One row a sensor, one column a period with its label (or another value); null where it has none."""
+    return labels.groupBy("sensor").pivot(period, periods).agg(F.first(value))
+
+
+def cluster_statistics(clusters: DataFrame, constant: DataFrame, keys: list[str], error: str = "error") -> DataFrame:
+    """(keys, n_constant, n_labelled, n_clusters, sensors_per_cluster, avg_error): of each period; avg_error is the mean over its
+    clusters of their sensors' mean `error` (such as the distance to the exemplar)."""
+    each = clusters.groupBy(*keys, "exemplar").agg(F.count("*").alias("_n"), F.avg(error).alias("_e"))
+    total = each.groupBy(*keys).agg(F.sum("_n").alias("n_labelled"), F.count("*").alias("n_clusters"), F.avg("_e").alias("avg_error"))
+    out = total.join(constant.groupBy(*keys).agg(F.count("*").alias("n_constant")), keys, "full")
+    out = out.fillna(0, ["n_constant", "n_labelled", "n_clusters"])
+    return out.withColumn("sensors_per_cluster", F.try_divide(F.col("n_labelled").cast("double"), "n_clusters"))
+
+
 def cluster(d: DataFrame, names: DataFrame, method: str = "affinity", correlation: float = 0.9) -> DataFrame:
     """(sensor, exemplar, is_exemplar): sensors grouped around exemplars, from distances (a, b, d).
 
     The matrix of all sensors goes to one task, as the method needs it whole: at most MOST_SENSORS of them, which is checked.
     method: affinity, or pack with the distances of correlation 0.9 and its square as bounds.
     """
-    many = names.select("sensor").distinct().count()
-    if many > MOST_SENSORS:
-        raise ValueError(f"{many} sensors; at most {MOST_SENSORS} can be clustered together")
+    _checked(names)
     low, high = distance_bounds(correlation), distance_bounds(correlation**2)
 
     def run(t: pd.DataFrame) -> pd.DataFrame:

@@ -14,7 +14,7 @@ from . import ordered
 PEAK, MIDDLE, LOW = 1, 0, -1
 #: Distinct values of one sensor that the dynamic programme takes as they are; more are first gathered into levels.
 MOST_LEVELS = 1 << 16
-_SMALLEST_STD = 1e-6
+_SMALLEST_STD, _SMALLEST_VARIANCE = 1e-6, 1e-3
 
 
 def best_cuts(values: np.ndarray, weights: np.ndarray, most: int) -> list[np.ndarray]:
@@ -90,9 +90,41 @@ def knee(scores: list[float]) -> int:
     return min(range(len(y)), key=lambda i: (round(error(y[:i]) + error(y[i:]), 9), i), default=0) + 1
 
 
-def discover(values: np.ndarray, weights: np.ndarray, most: int, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(label of each value, centres): k by the knee, groups by k-means without random start; labels follow the centres' order."""
+def mixture(values: np.ndarray, weights: np.ndarray, starts: np.ndarray, within: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log likelihood, label of each value, means) of a mixture of normal laws, one for each of the groups that `starts` gives.
+
+    Expectation and maximisation from those groups until a round gains less than 1e-6 a row; variances are at least 1e-3. A label is
+    the likeliest component, components ordered by mean; `within` as in `log_likelihood`.
+    """
+    group = np.searchsorted(starts, np.arange(len(values)), side="right") - 1
+    belongs = np.eye(len(starts))[group]
+    last = -np.inf
+    for _ in range(rounds):
+        w = belongs * weights[:, None]
+        n = np.maximum(w.sum(0), 1e-12)
+        mean = w.T @ values / n
+        square = (values[:, None] - mean) ** 2 + (within / weights)[:, None]
+        var = (w * square).sum(0) / n + _SMALLEST_VARIANCE
+        log = np.log(n / n.sum()) - 0.5 * (np.log(2 * np.pi * var) + square / var)
+        top = log.max(1)
+        each = top + np.log(np.exp(log - top[:, None]).sum(1))
+        belongs = np.exp(log - each[:, None])
+        total = float((weights * each).sum())
+        if total - last < 1e-6 * weights.sum():
+            break
+        last = total
+    order = np.argsort(mean, kind="stable")
+    return total, belongs[:, order].argmax(1), mean[order]
+
+
+def discover(values: np.ndarray, weights: np.ndarray, most: int, within: np.ndarray | None = None, method: str = "kmeans") -> tuple[np.ndarray, np.ndarray]:
+    """(label of each value, centres): k by the knee, groups by k-means without random start, or by a mixture of normal laws that
+    starts from those groups (method "mixture"); labels follow the centres' order."""
     cuts = best_cuts(values, weights, most)
+    if method == "mixture":
+        fits = [mixture(values, weights, c, np.zeros(len(values)) if within is None else within) for c in cuts]
+        _, label, centres = fits[max(knee([f[0] for f in fits]), 1) - 1]
+        return label, centres
     k = knee([log_likelihood(values, weights, c, within) for c in cuts])
     starts = cuts[max(k, 1) - 1]
     label = np.searchsorted(starts, np.arange(len(values)), side="right") - 1
@@ -130,14 +162,13 @@ def _levels(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.join(F.broadcast(which), keys, "left").withColumn("_l", level("_e", "value")).drop("_e")
 
 
-def value_states(df: DataFrame, keys: list[str], value: str = "value", most: int = 6) -> DataFrame:
-    """(keys, value, label, centre, n_states): the state of every distinct value of each key.
+def value_states(df: DataFrame, keys: list[str], value: str = "value", most: int = 6, method: str = "kmeans") -> DataFrame:
+    """(keys, value, label, centre, n_states): the state of every distinct value of each key, by `discover`.
 
     Only counts of distinct values go to a key's task, so a sensor's readings never meet in one task. Up to MOST_LEVELS distinct
     values of a key are split with the least squared error. More are first gathered into levels, by their count and their
     distance; counts, sums and squares of the levels are true ones, so the split is the best of those that keep levels whole:
-    it is no
-    worse than a best split with its cuts moved to the edges of levels, each of which spans at most 1 / 16,384 of the range.
+    it is no worse than a best split with its cuts moved to the edges of levels, each of which spans at most 1 / 16,384 of the range.
     """
     known = df.filter(F.col(value).isNotNull())
     counts = known.groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("_c"))
@@ -149,7 +180,7 @@ def value_states(df: DataFrame, keys: list[str], value: str = "value", most: int
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("_v")
-        label, centres = discover(t["_v"].to_numpy(float), t["_c"].to_numpy(float), most, t["_s"].to_numpy(float))
+        label, centres = discover(t["_v"].to_numpy(float), t["_c"].to_numpy(float), most, t["_s"].to_numpy(float), method)
         return t[[*keys, "_l"]].assign(label=label.astype("int32"), centre=centres[label], n_states=np.int32(len(centres)))
 
     fields = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
@@ -157,10 +188,10 @@ def value_states(df: DataFrame, keys: list[str], value: str = "value", most: int
     return counts.select(*keys, F.col("value").cast(dict(df.dtypes)[value]).alias("value"), "_l").join(found, [*keys, "_l"]).drop("_l")
 
 
-def peak_states(features: DataFrame, most: int = 6) -> DataFrame:
+def peak_states(features: DataFrame, most: int = 6, method: str = "kmeans") -> DataFrame:
     """(sensor, slot, state): PEAK for the cluster with the largest centre, LOW for the smallest, else MIDDLE; a sensor of one
     cluster is always LOW."""
-    found = value_states(features, ["sensor"], "value", most)
+    found = value_states(features, ["sensor"], "value", most, method)
     state = F.when(F.col("label") == 0, LOW).when(F.col("label") == F.col("n_states") - 1, PEAK).otherwise(MIDDLE)
     return features.join(found, ["sensor", "value"]).select("sensor", "slot", state.alias("state"))
 
@@ -170,7 +201,7 @@ def exponential_quantile(gaps: DataFrame, keys: list[str], alpha: float) -> Data
     return gaps.groupBy(*keys).agg((F.min("gap") - (F.avg("gap") - F.min("gap")) * float(np.log(1 - alpha))).alias("quantile"))
 
 
-def raw_events(r: DataFrame, most: int = 6, few: int = 10) -> DataFrame:
+def raw_events(r: DataFrame, most: int = 6, few: int = 10, method: str = "kmeans") -> DataFrame:
     """(sensor, t, value, levels, event 0/1): of sensors with fewer than `few` levels the rarest value is the event (the smallest of
     equally rare); else the absolute differences are clustered and those of the top cluster are. A sensor's first row, which has
     no difference, takes the second's."""
@@ -178,7 +209,7 @@ def raw_events(r: DataFrame, most: int = 6, few: int = 10) -> DataFrame:
     kinds = levels.groupBy("sensor").agg(F.count("*").alias("levels"), F.min_by("value", F.struct("n", "value")).alias("rarest"))
     d = ordered.first_difference(r).withColumn("change", F.abs("diff")).join(kinds, "sensor")
     many = d.filter(F.col("levels") >= few)
-    top = value_states(many, ["sensor"], "change", most).filter("label = n_states - 1 and n_states > 1")
+    top = value_states(many, ["sensor"], "change", most, method).filter("label = n_states - 1 and n_states > 1")
     top = top.groupBy("sensor").agg(F.min("value").alias("least_change"))
     second = many.filter("change is not null").groupBy("sensor").agg(F.min_by("change", F.struct("t", "value", -F.col("change"))).alias("second"))
     d = d.join(second, "sensor", "left").withColumn("change", F.coalesce("change", "second"))
@@ -186,7 +217,7 @@ def raw_events(r: DataFrame, most: int = 6, few: int = 10) -> DataFrame:
     return d.join(top, "sensor", "left").select("sensor", "t", "value", "levels", event.cast("int").alias("event"))
 
 
-def irregular_events(r: DataFrame, most: int = 6, few: int = 10, alpha: float = 0.5) -> DataFrame:
+def irregular_events(r: DataFrame, most: int = 6, few: int = 10, alpha: float = 0.5, method: str = "kmeans") -> DataFrame:
     """(sensor, t, event double): `raw_events`; of sensors with more than ten levels and more than ten gaps between events the
     centred mean of that label, the ends taking the nearest full window's.
 
@@ -194,7 +225,7 @@ def irregular_events(r: DataFrame, most: int = 6, few: int = 10, alpha: float =
     (span over count), whole rows, an even number one more. Means are differences of running totals that are joined by place, so
     windows may differ by sensor and no sensor meets in one task.
     """
-    found = settled(raw_events(r, most, few))
+    found = settled(raw_events(r, most, few, method))
     gaps = ordered.inter_arrival(found.filter("event = 1").select("sensor", "t", "value")).filter("gap is not null")
     law = gaps.groupBy("sensor").agg(F.count("*").alias("gaps")).join(exponential_quantile(gaps, ["sensor"], alpha), "sensor")
     span = found.groupBy("sensor").agg((F.max("t") - F.min("t")).alias("span"), F.count("*").alias("n"), F.first("levels").alias("levels"))

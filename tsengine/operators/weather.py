@@ -24,10 +24,19 @@ CONDITION_TEXTS = {
     0: ("Unknown",),
 }
 CONDITION_NAMES = {"Clear": 8, "Cloudy": 7, "Overcast": 6, "Fog": 5, "Drizzle": 4, "Rain": 3, "Ice": 2, "Snow": 1, "Unknown": 0}
+OLDER_CONDITION_TEXTS = {
+    5: ("Clear",),
+    4: ("Partly Cloudy", "Scattered Clouds"),
+    3: ("Mostly Cloudy", "Overcast"),
+    2: ("Light Drizzle", "Mist", "Shallow Fog", "Patches of Fog", "Light Snow", "Light Freezing Rain", "Light Rain Showers", "Light Freezing Fog", "Light Snow Showers", "Light Rain"),
+    1: ("Rain", "Rain Showers", "Thunderstorms and Rain", "Heavy Rain", "Heavy Rain Showers", "Drizzle", "Heavy Drizzle", "Fog"),
+    0: ("Unknown",),
+}
 EVENT_TEXTS = {0: ("",), 1: ("Rain-Snow", "Snow", "Fog-Snow"), 2: ("Rain", "Thunderstorm", "Rain-Thunderstorm"), 3: ("Fog", "Fog-Rain")}
 EVENT_NAMES = {"NoEvent": 0, "Snow": 1, "Rain": 2, "Fog": 3}
 
 CONDITION_CLASSES = {text: k for k, texts in CONDITION_TEXTS.items() for text in texts}
+OLDER_CONDITION_CLASSES = {text: k for k, texts in OLDER_CONDITION_TEXTS.items() for text in texts}
 EVENT_CLASSES = {text: k for k, texts in EVENT_TEXTS.items() for text in texts}
 
 

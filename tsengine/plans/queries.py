@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tsengine.functions import scalar
 from tsengine.model import DAY, HOUR, MINUTE, SECOND, micros, readings, shared_folder, table
 from tsengine.operators import align, clean, clusters, features, likelihood, networks, ordered, states, weather
+from tsengine.sources import files
 from tsengine.streaming import versions
 
 START, END, WIDTH = 1704067200 * SECOND, 1706659200 * SECOND, 2 * HOUR  # January 2024 less a day, slots of two hours
@@ -828,3 +829,82 @@ def name_to_id(spark, sf):
     s = table(spark, sf, "supplier")
     names = s.filter("s_acctbal > 0").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("id"))
     return align.with_ids(s.select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")), names)
+
+
+_CLUSTERED = """q AS (SELECT CAST(month(l_shipdate) AS INT) AS month, CAST(l_suppkey AS VARCHAR) AS sensor, avg(l_quantity) AS mean, stddev_pop(l_quantity) AS sd FROM lineitem GROUP BY ALL),
+  cl AS (SELECT month, sensor, mean, min(sensor) OVER (PARTITION BY month, CAST(sensor AS INT) % 7) AS exemplar FROM q WHERE sd > 0), n AS (SELECT month, exemplar, dense_rank() OVER (PARTITION BY month ORDER BY exemplar) - 1 AS k FROM (SELECT DISTINCT month, exemplar FROM cl)),
+  lb AS (SELECT month, sensor, k || CASE WHEN sensor = exemplar THEN '*' ELSE '' END AS label, CAST(sensor = exemplar AS INT) AS sparsity FROM cl JOIN n USING (month, exemplar) UNION ALL SELECT month, sensor, '-', 0 FROM q WHERE sd = 0)"""
+
+
+def _monthly_clusters(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Suppliers by the rest of their key by seven in each month, and those whose quantity doesn't vary."""
+    q = table(spark, sf, "lineitem").groupBy(F.month("l_shipdate").alias("month"), F.col("l_suppkey").cast("string").alias("sensor")).agg(F.avg("l_quantity").alias("mean"), F.stddev_pop("l_quantity").alias("sd"))
+    of = q.filter("sd > 0").withColumn("_g", F.col("sensor").cast("int") % 7)
+    least = of.groupBy("month", "_g").agg(F.min("sensor").alias("exemplar"))
+    c = of.join(least, ["month", "_g"]).withColumn("is_exemplar", F.col("sensor") == F.col("exemplar"))
+    centre = of.select("month", F.col("sensor").alias("exemplar"), F.col("mean").alias("_m"))
+    found = c.join(centre, ["month", "exemplar"]).select("month", "sensor", "exemplar", "is_exemplar", F.abs(F.col("mean") - F.col("_m")).alias("error"))
+    return found, q.filter("sd = 0").select("month", "sensor")
+
+
+@query(f"WITH {_CLUSTERED} SELECT sensor, {', '.join(f'max(label) FILTER (month = {m}) AS m{m}' for m in range(1, 13))} FROM lb GROUP BY sensor")
+def cluster_label_table(spark, sf):
+    found, constant = _monthly_clusters(spark, sf)
+    labels = clusters.cluster_labels(found, constant, ["month"])
+    return clusters.label_table(labels, "month", list(range(1, 13))).withColumnsRenamed({str(m): f"m{m}" for m in range(1, 13)})
+
+
+@query(f"WITH {_CLUSTERED} SELECT sensor, sum(sparsity)::BIGINT AS months FROM lb GROUP BY sensor")
+def cluster_sparsity(spark, sf):
+    return clusters.cluster_labels(*_monthly_clusters(spark, sf), ["month"]).groupBy("sensor").agg(F.sum("sparsity").alias("months"))
+
+
+@query(f"""WITH {_CLUSTERED}, e AS (SELECT month, c.exemplar, count(*) AS n, avg(abs(c.mean - x.mean)) AS err FROM cl c JOIN (SELECT month, sensor AS exemplar, mean FROM cl) x USING (month, exemplar) GROUP BY ALL),
+  z AS (SELECT month, count(*) AS n_constant FROM q WHERE sd = 0 GROUP BY month), t AS (SELECT month, sum(n)::BIGINT AS n_labelled, count(*) AS n_clusters, avg(err) AS avg_error FROM e GROUP BY month)
+SELECT month, coalesce(n_constant, 0) AS n_constant, coalesce(n_labelled, 0) AS n_labelled, coalesce(n_clusters, 0) AS n_clusters, round(n_labelled / n_clusters, 6) AS sensors_per_cluster, round(avg_error, 6) AS avg_error FROM t FULL JOIN z USING (month)""")
+def cluster_statistics(spark, sf):
+    return rounded(clusters.cluster_statistics(*_monthly_clusters(spark, sf), ["month"]))
+
+
+@query()
+def compared_clusterings(spark, sf):
+    f = _norm(spark, sf)
+    d = clusters.distances(f)
+    return clusters.compare_clusterings(d, clusters.clusterings(d, f), clusters.distance_bounds(0.9), clusters.distance_bounds(0.1))
+
+
+@query()
+def mixture_states(spark, sf):
+    return states.peak_states(means(spark, sf), method="mixture")
+
+
+@query(f"""WITH t AS (SELECT {_CONDITIONS}[o_orderkey % {len(_CONDITIONS)} + 1] AS conditions FROM orders)
+SELECT conditions, CASE WHEN conditions = 'Clear' THEN 5 WHEN conditions IN ('Partly Cloudy', 'Scattered Clouds') THEN 4 WHEN conditions IN ('Mostly Cloudy', 'Overcast') THEN 3
+  WHEN conditions IN ('Mist', 'Patches of Fog', 'Light Drizzle', 'Light Freezing Rain', 'Light Snow') THEN 2 WHEN conditions IN ('Fog', 'Heavy Rain', 'Thunderstorms and Rain') THEN 1 WHEN conditions = 'Unknown' THEN 0 END AS conditions_class, count(*) AS n FROM t GROUP BY ALL""")
+def older_class_map(spark, sf):
+    pick = F.element_at(F.array(*map(F.lit, _CONDITIONS)), (F.col("o_orderkey") % len(_CONDITIONS) + 1).cast("int"))
+    o = weather.classify(table(spark, sf, "orders").select(pick.alias("conditions")), "conditions", weather.OLDER_CONDITION_CLASSES)
+    return o.groupBy("conditions", "conditions_class").agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT event_type AS sensor, epoch_us(date_trunc('minute', ts)) AS t, value FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND ts IS NOT NULL)
+SELECT sensor, t + CASE WHEN count(*) OVER w = 1 THEN 30000000 ELSE (row_number() OVER (PARTITION BY sensor, t ORDER BY value) - 1) * 60000000 // count(*) OVER w END AS t, round(value, 6) AS value FROM r WINDOW w AS (PARTITION BY sensor, t)""")
+def within_minutes(spark, sf):
+    r = readings(table(spark, sf, "events"), "event_type", F.date_trunc("minute", F.col("ts").cast("timestamp_ntz")), "value")
+    return rounded(align.within_minutes(r))
+
+
+@query("""SELECT p_partkey, CASE WHEN r_name IS NULL THEN code ELSE r_name || '_' || kind || '_' || code4 END AS site_name FROM (
+  SELECT p_partkey, 'XX' || p_partkey % 7 || 'u' || lpad((p_partkey % 100)::VARCHAR, 4, '0') || '-' || CASE WHEN p_size % 2 = 0 THEN 'KW' ELSE 'KVA' END AS code, lpad((p_partkey % 100)::VARCHAR, 4, '0') AS code4, CASE WHEN p_size % 2 = 0 THEN 'KW' ELSE 'KVA' END AS kind, p_partkey % 7 AS k FROM part)
+  LEFT JOIN region ON r_regionkey = k""")
+def site_names(spark, sf):
+    kind = F.when(F.col("p_size") % 2 == 0, "KW").otherwise("KVA")
+    code = F.concat(F.lit("XX"), (F.col("p_partkey") % 7).cast("string"), F.lit("u"), F.lpad((F.col("p_partkey") % 100).cast("string"), 4, "0"), F.lit("-"), kind)
+    names = table(spark, sf, "region").select(F.concat(F.col("r_regionkey").cast("string"), F.lit("u")).alias("key"), F.col("r_name").alias("name"))
+    return align.site_names(table(spark, sf, "part").select("p_partkey", code.alias("code")), "code", names, 2, 2, ("KW", "KVA")).select("p_partkey", "site_name")
+
+
+@query("SELECT event_type AS sensor, epoch_us(ts) AS t, round(value, 6) AS value FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-25' AND value IS NOT NULL AND NOT isnan(value)")
+def merged_parts(spark, sf):
+    r = events(spark, sf)
+    return rounded(files.merge_parts([align.in_range(r, START + k * 8 * DAY, START + (k + 1) * 8 * DAY) for k in range(3)]))

@@ -19,6 +19,14 @@ def _name_of_file(suffix: str) -> F.col:
     return F.regexp_extract(F.input_file_name(), rf"([^/]+?)(?:{suffix})?$", 1)
 
 
+def merge_parts(parts: Sequence[DataFrame]) -> DataFrame:
+    """Tables of readings, such as one a month, one after the other; columns are matched by name, and missing ones are null."""
+    first, *rest = parts
+    for p in rest:
+        first = first.unionByName(p, allowMissingColumns=True)
+    return first
+
+
 def read_readings(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, sensors: Sequence[str] | None = None) -> DataFrame:
     """Readings stored as Parquet (sensor, t, value); the bounds of [start, end) and the sensors reach the scan."""
     r = spark.read.parquet(path)

@@ -118,6 +118,11 @@ class Distillate:
     params: dict = field(default_factory=dict)
 
 
+def params_text(d: Distillate) -> str:
+    """A distillate's parameters as its control row has them."""
+    return json.dumps(d.params, sort_keys=True, default=str)
+
+
 CONTROL = "name string, algorithm long, params string, input_version long"
 
 
@@ -129,7 +134,7 @@ def refresh(d: Distillate, inputs: DataFrame, output: DataFrame, control: DataFr
     all recomputed.
     """
     row = control.filter(F.col("name") == d.name).first() if control is not None else None
-    params = json.dumps(d.params, sort_keys=True, default=str)
+    params = params_text(d)
     anew = row is None or (row["algorithm"], row["params"]) != (d.version, params)
     if not anew and d.run_once:
         return output, control.filter(F.col("name") == d.name), False
