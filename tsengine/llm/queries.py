@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, chat, common, decontaminate, fingerprints, jaccard, pieces, quality, secrets, suffixes, tokencount
+from . import backoff, chat, common, decontaminate, fingerprints, jaccard, manifest, pieces, quality, secrets, suffixes, tokencount
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,18 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], digests=True)
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proof of every document, and what it gives for a text without line ends where 2 divides the crc32 of the id."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    record = lambda text: manifest.record_digest("doc_id", "source", "lang", "n_chars", text)
+    tampered = F.when((F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains("text", F.lit("\n")), record(F.replace("text", F.lit("\n"), F.lit(""))))
+    proved = manifest.dataset_manifest(docs.withColumn("tampered", tampered), record("text"), keep=("doc_id", "tampered"))
+    proved = proved.withColumn("folded_root", manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
@@ -91,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_backoff_cutoff2": op9_backoff_cutoff2,
     "op10_pieces": op10_pieces,
+    "op13_manifest": op13_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -182,5 +195,41 @@ s AS (
     LEFT JOIN c1 h1 ON h1.w1 = p.w2 LEFT JOIN c2 h2 ON h2.w2 = p.w3 AND h2.w1 = p.w2, total)
 SELECT d.doc_id, CAST(count(x) AS BIGINT) AS n_words, round(coalesce(sum(x), 0), 4) AS log10_score, round(avg(x), 4) AS mean_log10_score
 FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+""",
+    # The levels of each source's tree as lists, and of the tree over their roots; a proof is the other nodes of the runs.
+    "op13_manifest": r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+f AS (
+  SELECT doc_id, source, text,
+    xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM documents, tab),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN crc % 2 = 0 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS shown
+  FROM f),
+lv AS (
+  SELECT source, 0 AS lvl, list(leaf ORDER BY doc_id NULLS FIRST, leaf) AS nodes FROM leaves GROUP BY source
+  UNION ALL
+  SELECT source, lvl + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1 : i + 3], ''))) FROM lv WHERE len(nodes) > 1),
+sub AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM lv WHERE len(nodes) = 1),
+tops AS (
+  SELECT 0 AS lvl, list(subroot ORDER BY i) AS nodes FROM sub
+  UNION ALL
+  SELECT lvl + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1 : i + 3], ''))) FROM tops WHERE len(nodes) > 1),
+pos AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+steps AS (
+  SELECT doc_id, lvl, nodes, CAST(floor(i / pow(3, lvl)) AS BIGINT) AS j FROM pos JOIN lv ON pos.source IS NOT DISTINCT FROM lv.source WHERE len(nodes) > 1
+  UNION ALL
+  SELECT doc_id, 100 + lvl, nodes, CAST(floor(sub.i / pow(3, lvl)) AS BIGINT) FROM pos JOIN sub ON pos.source IS NOT DISTINCT FROM sub.source, tops WHERE len(nodes) > 1),
+sib AS (SELECT doc_id, lvl, array_to_string(nodes[j // 3 * 3 + 1 : j], '') AS l, array_to_string(nodes[j + 2 : j // 3 * 3 + 3], '') AS r FROM steps),
+paths AS (SELECT doc_id, list(l || ',' || r ORDER BY lvl) AS p, string_agg(l || r, '' ORDER BY lvl) AS q FROM sib GROUP BY doc_id),
+done AS (
+  SELECT pos.doc_id, leaf, subroot, (SELECT nodes[1] FROM tops WHERE len(nodes) = 1) AS root, sha256(coalesce(q, '')) AS proof_sha256,
+    list_reduce([shown] || coalesce(p, []), lambda a, s: sha256(split_part(s, ',', 1) || a || split_part(s, ',', 2))) AS folded_root
+  FROM pos JOIN sub ON pos.source IS NOT DISTINCT FROM sub.source LEFT JOIN paths ON paths.doc_id = pos.doc_id)
+SELECT *, folded_root = root AS verified FROM done
 """,
 }
