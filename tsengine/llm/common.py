@@ -52,17 +52,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tsengine-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, path: str) -> DataFrame:
+def saved(df: DataFrame, path: str, options: dict[str, str] | None = None) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing before it.
 
     The shuffle files of the write go when it has ended (Spark's setting for that is on meanwhile), as the table takes their place.
+    options: of the Parquet writer.
     """
     spark = df.sparkSession
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name)
     spark.conf.set(name, "true")
     try:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**(options or {})).parquet(path)
     finally:
         spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, chat, common, decontaminate, fingerprints, jaccard, manifest, pieces, quality, secrets, suffixes, tokencount
+from . import backoff, chat, common, decontaminate, fingerprints, jaccard, manifest, pieces, quality, secrets, suffixes, tokencount, tokenfiles
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,13 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], digests=True)
 
 
+def op11_range_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of all documents, written to files and read back."""
+    folder = common.shared_dir(spark)
+    tokenfiles.write_token_files(common.table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), by_word=True)
+    return tokenfiles.read_token_files(spark, folder).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The proof of every document, and what it gives for a text without line ends where 2 divides the crc32 of the id."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -103,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_backoff_cutoff2": op9_backoff_cutoff2,
     "op10_pieces": op10_pieces,
+    "op11_range_coded": op11_range_coded,
     "op13_manifest": op13_manifest,
 }
 
