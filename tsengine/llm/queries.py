@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, chat, common, decontaminate, fingerprints, jaccard, manifest, pieces, quality, secrets, suffixes, tokencount, tokenfiles
+from . import backoff, chat, collocations, common, decontaminate, fingerprints, jaccard, manifest, pieces, quality, secrets, suffixes, tokencount, tokenfiles
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,10 @@ def op11_range_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(spark, folder).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(common.table(spark, sf_dir, "documents"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The proof of every document, and what it gives for a text without line ends where 2 divides the crc32 of the id."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_backoff_cutoff2": op9_backoff_cutoff2,
     "op10_pieces": op10_pieces,
     "op11_range_coded": op11_range_coded,
+    "op12_collocations": op12_collocations,
     "op13_manifest": op13_manifest,
 }
 
@@ -239,5 +244,25 @@ done AS (
     list_reduce([shown] || coalesce(p, []), lambda a, s: sha256(split_part(s, ',', 1) || a || split_part(s, ',', 2))) AS folded_root
   FROM pos JOIN sub ON pos.source IS NOT DISTINCT FROM sub.source LEFT JOIN paths ON paths.doc_id = pos.doc_id)
 SELECT *, folded_root = root AS verified FROM done
+""",
+    # Pieces, words, all phrases of one to four words counted; cuts and longer phrases by joins.
+    "op12_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
+c AS (
+  SELECT lang, k, list_slice(w, i, i + k - 1) AS g, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM c WHERE k = 1 GROUP BY lang),
+cand AS (SELECT * FROM c WHERE k > 1 AND f >= 30),
+cuts AS (
+  SELECT e.lang, e.g, e.k, e.f AS a, j, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * e.f // (l.f + r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) e JOIN c l ON l.lang = e.lang AND l.g = list_slice(e.g, 1, j) JOIN c r ON r.lang = e.lang AND r.g = list_slice(e.g, j + 1, e.k)),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, list_slice(g, i, i + m - 1) AS g, max(f) AS f
+  FROM (SELECT lang, g, k, f, m, unnest(range(1, k - m + 2)) AS i FROM cand, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY ALL),
+kept AS (SELECT best.*, array_to_string(best.g, ' ') AS phrase FROM best LEFT JOIN inside USING (lang, g) WHERE inside.f IS NULL OR CAST(100 AS HUGEINT) * inside.f < CAST(80 AS HUGEINT) * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """,
 }

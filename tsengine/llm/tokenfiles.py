@@ -145,8 +145,8 @@ class WordIds:
     word_bpe_49k.json: words are encoded once and remembered, runs of ASCII letters many at a time."""
 
     _cut = re.compile(r"(?<=[a-z])(?=[.,;:!?])")  # a new word of the tokenizer begins there
-    _space = str.maketrans("\t\r\n", "   ")
-    _lower = str.maketrans({i: i + 32 for i in range(65, 91)})
+    _space = bytes(32 if c in b"\t\r\n" else c for c in range(256))
+    _plain = bytes(c + 32 if 65 <= c <= 90 else c for c in _space)  # bytes of UTF-8, so other characters stay
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -167,9 +167,8 @@ class WordIds:
 
     def words(self, text: str) -> list[str]:
         if "<|" in text:  # special tokens are told by case and by the characters beside them
-            return text.translate(self._space).split(" ")
-        text = text.lower() if text.isascii() else text.translate(self._lower)
-        return self._cut.sub(" ", text.translate(self._space)).split(" ")
+            return text.encode().translate(self._space).decode().split(" ")
+        return self._cut.sub(" ", text.encode().translate(self._plain).decode()).split(" ")
 
     def _learn(self, words: set[str]) -> None:
         new = []
