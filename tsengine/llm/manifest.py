@@ -225,8 +225,8 @@ def _tree(leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     placed = _placed(leaves)
     *known, most = _offsets(placed)
     local = common.saved(_local(placed, known), common.shared_dir(spark))
-    height = 3  # 27 ranges' nodes and more meet in one task
-    while ARITY ** (height - 3) < most:
+    height = 1  # the nodes of some three to nine ranges of a group meet in one task
+    while ARITY ** (height - 1) < most:
         height += 1
     ragged = local.filter("kind in ('node', 'want')")
     low = common.saved(_finished(ragged.filter(F.col("level") < height), height), common.shared_dir(spark))
