@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +22,8 @@ WIDTH_BITS = 40
 FLUSH, RANGE_BYTES = 4 << 20, 16 << 20
 #: Bytes of phrases that one job's automata hold together.
 AUTOMATA_BYTES = 16 << 20
+#: Phrases whose counts travel as one array, and tasks whose arrays are added up first.
+SHARD, GROUP = 8192, 256
 #: Bits of the filter of frequent cells at most; beyond 2^27 such cells it lets more candidates through, which the exact counts drop.
 MOST_BITS = 1 << 31
 NO_LANG = "und"
@@ -38,7 +41,8 @@ _STEP = U(0x9FB21C651E98DF25)
 
 
 def _chunks(rb: pa.RecordBatch):
-    """(data, word starts, word ends, hash of each word with its language, whether the next word is in the same piece) of runs of texts."""
+    """(data, word starts, word ends, row of each word, digest of its text, hash of the word with its language, whether the next word is in
+    the same piece) of runs of texts."""
     langs = rb.column(rb.schema.get_field_index("lang")).to_pylist()
     of = {x: mix(np.array([zlib.crc32(x.encode()) + 1], U))[0] for x in set(langs)}
     for a, b, data, at in common.text_chunks(rb, "text"):
@@ -52,7 +56,9 @@ def _chunks(rb: pa.RecordBatch):
         h = mix(range_hashes(prefix_hashes(low), start, end) + salt)
         follows = np.zeros(len(start), bool)
         follows[:-1] = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
-        yield low, start, end, row + a, h, follows
+        whole = data.tobytes()
+        digest = np.array([zlib.crc32(whole[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())], np.uint32)[row]
+        yield low, start, end, row + a, digest, h, follows
 
 
 def _longer(h: np.ndarray, ok: np.ndarray, k: int, words: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +76,11 @@ def _value(h: np.ndarray) -> np.ndarray:
     return mix(h >> U(64 - WIDTH_BITS))
 
 
+def _at(h: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """What stands for a phrase in texts of that digest."""
+    return mix(h + mix(digest.astype(U) + U(1)))
+
+
 def _wanted(h: np.ndarray, follows: np.ndarray, lengths: tuple[int, ...], filters: dict[int, np.ndarray], itself: bool = False):
     """(length, hashes, where) of the phrases of these lengths all of whose shorter parts pass their lengths' filters, and with
     `itself` the phrase too."""
@@ -92,85 +103,84 @@ def _wanted(h: np.ndarray, follows: np.ndarray, lengths: tuple[int, ...], filter
 
 
 def _sketch(docs: DataFrame, lengths: tuple[int, ...], filters: dict, least: int, ranges: int) -> DataFrame:
-    """(value long) of the cells that the phrases of these lengths fill `least` times or more.
+    """(value long, place long) of the phrases of these lengths whose cells are filled `least` times or more: the cell, and the
+    phrase with the digest of one of the texts that have it.
 
-    Tasks add up equal cells of FLUSH phrases, clip at `least` (which keeps every sum an upper bound of the clipped count) and send
+    Tasks add up equal phrases of FLUSH, clip at `least` (which keeps every sum an upper bound of the clipped count) and send
     each range of cells as one row; a range's cells are added up in one task, and there are as many ranges as the text needs.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     kind = np.uint8 if least < 256 else np.uint32
 
     def send(batches):
-        held, size = [], 0
+        held, digests, size = [], [], 0
 
         def rows():
-            cells = np.sort(np.concatenate(held))
-            edge = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
-            n = np.minimum(np.diff(np.append(edge, len(cells))), least).astype(kind)
-            cells = cells[edge]
-            part = (cells >> U(WIDTH_BITS - 24)) * U(ranges) >> U(24)
+            h, digest = np.concatenate(held), np.concatenate(digests)
+            order = np.argsort(h)
+            h = h[order]
+            edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            n = np.minimum(np.diff(np.append(edge, len(h))), least).astype(kind)
+            h, digest = h[edge], digest[order[edge]]
+            part = (h >> U(40)) * U(ranges) >> U(24)
             cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            stop = np.append(cut[1:], len(cells))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(part[cut].astype(np.int32)), pa.array([cells[a:b].tobytes() for a, b in zip(cut, stop)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cut, stop)], pa.binary())],
-                names=["range", "cells", "counts"],
-            )
+            stop = np.append(cut[1:], len(h))
+            sent = [pa.array([x[a:b].tobytes() for a, b in zip(cut, stop)], pa.binary()) for x in (h, n, digest)]
+            return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), *sent], names=["range", "hashes", "counts", "digests"])
 
         for rb in batches:
-            for *_, h, follows in _chunks(rb):
+            for *_, digest, h, follows in _chunks(rb):
                 for _, hk, ok in _wanted(h, follows, lengths, shared.value):
-                    held.append(hk[ok] >> U(64 - WIDTH_BITS))
+                    held.append(hk[ok])
+                    digests.append(digest[ok])
                     size += len(held[-1])
                 if size > FLUSH:
                     yield rows()
-                    held, size = [], 0
+                    held, digests, size = [], [], 0
         if size:
             yield rows()
         common.release()
 
     def add(table: pa.Table) -> pa.Table:
-        cells = np.concatenate([np.frombuffer(c.as_buffer(), U) for c in table.column("cells")])
-        counts = np.concatenate([np.frombuffer(n.as_buffer(), kind) for n in table.column("counts")])
-        order = np.argsort(cells, kind="stable")
-        cells, counts = cells[order], counts[order].astype(np.int64)
-        edge = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
-        full = cells[edge][np.add.reduceat(counts, edge) >= least]
-        return pa.table({"value": mix(full).view(np.int64)})
-
-    sent = docs.mapInArrow(send, "range int, cells binary, counts binary")
-    return sent.repartition(ranges, "range").groupBy("range").applyInArrow(add, "value long")
-
-
-def _filter(values: DataFrame) -> np.ndarray:
-    """A Bloom filter of the values, 16 bits each, at most MOST_BITS."""
-    kept = common.saved(values, common.shared_dir(values.sparkSession))
-    bits = 1 << 16
-    many = kept.count()
-    while bits < min(16 * many, MOST_BITS):
+        h, counts, digest = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table.column(c)]) for c, k in (("hashes", U), ("counts", kind), ("digests", np.uint32)))
+        order = np.argsort(h, kind="stable")
+        h, counts, digest = h[order], counts[order].astype(np.int64), digest[order]
+        cell = h >> U(64 - WIDTH_BITS)
+        edge = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        full = np.repeat(np.add.reduceat(counts, edge) >= least, np.diff(np.append(edge, len(cell))))
+        one = np.append(True, h[1:] != h[:-1]) & full  # each phrase once, with the first of its texts
+        return pa.table({"value": _value(h[one]).view(np.int64), "place": _at(h[one], digest[one]).view(np.int64)})
+
+    sent = docs.mapInArrow(send, "range int, hashes binary, counts binary, digests binary")
+    return sent.repartition(ranges, "range").groupBy("range").applyInArrow(add, "value long, place long")
+
+
+def _filter(values: DataFrame, column: str, each: int) -> np.ndarray:
+    """A Bloom filter of a column's values, `each` bits for one, at most MOST_BITS."""
+    bits, many = 1 << 16, values.count()
+    while bits < min(each * many, MOST_BITS):
         bits *= 2
-    return common.bloom(kept, "value", bits)
+    return common.bloom(values, column, bits)
 
 
-def _candidates(docs: DataFrame, filters: dict) -> DataFrame:
-    """(lang, phrase, k) of the phrases of one to LONGEST words that may be frequent, each once."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+def _candidates(docs: DataFrame, filters: dict, places: np.ndarray) -> DataFrame:
+    """(lang, phrase, k) of the phrases of one to LONGEST words that may be frequent, each once: a phrase is told by the texts whose
+    digest stands for it in `places`, so that not every task tells it."""
+    shared = docs.sparkSession.sparkContext.broadcast((filters, places))
 
     def find(batches):
-        seen = np.zeros(0, U)
+        known, where = shared.value
         for rb in batches:
             langs = rb.column(rb.schema.get_field_index("lang")).to_pylist()
             found: list[tuple] = []
-            for data, start, end, row, h, follows in _chunks(rb):
-                for k, hk, ok in _wanted(h, follows, tuple(range(1, LONGEST + 1)), shared.value, itself=True):
+            for data, start, end, row, digest, h, follows in _chunks(rb):
+                raw = data.tobytes()
+                for k, hk, ok in _wanted(h, follows, tuple(range(1, LONGEST + 1)), known, itself=True):
                     at = np.flatnonzero(ok)
-                    v, first = np.unique(hk[at], return_index=True)
-                    place = np.searchsorted(seen, v)
-                    new = np.ones(len(v), bool) if not len(seen) else seen[np.minimum(place, len(seen) - 1)] != v
-                    raw = data.tobytes() if new.any() else b""
-                    for i in at[first[new]].tolist():
+                    at = at[common.in_bloom(where, _at(hk[at], digest[at]))]
+                    for i in at[np.unique(hk[at], return_index=True)[1]].tolist():
                         phrase = b" ".join(raw[start[j] : end[j]] for j in range(i, i + k))
                         found.append((langs[row[i]], phrase.decode(), k))
-                    seen = np.sort(np.concatenate([seen, v[new]]))
             if found:
                 lang, phrase, k = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(k, pa.int32())], names=["lang", "phrase", "k"])
@@ -241,10 +251,14 @@ def _counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def _scan(docs: DataFrame, phrases: dict[str, list[str]], count_words: set[str]) -> DataFrame:
-    """(lang, phrase, f) of the phrases given; without phrase the number of words, for the languages in `count_words`."""
+    """(lang, phrase, f) of the phrases given; without phrase the number of words, for the languages in `count_words`.
+
+    A task sends its counts as arrays, one row for SHARD phrases of a language; arrays are added up for GROUP tasks, then for all.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
     number = common.shared_dir(docs.sparkSession)
     langs = sorted(phrases)
+    schema = "lang string, shard int, part int, counts binary"
 
     def scan(batches):
         total: dict[str, np.ndarray] = {}
@@ -266,16 +280,35 @@ def _scan(docs: DataFrame, phrases: dict[str, list[str]], count_words: set[str])
                     add(lang)
         for lang in list(matches):
             add(lang)
-        out = [(x, None, n) for x, n in words.items() if x in count_words]
-        for lang, n in total.items():
-            known = shared.value[lang]
-            out += [(lang, known[i], n[i]) for i in np.flatnonzero(n).tolist()]
-        if out:
-            lang, phrase, n = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array([int(x) for x in n], pa.int64())], names=["lang", "phrase", "f"])
+        part = TaskContext.get().partitionId() // GROUP
+        rows = [(x, -1, np.array([n])) for x, n in words.items()]
+        rows += [(x, a // SHARD, n[a : a + SHARD]) for x, n in total.items() for a in range(0, len(n), SHARD) if n[a : a + SHARD].any()]
+        if rows:
+            lang, shard, counts = zip(*rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lang, pa.string()), pa.array(shard, pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([n.astype(np.int64).tobytes() for n in counts], pa.binary())],
+                names=["lang", "shard", "part", "counts"],
+            )
         common.release()
 
-    return docs.filter(F.col("lang").isin(langs)).mapInArrow(scan, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    def add_up(table: pa.Table) -> pa.Table:
+        out = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts"))
+        return pa.table({"lang": table.column("lang")[:1], "shard": table.column("shard")[:1], "part": pa.array([0], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
+
+    def told(batches):
+        for rb in batches:
+            for lang, shard, _, counts in zip(*(c.to_pylist() for c in rb.columns)):
+                n = np.frombuffer(counts, np.int64)
+                if shard < 0:
+                    names, n = [None], n if lang in count_words else n[:0]
+                    names = names[: len(n)]
+                else:
+                    names = shared.value[lang][shard * SHARD : shard * SHARD + len(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(names, pa.string()), pa.array(n)], names=["lang", "phrase", "f"])
+
+    sent = docs.filter(F.col("lang").isin(langs)).mapInArrow(scan, schema)
+    added = sent.groupBy("lang", "shard", "part").applyInArrow(add_up, schema).groupBy("lang", "shard").applyInArrow(add_up, schema)
+    return added.mapInArrow(told, "lang string, phrase string, f long").filter("f > 0")
 
 
 # --- scores -----------------------------------------------------------------------------------------------------------------------
@@ -308,10 +341,12 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(common.partitions(spark), -(-size // RANGE_BYTES))
     filters: dict[int, np.ndarray] = {}
+    found: DataFrame | None = None
     for lengths in ((1,), (2,), (3, 4)):
-        full = _filter(_sketch(docs, lengths, filters, least, ranges))
-        filters |= dict.fromkeys(lengths, full)
-    candidates = common.saved(_candidates(docs, filters), common.shared_dir(spark))
+        full = common.saved(_sketch(docs, lengths, filters, least, ranges), common.shared_dir(spark))
+        filters |= dict.fromkeys(lengths, _filter(full, "value", 16))
+        found = full if found is None else found.union(full)
+    candidates = common.saved(_candidates(docs, filters, _filter(found, "place", 64)), common.shared_dir(spark))
     counted = common.saved(_counts(docs, candidates), common.shared_dir(spark))
     return _ranked(spark, counted, least, covered, most)
 
