@@ -14,6 +14,8 @@ HASHED = 1 << 15
 RANK = 8
 #: Labelled rows of which a model is fitted at most: those with the smallest hash of their id.
 LABELLED_ROWS = 8000
+#: Bytes of their texts at most.
+LABELLED_BYTES = 256 << 20
 THRESHOLD = 0.3
 
 # Byte classes whose shares are statistics, and the edges of the buckets of a share.
@@ -144,12 +146,14 @@ def fit(fid: np.ndarray, value: np.ndarray, at: np.ndarray, label: np.ndarray, s
     return model
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id", label: str = "quality", most_rows: int = LABELLED_ROWS) -> Model:
-    """A model fitted on at most `most_rows` labelled rows whose crc32(id as text) mod 5 is not 0.
+def train_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id", label: str = "quality", most_rows: int = LABELLED_ROWS, most_bytes: int = LABELLED_BYTES) -> Model:
+    """A model fitted on at most `most_rows` labelled rows, of `most_bytes` of text together, whose crc32(id as text) mod 5 is not 0.
 
-    The sample is those with the smallest hash of their id; the ids (bounded by most_rows) are broadcast and only the features
-    of those rows reach the driver. Rows with a null id, null label or without document are left out; an id with several labels
-    counts once, with the smallest. Labels, language, source and id are no features.
+    The sample is those with the smallest hash of their id; the ids (bounded by most_rows) are broadcast. An id with several
+    texts counts once, with the text of the least hash, and of these texts those with the smallest hashes are taken as long as they
+    stay within most_bytes, so the features that reach the driver are bounded whatever ids repeat and however long texts are.
+    Rows with a null id, null label or without document are left out; an id with several labels counts once, with the smallest.
+    Labels, language, source and id are no features.
     """
     common.tune(docs.sparkSession)
     known = labels.select(F.col(id_column).alias("_id"), F.col(label).cast("double").alias("_label")).filter("_id is not null and _label is not null and crc32(cast(_id as string)) % 5 <> 0")
@@ -163,7 +167,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col
                 lists = [pa.ListArray.from_arrays(cut, pa.array(fid.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(value))]
                 yield pa.RecordBatch.from_arrays([rb.column(0).slice(a, b - a), rb.column(1).slice(a, b - a), *lists], names=["o", "label", "f", "x"])
 
-    found = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").select(F.xxhash64("_id", "_text").alias("o"), "_label", "_text")
+    texts = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id").withColumn("o", F.xxhash64("_id", "_text"))
+    one = texts.groupBy("_id").agg(F.min(F.struct("o", "_text")).alias("m"), F.min("_label").alias("_label")).select("m.o", "_label", "m._text")
+    one = common.saved(one, common.shared_dir(docs.sparkSession))
+    size = sorted(tuple(r) for r in one.select("o", F.octet_length("_text")).collect())  # at most most_rows rows of two numbers
+    within = int(np.searchsorted(np.cumsum([n for _, n in size]), most_bytes, side="right"))
+    found = one.filter(F.col("o") <= F.lit(size[within - 1][0])) if within else one.limit(0)
     t = found.mapInArrow(make, "o long, label double, f array<int>, x array<float>").toArrow().sort_by("o").combine_chunks()
     if not t.num_rows:
         return fit(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(1, np.int64), np.zeros(0))
