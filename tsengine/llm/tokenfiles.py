@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import struct
 import zlib
 
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .kernels import prefix_hashes, range_hashes
 
 #: Precision of the shared frequencies: they add up to 2^BITS.
 BITS = 20
@@ -28,8 +28,8 @@ MOST_LANES, LANE_TOKENS = 2048, 512
 STEPS = 256
 #: Tokens of a file, and sample rows a file from which the ranges of files are cut (balance only; every row is written).
 FILE_TOKENS, SAMPLE = 1 << 23, 100
-#: Words that one generation of a worker's memory holds, two generations at most.
-WORDS_REMEMBERED = 400_000
+#: Words that a worker remembers; then it begins anew.
+WORDS_REMEMBERED = 3_000_000
 
 _MAGIC = b"TRA1"
 _HEAD = struct.Struct("<4sBBHIIIQII")  # magic, bits, bytes an id, -, tokens, lanes, checkpoints, words, digest of the table, crc of the ids
@@ -142,63 +142,115 @@ def decoded(block: bytes, table: Table, start: int = 0, stop: int | None = None)
 
 class WordIds:
     """Ids of texts for a tokenizer that lower-cases, drops white space and cuts letters from other characters, such as
-    word_bpe_49k.json: words are encoded once and remembered, runs of ASCII letters many at a time."""
+    word_bpe_49k.json: words are encoded once and remembered by a 64-bit hash, runs of ASCII letters many at a time.
 
-    _cut = re.compile(r"(?<=[a-z])(?=[.,;:!?])")  # a new word of the tokenizer begins there
-    _space = bytes(32 if c in b"\t\r\n" else c for c in range(256))
-    _plain = bytes(c + 32 if 65 <= c <= 90 else c for c in _space)  # bytes of UTF-8, so other characters stay
+    A word ends at blanks, tabs, CR and LF, and before `.,;:!?` where a letter a-z stands; nothing of the tokenizer crosses such a place.
+    Texts that may hold special tokens (told by case and by what is beside them) go to the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.library, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.library, self.letters):
+            t.no_padding()
+            t.no_truncation()
+        # lower-case ASCII letters between blanks: neither normal forms nor classes of characters matter
+        self.letters.normalizer, self.letters.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.CharDelimiterSplit(" ")
         self.size = self.library.get_vocab_size()
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.last = np.zeros(self.size, bool)  # ids that end a word
         self.last[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _library_ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, text: str) -> list[str]:
-        if "<|" in text:  # special tokens are told by case and by the characters beside them
-            return text.encode().translate(self._space).decode().split(" ")
-        return self._cut.sub(" ", text.encode().translate(self._plain).decode()).split(" ")
-
-    def _learn(self, words: set[str]) -> None:
-        new = []
-        for w in words:
-            if w not in self.young:
-                known = self.old.get(w)
-                if known is None:
-                    new.append(w)
-                else:
-                    self.young[w] = known
-        plain = [w for w in new if w.isascii() and w.isalpha() and len(w) < 100]
-        for a in range(0, len(plain), 10_000):
-            some = plain[a : a + 10_000]
-            for b, ids in zip(range(0, len(some), 100), self._library_ids([" ".join(some[b : b + 100]) for b in range(0, len(some), 100)])):
-                group = some[b : b + 100]
-                edges = np.flatnonzero(self.last[ids]) + 1
-                parts = [x.tobytes() for x in np.split(ids, edges[:-1])] if len(edges) == len(group) else [x.tobytes() for x in self._library_ids(group)]
-                self.young.update(zip(group, parts))
-        rest = [w for w in new if w not in self.young]
-        for a in range(0, len(rest), 5000):
-            self.young.update(zip(rest[a : a + 5000], (x.tobytes() for x in self._library_ids(rest[a : a + 5000]))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, little-endian."""
-        if len(self.young) > WORDS_REMEMBERED:
-            self.old, self.young = self.young, {"": b""}
-        split = [self.words(t) for t in texts]
-        self._learn(set().union(*split))
-        get = self.young.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+        self._forget()
+
+    def _forget(self) -> None:
+        # hashes in order, and the place and number of each word's ids
+        self.keys, self.place, self.many = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def _library_ids(self, texts: list[str], library=None) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in (library or self.library).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of(self, words: list[bytes]) -> list[np.ndarray]:
+        out: list = [None] * len(words)
+        plain = [k for k, w in enumerate(words) if w.isalpha() and len(w) < 100]
+        groups = [plain[a : a + 100] for a in range(0, len(plain), 100)]
+        for group, ids in zip(groups, self._library_ids([b" ".join([words[k] for k in g]).decode() for g in groups], self.letters)):
+            edges = np.flatnonzero(self.last[ids]) + 1
+            if len(edges) == len(group):
+                for k, x in zip(group, np.split(ids, edges[:-1])):
+                    out[k] = x
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self._library_ids([words[k].decode() for k in rest])):
+            out[k] = x
+        return out
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        if len(self.keys) > WORDS_REMEMBERED:
+            self._forget()
+        found = self._ids_of(words)
+        many = np.array([len(x) for x in found], np.int64)
+        new = np.concatenate(found)
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(new), self.used), self.kind)])
+        self.flat[self.used : self.used + len(new)] = new
+        at = np.searchsorted(self.keys, keys)
+        self.place = np.insert(self.place, at, self.used + np.cumsum(many) - many)
+        self.many = np.insert(self.many, at, many)
+        self.keys = np.insert(self.keys, at, keys)
+        self.used += len(new)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each text, little-endian. data, offsets: UTF-8 bytes of the texts end to end."""
+        low = _PLAIN[data]
+        raw = low.tobytes()
+        n = len(offsets) - 1
+        whole = [k for k in range(n) if raw.find(b"<|", offsets[k], offsets[k + 1]) >= 0] if b"<|" in raw else []
+        start, end = _word_spans(low, offsets)
+        if not len(start):
+            return [b""] * n
+        rows = np.searchsorted(start, offsets)
+        sums = prefix_hashes(low)
+        u, first, which = np.unique(range_hashes(sums, start, end), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, u), max(len(self.keys) - 1, 0))
+        missing = np.flatnonzero(self.keys[at] != u) if len(self.keys) else np.arange(len(u))
+        if len(missing):
+            if len(self.keys) > WORDS_REMEMBERED:  # all of this batch's words must be there at once
+                self._forget()
+                missing = np.arange(len(u))
+            self._learn(u[missing], [raw[start[k] : end[k]] for k in first[missing].tolist()])
+            at = np.searchsorted(self.keys, u)
+        many = self.many[at][which]
+        before = np.concatenate([[0], np.cumsum(many)])
+        ids = self.flat[np.repeat(self.place[at][which] - before[:-1], many) + np.arange(before[-1])].tobytes()
+        cut = (before[rows] * self.flat.itemsize).tolist()
+        out = [ids[a:b] for a, b in zip(cut, cut[1:])]
+        for k, x in zip(whole, self._library_ids([data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in whole])):
+            out[k] = x.tobytes()
+        return out
+
+
+#: Bytes as words are told apart: A-Z in lower case, tab, CR and LF as blanks.
+_PLAIN = np.array([32 if c in b"\t\r\n" else c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_LETTER = np.array([97 <= c <= 122 for c in range(256)])
+_MARK = np.isin(np.arange(256), list(b".,;:!?"))
+
+
+def _word_spans(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of the words of all texts; none crosses a text."""
+    n = len(low)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = low != 32
+    edge = np.zeros(n + 1, bool)  # a text begins here
+    edge[offsets] = True
+    edge = edge[:n]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:] | (_MARK[low[1:]] & _LETTER[low[:-1]])
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
 class TextIds:
@@ -208,8 +260,9 @@ class TextIds:
         words = WordIds(path)
         self.size, self.kind, self._ids = words.size, words.kind, words._library_ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [x.tobytes() for x in self._ids(texts)]
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        raw = data.tobytes()
+        return [x.tobytes() for x in self._ids([raw[a:b].decode() for a, b in zip(offsets.tolist(), offsets[1:].tolist())])]
 
 
 _encoders: dict[tuple[str, bool], WordIds | TextIds] = {}
@@ -261,10 +314,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, key: st
         end = np.array([end_id], encoder.kind).tobytes()
         keys, ties = rb.column(0).to_pylist(), rb.column(2).to_pylist()
         place = [bisect.bisect_right(cuts, (True, k, t) if k is not None else (False, 0, t)) for k, t in zip(keys, ties)]
-        return [pa.array([x + end for x in encoder.encode(common.strings(rb, "text"))], pa.binary()), pa.array(place, pa.int32())]
+        ids = [x + end for _, _, data, offsets in common.text_chunks(rb, "text") for x in encoder.encode(data, offsets)]
+        return [pa.array(ids, pa.binary()), pa.array(place, pa.int32())]
 
     def parts(rb: pa.RecordBatch):
-        return (rb.slice(a, b - a) for a, b, _, _ in common.text_chunks(rb, "text", 1 << 20))
+        return (rb.slice(a, b - a) for a, b, _, _ in common.text_chunks(rb, "text", 2 << 20))
 
     kind = np.uint16 if vocabulary_size(tokenizer_path) <= 1 << 16 else np.uint32
     ids = common.append_columns(docs, make, [common.field("ids", "binary"), common.field("file", "int")], ["k", "_tie"], parts)
