@@ -417,21 +417,6 @@ def test_mixture_states(spark):
     assert low < middle < high == next(iter(found.values()))[1] - 1
 
 
-def test_ward_and_kmeans_labels():
-    r = np.random.default_rng(3)
-    x = np.round(r.normal(size=(9, 4)), 2)
-    error = lambda rows: ((x[rows] - x[rows].mean(0)) ** 2).sum()
-    found, groups = clusters.ward_labels(x, 1), [[i] for i in range(9)]
-    while len(groups) > 1:
-        a, b = min(itertools.combinations(groups, 2), key=lambda g: error(g[0] + g[1]) - error(g[0]) - error(g[1]))
-        groups = [g for g in groups if g not in (a, b)] + [a + b]
-        label = found[len(groups)]
-        assert {frozenset(np.flatnonzero(label == k)) for k in np.unique(label)} == {frozenset(g) for g in groups}
-    apart = np.concatenate([r.normal(c, 0.1, size=(5, 2)) for c in (0, 5, 10)])
-    assert len({tuple(clusters.kmeans_labels(apart, 3)[i : i + 5]) for i in (0, 5, 10)}) == 3
-    assert len(np.unique(clusters.kmeans_labels(np.ones((4, 2)), 3))) == 1  # equal rows
-
-
 def test_compared_clusterings(spark):
     place = {"a": 0.0, "b": 0.1, "c": 1.2, "d": 1.3, "e": 1.25}
     d = spark.createDataFrame([(x, y, abs(place[x] - place[y])) for x, y in itertools.combinations(sorted(place), 2)], "a string, b string, d double")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Sensors whose matrix of distances one task may hold; a clustering of more is refused.
-MOST_SENSORS = 4000
+from tsengine.model import settled
+
+from . import grouping
 
 
 def pairs(names: DataFrame, column: str = "sensor") -> DataFrame:
@@ -49,165 +49,35 @@ def distance_bounds(correlation: float) -> float:
     return float(np.sqrt(2 * (1 - correlation)))
 
 
-def affinity_exemplars(dist: np.ndarray, damping: float = 0.5, rounds: int = 200, steady: int = 15) -> np.ndarray:
-    """Exemplar of each row by affinity propagation on 2 - distance, preference the median similarity; lowest index on ties."""
-    n = len(dist)
-    if n < 2:
-        return np.zeros(n, int)
-    s = 2.0 - dist
-    off = ~np.eye(n, dtype=bool)
-    # rows that are alike would swing together for ever: earlier rows get a slightly higher preference
-    np.fill_diagonal(s, np.median(s[off]) + 1e-3 * (n - np.arange(n)) / n)
-    a, r, same, last = np.zeros((n, n)), np.zeros((n, n)), 0, None
-    rows = np.arange(n)
-    for _ in range(rounds):
-        t = a + s
-        first = t.argmax(1)
-        top = t[rows, first]
-        t[rows, first] = -np.inf
-        new = s - top[:, None]
-        new[rows, first] = s[rows, first] - t.max(1)
-        r = damping * r + (1 - damping) * new
-        p = np.maximum(r, 0)
-        p[rows, rows] = r[rows, rows]
-        new = p.sum(0)[None, :] - p
-        own = new[rows, rows].copy()
-        new = np.minimum(new, 0)
-        new[rows, rows] = own
-        a = damping * a + (1 - damping) * new
-        centres = np.flatnonzero(a[rows, rows] + r[rows, rows] > 0)
-        same = same + 1 if last is not None and np.array_equal(centres, last) else 0
-        last = centres
-        if same >= steady and len(centres):
-            break
-    if not len(last):
-        return rows
-    label = s[:, last].argmax(1)
-    label[last] = np.arange(len(last))
-    # within each cluster the member most similar to the others becomes the exemplar
-    for k in range(len(last)):
-        members = np.flatnonzero(label == k)
-        last[k] = members[s[np.ix_(members, members)].sum(0).argmax()]
-    label = s[:, last].argmax(1)
-    label[last] = np.arange(len(last))
-    return last[label]
-
-
-def two_groups(values: np.ndarray) -> int:
-    """Size of the lower group when sorted values are cut in two with the least variance inside; 0 for fewer than two."""
-    n = len(values)
-    if n < 2:
-        return 0
-    s, q = np.cumsum(values), np.cumsum(values * values)
-    k = np.arange(1, n)
-    inside = q[:-1] - s[:-1] ** 2 / k + (q[-1] - q[:-1]) - (s[-1] - s[:-1]) ** 2 / (n - k)
-    return int(inside.argmin()) + 1
-
-
-def pack_exemplars(dist: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Greedy packing: while some are left, all far (> high) become single and all near (< low) one cluster; else the row whose
-    sorted distances split widest takes its near group."""
-    left, out = list(range(len(dist))), np.arange(len(dist))
-    while left:
-        d = dist[np.ix_(left, left)]
-        off = d[~np.eye(len(left), dtype=bool)]
-        if not len(off) or off.min() > high:
-            break
-        if off.max() < low:
-            out[left] = left[int(d.sum(1).argmin())]
-            break
-        best = None
-        for i in range(len(left)):
-            order = np.sort(np.delete(d[i], i))
-            k = two_groups(order)
-            if k and order[k - 1] <= high:
-                gap = order[k:].mean() - order[:k].mean() if k < len(order) else 0.0
-                if best is None or gap > best[0]:
-                    best = (gap, i, order[k - 1])
-        if best is None:
-            i, j = divmod(int(np.where(np.eye(len(left), dtype=bool), np.inf, d).argmin()), len(left))
-            best = (0.0, i, d[i, j])
-        _, i, reach = best
-        group = [left[j] for j in range(len(left)) if j == i or d[i, j] <= reach]
-        out[group] = left[i]
-        left = [x for x in left if x not in set(group)]
-    return out
-
-
-def ward_labels(x: np.ndarray, least: int) -> dict[int, np.ndarray]:
-    """For k from `least` up to the number of rows: labels of k groups of rows, by merging the two whose union adds the least
-    squared error."""
-    n = len(x)
-    centre, size, label = x.astype(float).copy(), np.ones(n), np.arange(n)
-    cost = ((centre[:, None] - centre[None]) ** 2).sum(2) / 2
-    np.fill_diagonal(cost, np.inf)
-    out = {n: label.copy()}
-    for k in range(n - 1, max(least, 1) - 1, -1):
-        i, j = sorted(divmod(int(cost.argmin()), n))
-        centre[i] = (size[i] * centre[i] + size[j] * centre[j]) / (size[i] + size[j])
-        size[i], size[j] = size[i] + size[j], 0
-        label[label == j] = i
-        cost[j, :] = cost[:, j] = np.inf
-        live = (size > 0) & (np.arange(n) != i)
-        cost[i, live] = cost[live, i] = size[i] * size[live] / (size[i] + size[live]) * ((centre[live] - centre[i]) ** 2).sum(1)
-        out[k] = label.copy()
-    return out
-
-
-def kmeans_labels(x: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
-    """k-means of rows, from the row nearest the mean and then always the row furthest from those chosen."""
-    first = int(((x - x.mean(0)) ** 2).sum(1).argmin())
-    centre, far = [x[first]], ((x - x[first]) ** 2).sum(1)
-    for _ in range(k - 1):
-        centre.append(x[int(far.argmax())])
-        far = np.minimum(far, ((x - centre[-1]) ** 2).sum(1))
-    c, label = np.array(centre, float), None
-    for _ in range(rounds):
-        new = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
-        if label is not None and np.array_equal(new, label):
-            break
-        label = new
-        for i in np.unique(label):
-            c[i] = x[label == i].mean(0)
-    return label
-
-
-def medoids(dist: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """For each row the member of its group with the least sum of distances to the group, the first of equals."""
-    out = np.arange(len(label))
-    for k in np.unique(label):
-        of = np.flatnonzero(label == k)
-        out[of] = of[dist[np.ix_(of, of)].sum(1).argmin()]
-    return out
-
-
-def _checked(names: DataFrame) -> None:
-    many = names.select("sensor").distinct().count()
-    if many > MOST_SENSORS:
-        raise ValueError(f"{many} sensors; at most {MOST_SENSORS} can be clustered together")
+def _others(d: DataFrame, names: DataFrame, sparse: bool) -> DataFrame:
+    return (d.select("a", "b", "d").union(d.select("b", "a", "d")) if sparse else full_matrix(d, names)).filter("a <> b")
 
 
 def clusterings(d: DataFrame, names: DataFrame, low_correlation: float = 0.1, high_correlation: float = 0.9) -> DataFrame:
     """(method, k, sensor, exemplar, is_exemplar): the sensors grouped by packing, by affinity, and by Ward and k-means over the rows
     of the matrix of distances, those two for every k from 2 to the number of packs. Exemplars of the latter are medoids.
 
-    As `cluster`, the matrix goes to one task; at most MOST_SENSORS sensors, which is checked.
+    Ward's pairs of rows meet on their columns, so this takes the cube of the number of sensors; it is meant for comparing methods.
     """
-    _checked(names)
     low, high = distance_bounds(high_correlation), distance_bounds(low_correlation)
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        m = t.pivot(index="a", columns="b", values="d").sort_index(axis=0).sort_index(axis=1)
-        x, name = m.to_numpy().copy(), m.index.to_numpy()
-        packs = pack_exemplars(x, low, high)
-        most = len(np.unique(packs))
-        found = [("pack", packs), ("affinity", affinity_exemplars(x.copy()))]
-        if most > 1:
-            found += [("ward", medoids(x, label)) for k, label in ward_labels(x, 2).items() if k <= most]
-            found += [("kmeans", medoids(x, kmeans_labels(x, k))) for k in range(2, most + 1)]
-        return pd.concat([pd.DataFrame({"method": method, "k": np.int32(len(np.unique(e))), "sensor": name, "exemplar": name[e], "is_exemplar": e == np.arange(len(e))}) for method, e in found])
-
-    return full_matrix(d, names).groupBy(F.lit(0).alias("_all")).applyInPandas(run, "method string, k int, sensor string, exemplar string, is_exemplar boolean").distinct()
+    matrix = settled(full_matrix(d, names))
+    others = matrix.filter("a <> b")
+    told = lambda method, found: found.withColumn("method", F.lit(method))
+    packed = grouping.packs(others, names, low, high)
+    near = grouping.affinity(others.select("a", "b", (2.0 - F.col("d")).alias("s")), names)
+    counted = [told(m, c.crossJoin(F.broadcast(c.agg(F.count_distinct("exemplar").cast("int").alias("k"))))) for m, c in (("pack", packed), ("affinity", near))]  # one number
+    most = packed.filter("is_exemplar").count()
+    found = counted
+    if most > 1:
+        x, y = matrix.select("a", F.col("b").alias("slot"), F.col("d").alias("x")), matrix.select(F.col("a").alias("b"), F.col("b").alias("slot"), F.col("d").alias("y"))
+        cost = x.join(y, "slot").filter("a < b").groupBy("a", "b").agg((F.sum((F.col("x") - F.col("y")) ** 2) / 2).alias("c"))
+        ward = grouping.ward_groups(grouping.ward(cost, names), names, list(range(2, most + 1)))
+        means = grouping.kmeans(matrix.select(F.col("a").alias("sensor"), F.col("b").alias("slot"), F.col("d").alias("value")), most)
+        found = [*counted, *(told(m, grouping.medoids(others, g, ["k"])) for m, g in (("ward", ward), ("kmeans", means)))]
+    out = found[0].select("method", "k", "sensor", "exemplar", "is_exemplar")
+    for f in found[1:]:
+        out = out.unionByName(f.select(out.columns))
+    return out
 
 
 def compare_clusterings(d: DataFrame, found: DataFrame, low: float, high: float) -> DataFrame:
@@ -253,22 +123,16 @@ def cluster_statistics(clusters: DataFrame, constant: DataFrame, keys: list[str]
     return out.withColumn("sensors_per_cluster", F.try_divide(F.col("n_labelled").cast("double"), "n_clusters"))
 
 
-def cluster(d: DataFrame, names: DataFrame, method: str = "affinity", correlation: float = 0.9) -> DataFrame:
-    """(sensor, exemplar, is_exemplar): sensors grouped around exemplars, from distances (a, b, d).
+def cluster(d: DataFrame, names: DataFrame, method: str = "affinity", correlation: float = 0.9, sparse: bool = False) -> DataFrame:
+    """(sensor, exemplar, is_exemplar): sensors grouped around exemplars, from distances (a, b, d), a < b.
 
-    The matrix of all sensors goes to one task, as the method needs it whole: at most MOST_SENSORS of them, which is checked.
-    method: affinity, or pack with the distances of correlation 0.9 and its square as bounds.
+    method: affinity, or pack with the distances of correlation 0.9 and its square as bounds. sparse: pairs without a distance stay
+    out, for many sensors with few near ones each; otherwise they have the distance 2, and the table has all pairs.
     """
-    _checked(names)
-    low, high = distance_bounds(correlation), distance_bounds(correlation**2)
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        m = t.pivot(index="a", columns="b", values="d").sort_index(axis=0).sort_index(axis=1)
-        x = affinity_exemplars(m.to_numpy().copy()) if method == "affinity" else pack_exemplars(m.to_numpy(), low, high)
-        name = m.index.to_numpy()
-        return pd.DataFrame({"sensor": name, "exemplar": name[x], "is_exemplar": x == np.arange(len(x))})
-
-    return full_matrix(d, names).groupBy(F.lit(0).alias("_all")).applyInPandas(run, "sensor string, exemplar string, is_exemplar boolean")
+    others = _others(d, names, sparse)
+    if method == "affinity":
+        return grouping.affinity(others.select("a", "b", (2.0 - F.col("d")).alias("s")), names)
+    return grouping.packs(others, names, distance_bounds(correlation), distance_bounds(correlation**2))
 
 
 def members(clusters: DataFrame) -> DataFrame:
