@@ -34,8 +34,9 @@ def _blocks(pairs: DataFrame, rows: int, order: str, values: list[str]):
     dealt = settled(pairs.repartition(max(1, min(most, -(-rows // PAIRS_PER_TASK))), "i").sortWithinPartitions("i", order))
 
     def pack(batches):
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows:
+        held = [rb for rb in batches if rb.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
             yield pa.RecordBatch.from_arrays([pa.array([table.column(c).to_numpy().tobytes()], pa.binary()) for c in ("i", "j", *values)], names=["i", "j", *values])
 
     packed = dealt.select("i", "j", *values).mapInArrow(pack, ", ".join(f"{c} binary" for c in ("i", "j", *values)))
@@ -95,7 +96,7 @@ def affinity(similarity: DataFrame, names: DataFrame, preference: float | None =
     Messages are (i, j, s, r, v): responsibility and availability of j for i, dealt by i. A round takes the two largest v + s of each i
     where its rows lie; the sums of the positive r of each j are added up over all tasks, one number a point, and sent back. It ends
     when the exemplars stay the same for `steady` rounds. State is kept by the executors and written to the checkpoint folder
-    each ROUNDS_KEPT rounds. Then the member with the largest sum of similarities in its group becomes the exemplar, and
+    each ROUNDS_KEPT rounds; a table of no more rows than one task's makes its rounds there. Then the member with the largest sum of similarities in its group becomes the exemplar, and
     points go to the most similar one; lower names win ties. A point without pairs is its own exemplar. An empty table gives
     an empty result.
     """
@@ -136,30 +137,44 @@ def affinity(similarity: DataFrame, names: DataFrame, preference: float | None =
         new = np.where(mine, positive[j], np.minimum(0.0, own[j] + positive[j] - np.where(mine, 0.0, np.maximum(r, 0.0))))
         return responsibilities(x, damping * x["v"] + (1 - damping) * new)
 
-    blocks = _blocks(pairs.unionByName(own), many + n, "j", ["s"])
-    context = pairs.sparkSession.sparkContext
-    state = blocks.map(lambda x: responsibilities({**x, "r": np.zeros(len(x["s"]))}, np.zeros(len(x["s"]))))
-    centres, same, old = None, 0, []
-    for turn in range(1, rounds + 1):
-        state.persist(StorageLevel.MEMORY_AND_DISK)
-        if turn % ROUNDS_KEPT == 0:
-            state.checkpoint()
-        told = state.map(lambda x: x[1]).treeReduce(np.add)
+    def begun(x):
+        return responsibilities({**x, "r": np.zeros(len(x["s"]))}, np.zeros(len(x["s"])))
+
+    def ends(told, past):
+        """Adds a round's exemplars to `past` and says whether they have been the same for long enough."""
         positive, r, v = told
-        now = np.flatnonzero(damping * v + (1 - damping) * positive + r > 0)
-        same = same + 1 if centres is not None and np.array_equal(now, centres) else 0
-        centres = now
-        if turn % ROUNDS_KEPT == 0:
-            for x in old:
-                x.unpersist()
-            old = []
-        old.append(state)
-        if same >= steady and len(centres):
-            break
-        sent = context.broadcast(told)  # three numbers a point
-        state = state.map(lambda x, sent=sent: answered(x[0], sent.value))
-    for x in old:
-        x.unpersist()
+        past.append(np.flatnonzero(damping * v + (1 - damping) * positive + r > 0))
+        return len(past) == rounds or len(past) > steady and len(past[-1]) > 0 and all(np.array_equal(c, past[-1]) for c in past[-steady - 1 : -1])
+
+    def alone(x):
+        """All rounds of a table that is one block: there is nobody to tell."""
+        (x, told), past = begun(x), []
+        while not ends(told, past):
+            x, told = answered(x, told)
+        return past[-1]
+
+    blocks = _blocks(pairs.unionByName(own), many + n, "j", ["s"])
+    if blocks.getNumPartitions() == 1:
+        centres = blocks.map(alone).first()
+    else:
+        state, past, old = blocks.map(begun), [], []
+        while True:
+            state.persist(StorageLevel.MEMORY_AND_DISK)
+            if len(past) % ROUNDS_KEPT == ROUNDS_KEPT - 1:
+                state.checkpoint()
+            told = state.map(lambda x: x[1]).treeReduce(np.add)
+            if len(past) % ROUNDS_KEPT == ROUNDS_KEPT - 1:
+                for x in old:
+                    x.unpersist()
+                old = []
+            old.append(state)
+            if ends(told, past):
+                break
+            sent = pairs.sparkSession.sparkContext.broadcast(told)  # three numbers a point
+            state = state.map(lambda x, sent=sent: answered(x[0], sent.value))
+        for x in old:
+            x.unpersist()
+        centres = past[-1]
     if not len(centres):
         return _named(ids.select("i", F.col("i").alias("e")), ids)
     centres = pairs.sparkSession.createDataFrame(pa.table({"e": centres.astype(np.int64)}))
@@ -191,7 +206,8 @@ def packs(distance: DataFrame, names: DataFrame, low: float, high: float) -> Dat
     nearest points form a cluster.
 
     The sorted rows stay where they were dealt. A round sends which points are left, cuts each row by running sums, and brings one
-    candidate a task back, the points of its near part with it. There are as many rounds as clusters of two or more.
+    candidate a task back, the points of its near part with it. There are as many rounds as clusters of two or more; a table of no
+    more rows than one task's makes them there.
     """
     ids = numbered(names)
     n = ids.count()
@@ -222,23 +238,33 @@ def packs(distance: DataFrame, names: DataFrame, low: float, high: float) -> Dat
             return p or q
         return min(p[0], q[0]), max(p[1], q[1]), min(p[2], q[2]), min(p[3], q[3]), max(p[4], q[4], key=lambda c: c[:2])
 
-    context = pairs.sparkSession.sparkContext
-    left, exemplar = np.ones(n, bool), np.arange(n)
-    while left.sum() > 1:
-        sent = context.broadcast(left)  # a boolean a point
-        found = blocks.map(lambda x, sent=sent: best_of(x, sent.value)).treeReduce(better)
-        if found is None or found[0] > high:
-            break
-        if found[1] < low:
-            exemplar[left] = found[3][1]
-            break
-        _, centre, group = found[4]
-        if group is None:
-            _, centre, other = found[2]
-            group = np.array([other])
-        group = np.append(group, abs(int(centre)))
-        exemplar[group] = abs(int(centre))
-        left[group] = False
+    def all_rounds(find):
+        left, exemplar = np.ones(n, bool), np.arange(n)
+        while left.sum() > 1:
+            found = find(left)
+            if found is None or found[0] > high:
+                break
+            if found[1] < low:
+                exemplar[left] = found[3][1]
+                break
+            _, centre, group = found[4]
+            if group is None:
+                _, centre, other = found[2]
+                group = np.array([other])
+            group = np.append(group, abs(int(centre)))
+            exemplar[group] = abs(int(centre))
+            left[group] = False
+        return exemplar
+
+    def ask_all(left):
+        sent = pairs.sparkSession.sparkContext.broadcast(left)  # a boolean a point
+        return blocks.map(lambda x: best_of(x, sent.value)).treeReduce(better)
+
+    if blocks.getNumPartitions() == 1:
+        exemplar = blocks.map(lambda x: all_rounds(lambda left: best_of(x, left))).take(1)
+        exemplar = exemplar[0] if exemplar else np.arange(n)
+    else:
+        exemplar = all_rounds(ask_all)
     blocks.unpersist()
     chosen = pairs.sparkSession.createDataFrame(pa.table({"i": np.arange(n), "e": exemplar.astype(np.int64)}))
     return settled(_named(chosen, ids))

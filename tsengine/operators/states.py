@@ -133,33 +133,28 @@ def discover(values: np.ndarray, weights: np.ndarray, most: int, within: np.ndar
 
 
 def _levels(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """`counts` (keys, value, _c: one row a distinct value) with _l: the value itself, or its level where a key has more than
-    MOST_LEVELS values.
+    """`counts` (keys, value, _c: one row a distinct value) with _l: the value itself, or the least value of its level where a key
+    has more than MOST_LEVELS values.
 
-    Levels lie between edges that are a quarter of MOST_LEVELS quantiles of the distinct values and as many points of equal
-    distance, so no level holds more than its share of the values, and a far value has one apart.
+    Levels are an eighth of MOST_LEVELS cells of equal distance; a cell with more than its share of the values is cut again, twice
+    at most, into as many cells of equal distance between its own ends as it has shares. So a far value has a level apart, and a key
+    has fewer than MOST_LEVELS levels. All of it are counts by cell that are joined back; nothing goes to the driver.
     """
-    spark = counts.sparkSession
-    part = max(2, MOST_LEVELS // 4)
-    sizes = counts.groupBy(*keys).agg(F.count("*").alias("_d")).filter(F.col("_d") > MOST_LEVELS).select(*keys)
-    share = [i / part for i in range(part + 1)]
-    large = counts.join(sizes, keys, "left_semi").groupBy(*keys).agg(F.percentile_approx("value", share, 4 * part).alias("_q"), F.min("value").alias("_a"), F.max("value").alias("_b")).collect()
-    if not large:
-        return counts.withColumn("_l", F.col("value"))
-    edges = [np.unique(np.concatenate([r["_q"], np.linspace(r["_a"], r["_b"], part + 1)])) for r in large]
-    sent = spark.sparkContext.broadcast(edges)
-    schema = ", ".join(f"`{k}` {dict(counts.dtypes)[k]}" for k in keys)
-    which = spark.createDataFrame([(*[r[k] for k in keys], i) for i, r in enumerate(large)], f"{schema}, _e int")
-
-    @F.pandas_udf("double")
-    def level(e: pd.Series, v: pd.Series) -> pd.Series:
-        out = v.astype(float)
-        for i in e.dropna().unique():
-            mine = (e == i).to_numpy()
-            out[mine] = np.searchsorted(sent.value[int(i)], v[mine].to_numpy(), side="right").astype(float)
-        return out
-
-    return counts.join(F.broadcast(which), keys, "left").withColumn("_l", level("_e", "value")).drop("_e")
+    part = max(2, MOST_LEVELS // 8)
+    v = F.col("value")
+    large = counts.groupBy(*keys).agg(F.count("*").alias("_d"), F.min(v).alias("_a"), F.max(v).alias("_b")).filter(F.col("_d") > MOST_LEVELS)
+    if large.isEmpty():
+        return counts.withColumn("_l", v)
+    place = (v - F.col("_a")) / (F.col("_b") - F.col("_a"))
+    cut = counts.join(large, keys).withColumn("_cell", F.floor(place * part).cast("string"))
+    for _ in range(2):
+        cells = cut.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"), F.min(v).alias("_a"), F.max(v).alias("_b"))
+        cut = cut.drop("_n", "_a", "_b").join(cells, [*keys, "_cell"])
+        again = F.concat("_cell", F.lit("/"), F.floor(place * F.ceil(F.col("_n") * part / F.col("_d"))).cast("string"))
+        cut = cut.withColumn("_cell", F.when((F.col("_n") * part > F.col("_d")) & (F.col("_b") > F.col("_a")), again).otherwise(F.col("_cell")))
+    least = cut.groupBy(*keys, "_cell").agg(F.min(v).alias("_l"))
+    cut = cut.join(least, [*keys, "_cell"]).select(*keys, "value", "_c", "_l")
+    return cut.unionByName(counts.join(large, keys, "left_anti").withColumn("_l", v))
 
 
 def value_states(df: DataFrame, keys: list[str], value: str = "value", most: int = 6, method: str = "kmeans") -> DataFrame:
@@ -168,11 +163,11 @@ def value_states(df: DataFrame, keys: list[str], value: str = "value", most: int
     Only counts of distinct values go to a key's task, so a sensor's readings never meet in one task. Up to MOST_LEVELS distinct
     values of a key are split with the least squared error. More are first gathered into levels, by their count and their
     distance; counts, sums and squares of the levels are true ones, so the split is the best of those that keep levels whole:
-    it is no worse than a best split with its cuts moved to the edges of levels, each of which spans at most 1 / 16,384 of the range.
+    it is no worse than a best split with its cuts moved to the edges of levels, each of which spans at most 1 / 8,192 of the range.
     """
     known = df.filter(F.col(value).isNotNull())
     counts = known.groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("_c"))
-    counts = _levels(counts, keys)
+    counts = _levels(settled(counts), keys)  # one row a distinct value, read several times
     # two steps: squares about a level's own mean keep their digits
     w = F.sum("_c")
     means = counts.groupBy(*keys, "_l").agg((F.sum(F.col("_c") * F.col("value")) / w).alias("_v"), w.alias("_n"))
