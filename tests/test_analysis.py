@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tsengine.model import HOUR
 from tsengine.plans.analysis import analyse
-from tsengine.sources import exports
+from tsengine.plans.analysis import weather_states
+from tsengine.sources import exports, files
 
 
 def test_finds_the_cause(spark):
@@ -42,10 +43,22 @@ def test_finds_the_cause(spark):
     explained = {x for x, y in nets["power|avg|weather"] if y == "power"}
     assert explained and explained <= {"Conditions", "TemperatureC"}
     assert ("power|avg|all" in nets) and all(x != "power" for edges in nets.values() for x, _ in edges)
+    texts = {(x["effect"], x["sig_tag"], x["network"]): json.loads(x["json"]) for x in files.summary_json(a.ranked, a.edges).collect()}
+    assert set(texts) == {("power", tag, net) for tag in ("avg", "diff") for net in ("sensor", "weather", "time", "all")}
+    for (effect, tag, net), text in texts.items():
+        assert {(e["src"], e["dst"]) for e in text["edges"]} == nets.get(f"{effect}|{tag}|{net}", set())
+    assert [c["rank"] for c in texts["power", "avg", "all"]["causes"]] == [1, 2, 3] and texts["power", "avg", "weather"]["edges"]
     table = {x["sensor"]: x for x in exports.cluster_table(df, average).collect()}
     assert table["sparse"]["label"] == "-" and table["sparse"]["zero_variance"]
 
 
+def test_weather_outliers_go(spark):
+    rows = [(i * HOUR, str(float(i % 7))) for i in range(200)] + [(50 * HOUR + 1, "100000"), (60 * HOUR + 1, "-9999"), (70 * HOUR + 1, "x"), (None, "3")]
+    w = spark.createDataFrame(rows, "t long, TemperatureC string")
+    found = {r["slot"]: r["state"] for r in weather_states(w, 0, 200 * HOUR, HOUR, 5).collect()}
+    assert found == {i: i % 7 for i in range(200)}
+
+
 def test_exports(spark):
     edges = spark.createDataFrame([("m", "b", "a"), ("m", "c", "a")], "model_id string, src string, dst string")
     assert json.loads(exports.graph_json(edges).first()["json"]) == {"nodes": [{"name": "a"}, {"name": "b"}, {"name": "c"}], "links": [{"source": 1, "target": 0}, {"source": 2, "target": 0}]}

@@ -131,6 +131,14 @@ def clean_columns(slots: DataFrame, max_gap: int, few: Column, raw: Column, perc
     return done.withColumns({"_lo": F.min("value").over(w), "_hi": F.max("value").over(w)}).filter("_lo <> _hi").select(*slots.columns)
 
 
+def stepped(spans: DataFrame, a: Column, last: Column, step: Column, block: int = 4096) -> DataFrame:
+    """`spans` with t from a to at most `last` every `step`, one row each: blocks of steps first, so that no row holds a whole span."""
+    blocks = spans.withColumns({"_a": a.cast("long"), "_s": step.cast("long")}).withColumn("_n", F.floor((last - F.col("_a")) / F.col("_s")))
+    many = blocks.filter("_n >= 0").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_n") / block))))
+    one = many.withColumn("_i", F.explode(F.sequence(F.col("_k") * block, F.least(F.col("_n"), F.col("_k") * block + block - 1))))
+    return one.withColumn("t", F.col("_a") + F.col("_i") * F.col("_s")).drop("_a", "_s", "_n", "_k", "_i")
+
+
 def regularise(r: DataFrame, percent: float = 1, sigmas: float = 20) -> DataFrame:
     """Readings on an even grid of each sensor's own step, the mean interval rounded up to seconds; from the first reading to
     before the last, outliers left out first. Linear between neighbours; sensors of few levels take the nearest."""
@@ -138,7 +146,7 @@ def regularise(r: DataFrame, percent: float = 1, sigmas: float = 20) -> DataFram
     good = good.groupBy("sensor", "t").agg(F.avg("value").alias("value"))
     steps = good.groupBy("sensor").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n")).filter("b > a")
     step = F.ceil((F.col("b") - F.col("a")) / F.col("n") / SECOND) * SECOND
-    grid = steps.select("sensor", F.explode(F.sequence(F.col("a"), F.col("b") - 1, step.cast("long"))).alias("t"))
+    grid = stepped(steps, F.col("a"), F.col("b") - 1, step).select("sensor", "t")
     near = ordered.neighbours(good, grid)
     types = infer_types(good).select("sensor", "num_type")
     early = F.col("after_t").isNull() | (F.col("t") - F.col("before_t") <= F.col("after_t") - F.col("t"))
@@ -155,7 +163,7 @@ def upsample(r: DataFrame, step: int = SECOND, start: int | None = None, end: in
         zero = r.select("sensor").distinct().select("sensor", F.explode(F.array(*[F.lit(t).cast("long") for t in anchors])).alias("t"), F.lit(0.0).alias("value"))
         points = points.union(zero).groupBy("sensor", "t").agg(F.max_by("value", F.abs("value")).alias("value"))
     span = points.groupBy("sensor").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    grid = span.select("sensor", F.explode(F.sequence("a", "b", F.lit(step))).alias("t"))
+    grid = stepped(span, F.col("a"), F.col("b"), F.lit(step)).select("sensor", "t")
     n = ordered.neighbours(points, grid)
     line = ordered.linear(F.col("t"), F.col("before_t"), F.col("before_value"), F.col("after_t"), F.col("after_value"))
     return n.select("sensor", "t", F.when(F.col("after_t").isNull() | (F.col("before_t") == F.col("t")), F.col("before_value")).otherwise(line).alias("value"))
@@ -198,7 +206,12 @@ def kalman(r: DataFrame, q: float, noise: float, rows: int = 20_000) -> DataFram
     # of 999 quantiles every so many, for the number of chunks wanted
     some = F.filter("_at", lambda x, i: F.floor((i + 1) * F.col("_n") / 1000) > F.floor(i * F.col("_n") / 1000))
     edges = edges.select("sensor", F.array_distinct(some).alias("_at"))
-    cut = r.join(edges, "sensor").select("sensor", "t", "value", F.size(F.filter("_at", lambda x: x <= F.col("t"))).alias("_chunk"))
+    # two steps of some 32 comparisons: every 32nd edge, then those between two of them
+    edges = edges.withColumn("_top", F.filter("_at", lambda x, i: i % 32 == 0))
+    upto = lambda a: F.size(F.filter(a, lambda x: x <= F.col("t")))
+    found = r.join(edges, "sensor").withColumn("_c", upto(F.col("_top")))
+    chunk = F.when(F.col("_c") == 0, 0).otherwise((F.col("_c") - 1) * 32 + upto(F.slice("_at", F.greatest((F.col("_c") - 1) * 32 + 1, F.lit(1)), 32)))
+    cut = found.select("sensor", "t", "value", chunk.alias("_chunk"))
     order = Window.partitionBy("sensor").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = cut.groupBy("sensor", "_chunk").agg(F.count("*").alias("_c"))
     begin = counts.select("sensor", "_chunk", F.coalesce(F.sum("_c").over(order), F.lit(0)).cast("long").alias("_done"))

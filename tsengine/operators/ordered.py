@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tsengine.model import DAY
+from tsengine.model import DAY, settled
+
+#: Rows of a key that one task orders for rolling statistics.
+ROWS_PER_BLOCK = 50_000
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], values: Sequence[str], order: Sequence[str] = ("t",), chunk: int = 30 * DAY) -> DataFrame:
@@ -50,23 +53,53 @@ def inter_arrival(r: DataFrame) -> DataFrame:
     return with_previous(r, ["sensor"], ["t"], ["t", "value"]).withColumn("gap", F.col("t") - F.col("prev_t")).drop("prev_t")
 
 
+def with_place(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """`df` with _place, the number of the row in its key by `order` (from 1), and _n, the key's rows.
+
+    Rows are range-sorted by key and order, so a large key is spread over many tasks; a row's number is its place in its range and the
+    rows of its key in ranges before, from one row a range and key.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*keys, *order]
+    placed = settled(df.repartitionByRange(ranges, *by).sortWithinPartitions(*by)).withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    parts = placed.groupBy(*keys, "_range").agg(F.min("_row").alias("_first"), F.count("*").alias("_m"))
+    key = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_m").over(key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumns({"_before": before, "_n": F.sum("_m").over(key)}).drop("_m")
+    return placed.join(parts, [*keys, "_range"]).withColumn("_place", F.col("_row") - F.col("_first") + F.col("_before") + 1).drop("_range", "_row", "_first", "_before")
+
+
+def _framed(df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int, after: int, make) -> DataFrame:
+    """`df` with _place, _n and _v, a statistic over the rows from `before` before to `after` after each (-1: to the one before).
+
+    A key's rows are cut by place into blocks; a block's task also gets the `before` rows that precede it and the `after` that
+    follow, so no task orders more than a block whatever a key's size.
+    """
+    size = max(ROWS_PER_BLOCK, before + after, 1)
+    i = F.col("_place") - 1
+    block, inside = F.floor(i / size), i % size
+    near = F.array(block, F.when(inside < after, block - 1), F.when(inside >= size - before, block + 1))
+    copies = with_place(df, keys, order).withColumns({"_own": block, "_block": F.explode(F.array_compact(near))})
+    by = Window.partitionBy(*keys, "_block").orderBy("_place").rowsBetween(-before, after)
+    return copies.withColumn("_v", make(by)).filter("_block = _own").drop("_own", "_block")
+
+
 def moving_average_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], w: int, value: str = "value") -> DataFrame:
     """`df` with avg_before: the mean of the w values before a row; the first w rows take the mean of the first w values."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    out = df.withColumns({"_rn": F.row_number().over(by), "_avg": F.avg(value).over(by.rowsBetween(-w, -1))})
-    first = F.avg(F.when(F.col("_rn") <= w, F.col(value))).over(Window.partitionBy(*keys))
-    return out.withColumn("avg_before", F.when(F.col("_rn") <= w, first).otherwise(F.col("_avg"))).drop("_rn", "_avg")
+    out = _framed(df, keys, order, w, -1, lambda by: F.avg(value).over(by))
+    first = out.filter(F.col("_place") <= w).groupBy(*keys).agg(F.avg(value).alias("_start"))
+    return out.join(first, list(keys)).withColumn("avg_before", F.when(F.col("_place") <= w, F.col("_start")).otherwise(F.col("_v"))).select(*df.columns, "avg_before")
 
 
 def _clamped(df: DataFrame, keys, order, width: int, make, name: str) -> DataFrame:
     """A statistic over a centred window of odd width; at the ends the value of the nearest full window."""
     k = (width if width % 2 else width + 1) // 2
-    by = Window.partitionBy(*keys).orderBy(*order)
-    out = df.withColumns({"_rn": F.row_number().over(by), "_n": F.count("*").over(Window.partitionBy(*keys)), "_v": make(by.rowsBetween(-k, k))})
-    head, tail = F.col("_rn") <= k, F.col("_rn") > F.col("_n") - k
-    low = F.max(F.when(F.col("_rn") == F.least(F.lit(k + 1), F.col("_n")), F.col("_v"))).over(Window.partitionBy(*keys))
-    high = F.max(F.when(F.col("_rn") == F.greatest(F.col("_n") - k, F.lit(1)), F.col("_v"))).over(Window.partitionBy(*keys))
-    return out.withColumn(name, F.when(head, low).when(tail, high).otherwise(F.col("_v"))).drop("_rn", "_n", "_v")
+    out = settled(_framed(df, keys, order, k, k, make))
+    low, high = F.least(F.lit(k + 1), F.col("_n")), F.greatest(F.col("_n") - k, F.lit(1))
+    at = lambda place: F.max(F.when(F.col("_place") == place, F.col("_v")))
+    ends = out.filter((F.col("_place") == low) | (F.col("_place") == high)).groupBy(*keys).agg(at(low).alias("_low"), at(high).alias("_high"))
+    value = F.when(F.col("_place") <= k, F.col("_low")).when(F.col("_place") > F.col("_n") - k, F.col("_high")).otherwise(F.col("_v"))
+    return out.join(ends, list(keys)).withColumn(name, value).select(*df.columns, name)
 
 
 def rolling_binary_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int, value: str = "value") -> DataFrame:

@@ -46,7 +46,7 @@ def calendar_states(slots: DataFrame, start: int, width: int, site_tz: str = "UT
 def weather_states(weather: DataFrame, start: int, end: int, width: int, max_gap: int) -> DataFrame:
     """(name, slot, state) of the weather fields of a table with t (microseconds) and columns of text or numbers.
 
-    Numbers take the mean of a slot and then the rounded centre of their state; conditions and events take their class and then
+    Numbers outside the bounds of the weather's outlier rule go; the others take the mean of a slot and then the rounded centre of their state; conditions and events take their class and then
     the commonest class of a slot. Gaps are filled as for sensors; fields that never change, and columns that the table lacks,
     are left out. Texts that no class has are missing values.
     """
@@ -62,6 +62,8 @@ def weather_states(weather: DataFrame, start: int, end: int, width: int, max_gap
         return spark.createDataFrame([], "name string, slot long, state int")
     rows = weather.select("t", F.explode(F.array(*[F.struct(F.lit(f).alias("sensor"), v.alias("value")) for f, v in values.items()])).alias("x"))
     r = rows.select("x.sensor", "t", "x.value").filter("t is not null and value is not null and not isnan(value)")
+    is_class = F.col("sensor").isin(list(classes))
+    r = r.filter(is_class).unionByName(clean.mark_outliers(r.filter(~is_class), ["sensor"], "value", *clean.OUTLIER_RULES["weather"]).filter("not outlier").select(r.columns))
     types = spark.createDataFrame([(f, INT_TYPE if f in classes else FLOAT_TYPE) for f in values], "sensor string, num_type int")
     slots = align.with_all_slots(features.slot_feature(align.assign_slots(r, start, end, width), types), align.slot_grid(spark, start, end, width))
     filled = settled(clean.fill_gaps(slots, max_gap, nearest=F.col("sensor").isin(list(classes))).filter("filled is not null"))

@@ -13,7 +13,7 @@ from tsengine.functions import scalar
 from tsengine.model import DAY, HOUR, MINUTE, SECOND, micros, readings, shared_folder, table
 from tsengine.operators import align, clean, clusters, features, likelihood, networks, ordered, states, weather
 from tsengine.sources import files
-from tsengine.streaming import versions
+from tsengine.streaming import live, pyramid, versions
 
 START, END, WIDTH = 1704067200 * SECOND, 1706659200 * SECOND, 2 * HOUR  # January 2024 less a day, slots of two hours
 LINE_START, LINE_END, LINE_WIDTH = 694224000 * SECOND, 946684800 * SECOND, 30 * DAY
@@ -484,6 +484,46 @@ def stream_session(spark, sf):
     return rounded(out.select("sensor", micros("start").alias("start_us"), "n", "mean"))
 
 
+@query("""WITH r AS (SELECT event_type AS sensor, epoch_us(ts) AS t, value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)),
+  p AS (SELECT *, lag(value) OVER w AS pv, lag(t) OVER w AS pt FROM r WINDOW w AS (PARTITION BY sensor ORDER BY t, value))
+SELECT sensor, t, round(value, 6) AS value, round(value - pv, 6) AS diff, t - pt AS gap, CAST(coalesce(abs(value - pv) >= 150, false) AS INT) AS event FROM p""")
+def live_differences(spark, sf):
+    """The events replayed as a stream, six hours held back; what waits or came late takes its place at the end."""
+    rows = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    told = live.live_differences(readings(rows, "event_type", "ts", "value"), 6 * HOUR, 150.0)
+    live.write_live(told, f"{folder}/rows", f"{folder}/late", f"{folder}/state").awaitTermination()
+    late = spark.read.parquet(f"{folder}/late").select(F.col("uuid").alias("sensor"), F.expr("time_ns div 1000").alias("t"), "value")
+    return rounded(live.corrected(spark.read.parquet(f"{folder}/rows"), late.union(live.waiting(spark, f"{folder}/state")), 150.0))
+
+
+def _grown_pyramid(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """A store of windows of version 3 brought up to version 4, and the stream."""
+    s = _unique_stream(spark, sf)
+    folder = f"{shared_folder(spark)}/pyramid-{uuid.uuid4().hex}"
+    pyramid.build(s, 3).write.parquet(folder)
+    pyramid.updated(spark.read.parquet(folder), s, 3, 4).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder), s
+
+
+_LAST = f"{_UNIQUE}, l AS (SELECT * FROM u WHERE version <= 4 QUALIFY row_number() OVER (PARTITION BY uuid, time_ns ORDER BY version DESC) = 1), k AS (SELECT uuid, time_ns, value FROM l WHERE NOT deleted)"
+
+
+@query(f"WITH {_LAST} SELECT uuid, time_ns >> 43 << 43 AS time, count(*) AS count, min(value) AS min, round(avg(value), 6) AS mean, max(value) AS max FROM k WHERE time_ns >= ({START}000 >> 43 << 43) AND time_ns < ({END}000 >> 43 << 43) GROUP BY ALL")
+def pyramid_windows(spark, sf):
+    return rounded(pyramid.windows(_grown_pyramid(spark, sf)[0], START * 1000, END * 1000, 43))
+
+
+@query(f"WITH {_LAST}, a AS (SELECT i AS range, e.uuid, {START}000 + i * {13 * HOUR}000 AS s, {START}000 + i * {13 * HOUR}000 + (i + 1) * {11 * HOUR}000 + {7 * MINUTE}000 AS e FROM (SELECT DISTINCT uuid FROM v) e, (SELECT unnest(range(50)) AS i)) SELECT CAST(range AS INT) AS range, a.uuid, count(*) AS count, min(value) AS min, round(avg(value), 6) AS mean, max(value) AS max FROM a JOIN k ON k.uuid = a.uuid AND time_ns >= s AND time_ns < e GROUP BY ALL")
+def pyramid_ranges(spark, sf):
+    store, s = _grown_pyramid(spark, sf)
+    i = F.col("range")
+    ranges = s.select("uuid").distinct().withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(49))))
+    begin = F.lit(START * 1000) + i * F.lit(13 * HOUR * 1000)
+    ranges = ranges.select("range", "uuid", begin.alias("start_ns"), (begin + (i + 1) * F.lit(11 * HOUR * 1000) + F.lit(7 * MINUTE * 1000)).alias("end_ns"))
+    return rounded(pyramid.range_statistics(store, versions.snapshot(s, 4), ranges))
+
+
 # --- likelihoods
 
 
@@ -805,6 +845,18 @@ def explained_peaks(spark, sf):
     return analyse(r, START, END, DAY, names, tags=["avg"]).ranked
 
 
+@query()
+def explained_networks(spark, sf):
+    """Causes and the four networks of one sensor, average and difference, with weather: shipped quantities by month explained by
+    what was ordered then, as JSON texts."""
+    from .analysis import analyse
+
+    pick = F.element_at(F.array(*map(F.lit, _CONDITIONS)), (F.floor(F.col("o_totalprice") / 20000) % len(_CONDITIONS) + 1).cast("int"))
+    weather_rows = table(spark, sf, "orders").select(micros("o_orderdate").alias("t"), (F.col("o_totalprice") / 10000).cast("string").alias("TemperatureC"), pick.alias("Conditions"))
+    found = analyse(lines(spark, sf), LINE_START, LINE_END, LINE_WIDTH, ["R"], n_causes=3, weather=weather_rows)
+    return files.summary_json(found.ranked, found.edges)
+
+
 @query()
 def network_graphs(spark, sf):
     """Learnt edges as graph JSON."""

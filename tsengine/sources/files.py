@@ -116,12 +116,16 @@ def sensor_json(features: DataFrame) -> DataFrame:
     return rows.select("sensor", F.to_json(F.struct(F.col("x.slot").alias("slot"), F.col("x.value").alias("value"))).alias("json"))
 
 
-def summary_json(ranked: DataFrame, edges: DataFrame) -> DataFrame:
-    """(effect, json): each effect's ranked causes and network edges as one JSON text."""
-    causes = ranked.groupBy("effect").agg(F.sort_array(F.collect_list(F.struct("rank", "cause", "opt_state", "opt_prob"))).alias("causes"))
-    nets = edges.groupBy(F.col("model_id").alias("effect")).agg(F.sort_array(F.collect_list(F.struct("src", "dst"))).alias("edges"))
-    both = causes.join(nets, "effect", "left")
-    return both.select("effect", F.to_json(F.struct("causes", F.coalesce("edges", F.array().cast("array<struct<src:string,dst:string>>")).alias("edges"))).alias("json"))
+def summary_json(ranked: DataFrame, edges: DataFrame, networks: tuple[str, ...] = ("sensor", "weather", "time", "all")) -> DataFrame:
+    """(effect, sig_tag, network, json): each effect's ranked causes with the edges of one of its networks as one JSON text, none
+    where nothing was learnt. ranked and edges as `plans.analysis.analyse` gives them; a model_id is effect|tag|network."""
+    of = ["effect", "sig_tag"]
+    causes = ranked.groupBy(*of).agg(F.sort_array(F.collect_list(F.struct("rank", "cause", "opt_state", "opt_prob"))).alias("causes"))
+    part = lambda k: F.regexp_extract("model_id", r"^(.*)\|([^|]*)\|([^|]*)$", k)
+    nets = edges.groupBy(part(1).alias("effect"), part(2).alias("sig_tag"), part(3).alias("network")).agg(F.sort_array(F.collect_list(F.struct("src", "dst"))).alias("edges"))
+    every = causes.withColumn("network", F.explode(F.array(*map(F.lit, networks))))
+    both = every.join(nets, [*of, "network"], "left")
+    return both.select(*of, "network", F.to_json(F.struct("causes", F.coalesce("edges", F.array().cast("array<struct<src:string,dst:string>>")).alias("edges"))).alias("json"))
 
 
 def write_json(df: DataFrame, path: str) -> None:
