@@ -9,11 +9,11 @@ from pyspark.sql.window import Window
 
 from . import common
 
-#: Rows of a range of ids, about; and the ranges at most, which bounds the table of their first ids.
+#: Rows of a range of ids, about; and the ranges at most, which bounds the table of their first keys.
 RANGE_ROWS = 512
-RANGES = 1_000_000
-#: Quantiles of the ids from which the ranges are cut.
-QUANTILES = 200
+RANGES = 100_000
+#: Sample rows for each range, from which the ranges are cut.
+SAMPLE = 5
 #: Hex digits of a leaf that a fingerprint shows; trees and roots are made of whole digests.
 LEAF_DIGITS = 8
 
@@ -72,50 +72,54 @@ def differing_branches(a: Column, b: Column) -> Column:
     return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.array().cast("array<string>")).otherwise(F.flatten(F.transform(sections(a), opened)))
 
 
-def _ranges(docs: DataFrame, bounds: list[float], parts: int) -> Column:
-    """The range of a row's id: its interval between quantiles, cut into `parts` of equal width; -1 for null."""
-    if len(bounds) < 2:
-        return F.when(F.col("_id").isNull(), -1).otherwise(0).cast("long")
-    x, edges = F.col("_x"), F.array(*[F.lit(b) for b in bounds])
-    at = F.least(F.greatest(F.size(F.filter(edges, lambda e: e <= x)), F.lit(1)), F.lit(len(bounds) - 1))
-    low, high = F.element_at(edges, at), F.element_at(edges, at + 1)
-    part = F.least(F.greatest(F.floor((x - low) / (high - low) * parts), F.lit(0)), F.lit(parts - 1))
-    return F.when(F.col("_id").isNull(), -1).otherwise(at.cast("long") * parts + part)
+def _key() -> Column:
+    """What rows are ordered by: null ids first, then the id, then the text's hash."""
+    return F.struct(F.col("_id").isNotNull().alias("known"), F.col("_id").alias("id"), F.col("_order").alias("order"))
 
 
-def _place(docs: DataFrame) -> Column:
-    """A number that never falls as ids rise: the id, or of other types the first six bytes of its text."""
-    kind = docs.schema["_id"].dataType
-    if isinstance(kind, (T.NumericType, T.BooleanType)):
-        return F.col("_id").cast("double")
-    if isinstance(kind, (T.TimestampType, T.DateType)):
-        return F.col("_id").cast("timestamp").cast("double")
-    return F.conv(F.rpad(F.hex(F.substring(F.col("_id").cast("string").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+def _with_range(rows: DataFrame, edges: list) -> DataFrame:
+    """`rows` with _range, the number of edges at or below _key, found in two steps of about the square root of their number.
+
+    The edges, RANGES at most, are the one row of a broadcast table.
+    """
+    if not edges:
+        return rows.withColumn("_range", F.lit(0).cast("long"))
+    step = max(1, int(len(edges) ** 0.5))
+    kind = T.ArrayType(rows.schema["_key"].dataType)
+    table = rows.sparkSession.createDataFrame([(1, edges, edges[::step])], T.StructType([T.StructField("_one", T.IntegerType()), T.StructField("_all", kind), T.StructField("_top", kind)]))
+    upto = lambda x: F.size(F.filter(x, lambda e: e <= F.col("_key")))
+    low = F.col("_low")
+    at = F.when(low < 0, 0).otherwise(low * step + upto(F.slice("_all", F.greatest(low, F.lit(0)) * step + 1, step))).cast("long")
+    joined = rows.withColumn("_one", F.lit(1)).join(F.broadcast(table), "_one").withColumn("_low", upto(F.col("_top")) - 1)
+    return joined.withColumn("_range", at).drop("_one", "_all", "_top", "_low")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """`docs` (_id, _text) with _next, the text of the row with the next id; after the last comes the first. Rows of one id
     follow each other by their text's hash, null ids come first.
 
-    Rows are dealt into ranges of ids, so no task orders all of them; each range gets, as its last row, the first text of the
-    range after it. The first ids of all ranges (RANGES at most) are the only thing that one task orders.
+    Rows are dealt into ranges of whole ids and text hashes, cut at keys of a bounded sample (RANGES times SAMPLE rows with the
+    least hashes; it only balances the ranges), so no task orders all of them and a hot id is dealt over ranges like any other rows;
+    only rows that are equal in id and text stay together. Each range gets, as its last row, the first text of the range after it.
+    The first keys of all ranges (RANGES at most) are the only thing that one task orders.
     """
-    docs = docs.select("_id", "_text", _place(docs).alias("_x"))
-    n, low, high = docs.agg(F.count("*"), F.min("_x"), F.max("_x")).first()
-    cuts = [i / QUANTILES for i in range(1, QUANTILES)] if n > RANGE_ROWS else []
-    inner = docs.stat.approxQuantile("_x", cuts, 1 / (4 * QUANTILES)) if cuts else []
-    bounds = sorted({float(b) for b in (low, *inner, high) if b is not None})
-    parts = max(1, min(RANGES, n // RANGE_ROWS) // QUANTILES)
-    rows = docs.select("_id", "_text", _ranges(docs, bounds, parts).alias("_range"), F.xxhash64("_text").alias("_order"))
+    rows = docs.select("_id", "_text", F.xxhash64("_text").alias("_order"))
+    n = rows.count()
+    parts = max(1, min(RANGES, n // RANGE_ROWS))
+    keys = rows.select(_key().alias("k"))
+    sample = keys.orderBy(F.xxhash64("k"), "k").limit(SAMPLE * parts).select("k").sort("k").collect() if parts > 1 else []
+    edges = [sample[len(sample) * j // parts]["k"] for j in range(1, parts)] if sample else []
+    edges = [e for e, before in zip(edges, [None, *edges]) if e != before]
+    rows = _with_range(rows.withColumn("_key", _key()), edges)
 
     ordered = Window.orderBy("_range")
-    first = rows.groupBy("_range").agg(F.min("_id").alias("_first"))
-    follow = first.select("_range", F.coalesce(F.lead(F.struct("_first")).over(ordered), F.first(F.struct("_first")).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))).alias("f"))
-    follow = follow.select(F.col("_range").alias("_before"), F.col("f._first").alias("_first"))
-    heads = rows.join(F.broadcast(follow), F.col("_id").eqNullSafe(F.col("_first"))).groupBy("_before").agg(F.min(F.struct("_order", "_text")).alias("h"))
-    heads = heads.select(F.lit(None).cast(docs.schema["_id"].dataType).alias("_id"), F.col("h._text").alias("_text"), F.col("_before").alias("_range"), F.col("h._order").alias("_order"), F.lit(True).alias("_head"))
-    together = rows.withColumn("_head", F.lit(False)).union(heads.select("_id", "_text", "_range", "_order", "_head"))
-    w = Window.partitionBy("_range").orderBy("_head", F.col("_id").asc_nulls_first(), "_order")
+    first = rows.groupBy("_range").agg(F.min("_key").alias("_first"))
+    follow = first.select("_range", F.coalesce(F.lead("_first").over(ordered), F.first("_first").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))).alias("f"))
+    follow = follow.select(F.col("_range").alias("_before"), "f")
+    heads = rows.join(F.broadcast(follow), F.col("_key") == F.col("f")).groupBy("_before").agg(F.first("_text").alias("_text"))
+    heads = heads.select(F.lit(None).cast(docs.schema["_id"].dataType).alias("_id"), "_text", F.col("_before").alias("_range"), F.lit(None).cast(rows.schema["_key"].dataType).alias("_key"), F.lit(True).alias("_head"))
+    together = rows.select("_id", "_text", "_range", "_key", F.lit(False).alias("_head")).union(heads)
+    w = Window.partitionBy("_range").orderBy("_head", "_key")
     return together.withColumn("_next", F.lead("_text").over(w)).filter(~F.col("_head")).select("_id", "_text", "_next")
 
 
