@@ -497,6 +497,11 @@ def live_differences(spark, sf):
     return rounded(live.corrected(spark.read.parquet(f"{folder}/rows"), late.union(live.waiting(spark, f"{folder}/state")), 150.0))
 
 
+def _cents(df: DataFrame) -> DataFrame:
+    """Means from sums in whole cents, so that the order of adding doesn't show in the last digit."""
+    return df.withColumn("mean", F.round(F.col("mean") * F.col("count"), 2) / F.col("count"))
+
+
 def _grown_pyramid(spark, sf) -> tuple[DataFrame, DataFrame]:
     """A store of windows of version 3 brought up to version 4, and the stream."""
     s = _unique_stream(spark, sf)
@@ -509,19 +514,19 @@ def _grown_pyramid(spark, sf) -> tuple[DataFrame, DataFrame]:
 _LAST = f"{_UNIQUE}, l AS (SELECT * FROM u WHERE version <= 4 QUALIFY row_number() OVER (PARTITION BY uuid, time_ns ORDER BY version DESC) = 1), k AS (SELECT uuid, time_ns, value FROM l WHERE NOT deleted)"
 
 
-@query(f"WITH {_LAST} SELECT uuid, time_ns >> 43 << 43 AS time, count(*) AS count, min(value) AS min, round(avg(value), 6) AS mean, max(value) AS max FROM k WHERE time_ns >= ({START}000 >> 43 << 43) AND time_ns < ({END}000 >> 43 << 43) GROUP BY ALL")
+@query(f"WITH {_LAST} SELECT uuid, time_ns >> 43 << 43 AS time, count(*) AS count, min(value) AS min, round(round(sum(value), 2) / count(*), 6) AS mean, max(value) AS max FROM k WHERE time_ns >= ({START}000 >> 43 << 43) AND time_ns < ({END}000 >> 43 << 43) GROUP BY ALL")
 def pyramid_windows(spark, sf):
-    return rounded(pyramid.windows(_grown_pyramid(spark, sf)[0], START * 1000, END * 1000, 43))
+    return rounded(_cents(pyramid.windows(_grown_pyramid(spark, sf)[0], START * 1000, END * 1000, 43)))
 
 
-@query(f"WITH {_LAST}, a AS (SELECT i AS range, e.uuid, {START}000 + i * {13 * HOUR}000 AS s, {START}000 + i * {13 * HOUR}000 + (i + 1) * {11 * HOUR}000 + {7 * MINUTE}000 AS e FROM (SELECT DISTINCT uuid FROM v) e, (SELECT unnest(range(50)) AS i)) SELECT CAST(range AS INT) AS range, a.uuid, count(*) AS count, min(value) AS min, round(avg(value), 6) AS mean, max(value) AS max FROM a JOIN k ON k.uuid = a.uuid AND time_ns >= s AND time_ns < e GROUP BY ALL")
+@query(f"WITH {_LAST}, a AS (SELECT i AS range, e.uuid, {START}000 + i * {13 * HOUR}000 AS s, {START}000 + i * {13 * HOUR}000 + (i + 1) * {11 * HOUR}000 + {7 * MINUTE}000 AS e FROM (SELECT DISTINCT uuid FROM v) e, (SELECT unnest(range(50)) AS i)) SELECT CAST(range AS INT) AS range, a.uuid, count(*) AS count, min(value) AS min, round(round(sum(value), 2) / count(*), 6) AS mean, max(value) AS max FROM a JOIN k ON k.uuid = a.uuid AND time_ns >= s AND time_ns < e GROUP BY ALL")
 def pyramid_ranges(spark, sf):
     store, s = _grown_pyramid(spark, sf)
     i = F.col("range")
     ranges = s.select("uuid").distinct().withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(49))))
     begin = F.lit(START * 1000) + i * F.lit(13 * HOUR * 1000)
     ranges = ranges.select("range", "uuid", begin.alias("start_ns"), (begin + (i + 1) * F.lit(11 * HOUR * 1000) + F.lit(7 * MINUTE * 1000)).alias("end_ns"))
-    return rounded(pyramid.range_statistics(store, versions.snapshot(s, 4), ranges))
+    return rounded(_cents(pyramid.range_statistics(store, versions.snapshot(s, 4), ranges)))
 
 
 # --- likelihoods
