@@ -57,30 +57,32 @@ def _named(found: DataFrame, ids: DataFrame, more: list[str] | None = None) -> D
     return both.select(*(more or []), "sensor", "exemplar", (F.col("i") == F.col("e")).alias("is_exemplar"))
 
 
-def order_statistics(df: DataFrame, value: str, ranks: list[int]) -> list[float]:
+def order_statistics(df: DataFrame, value: str, ranks: list[int], wide: int = 4096) -> list[float]:
     """The values at these ranks (from 0) of a numeric column without nulls, exactly.
 
-    Each round counts the values in 4,096 ranges of those between two bounds for each rank and goes on with the range that holds
-    it; a range of at most 4,096 different values ends the search. No task sorts the column and nothing larger goes to the driver.
+    Each round counts the values in `wide` ranges of those between two bounds and goes on with the range that holds the rank, until
+    that holds one value or at most `wide` rows, which are then looked at. No task sorts the column and no more goes to the driver.
     """
-    wide = 4096
     v = df.select(F.col(value).cast("double").alias("v"))
-    low, high = v.agg(F.min("v"), F.max("v")).first()
-    out = []
-    for rank in ranks:
-        a, b, below = low, high, 0
-        while True:
-            inside = v.filter((F.col("v") >= a) & (F.col("v") <= b))
-            step = (b - a) / wide
-            cell = F.least(F.floor((F.col("v") - a) / step), F.lit(wide - 1)) if step > 0 else F.lit(0)
-            rows = sorted(inside.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect(), key=lambda r: r["c"])
-            at = next(k for k, n in enumerate(np.cumsum([r["n"] for r in rows]).tolist()) if below + n > rank)
-            below += sum(r["n"] for r in rows[:at])
-            a, b = rows[at]["lo"], rows[at]["hi"]
-            if a == b:
-                out.append(a)
-                break
-    return out
+    low, high, many = v.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    known: dict[tuple, list[float]] = {}
+
+    def at(rank: int, a: float, b: float, n: int) -> float:
+        if a == b:
+            return a
+        inside = v.filter((F.col("v") >= a) & (F.col("v") <= b))
+        if n <= wide:
+            if (a, b) not in known:
+                known[a, b] = sorted(r["v"] for r in inside.collect())
+            return known[a, b][rank]
+        cell = F.least(F.floor((F.col("v") - a) / ((b - a) / wide)), F.lit(wide - 1))
+        for r in sorted(inside.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect(), key=lambda r: r["c"]):
+            if rank < r["n"]:
+                return at(rank, r["lo"], r["hi"], r["n"])
+            rank -= r["n"]
+        raise IndexError("rank beyond the column's rows")
+
+    return [at(rank, low, high, many) for rank in ranks]
 
 
 # --- affinity propagation --------------------------------------------------------------------------------------------------------
