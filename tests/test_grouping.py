@@ -140,3 +140,33 @@ def test_order_statistics(spark):
         ranks = [0, len(v) // 3, len(v) // 2, len(v) - 1]
         for wide in (4096, 16):
             assert grouping.order_statistics(df, "v", ranks, wide) == np.sort(v)[ranks].tolist()
+
+
+def test_quality_from_own_exemplars(spark):
+    """`cluster_quality` and `compare_clusterings` of given clusters against SQL over the same rows."""
+    import duckdb
+
+    _, d = places(15, 8)
+    names, pairs, sensors = table(spark, d)
+    dist = pairs.filter("a < b")
+    r = np.random.default_rng(9)
+    rows = []
+    for method, k in (("x", 3), ("y", 5)):
+        label = r.integers(0, k, 15)
+        first = {v: int(np.flatnonzero(label == v)[0]) for v in set(label.tolist())}
+        rows += [(method, k, names[i], names[first[int(v)]], first[int(v)] == i) for i, v in enumerate(label)]
+    found = spark.createDataFrame(rows, "method string, k int, sensor string, exemplar string, is_exemplar boolean")
+    con = duckdb.connect()
+    con.register("d", dist.toPandas())
+    con.register("f", found.toPandas())
+    want = con.execute("""SELECT x.method, x.k, min(d) FILTER (x.exemplar = y.exemplar), avg(d) FILTER (x.exemplar = y.exemplar), max(d) FILTER (x.exemplar = y.exemplar), min(d) FILTER (x.exemplar <> y.exemplar),
+      avg(d) FILTER (x.exemplar = y.exemplar) / nullif(min(d) FILTER (x.exemplar <> y.exemplar), 0), count(*) FILTER (x.exemplar = y.exemplar AND d > 1.0), count(*) FILTER (x.is_exemplar AND y.is_exemplar AND d < 0.5)
+      FROM d JOIN f x ON x.sensor = d.a JOIN f y ON y.sensor = d.b AND y.method = x.method AND y.k = x.k GROUP BY ALL ORDER BY 1""").fetchall()
+    columns = ("method", "k", "intra_min", "intra_avg", "intra_max", "inter_min", "validity", "intra_violations", "inter_violations")
+    got = sorted(tuple(x[c] for c in columns) for x in clusters.compare_clusterings(dist, found, 0.5, 1.0).collect())
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:])
+    one = clusters.cluster_quality(dist, found.filter("method = 'x'")).first()
+    assert tuple(one[c] for c in columns[2:7]) == pytest.approx(want[0][2:7]) and one["n_clusters"] == len({x[3] for x in rows if x[0] == "x"})
+    wrong = clusters.constraint_violations(dist, found.filter("method = 'x'"), 0.5, 1.0).first()
+    assert tuple(wrong) == want[0][7:]
