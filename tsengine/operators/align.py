@@ -130,8 +130,9 @@ def within_minutes(r: DataFrame) -> DataFrame:
     """Readings whose times were cut to the minute, spread over it in the order of their values: the k-th of n gets k times 60 / n
     seconds from k = 0, one alone 30."""
     w = Window.partitionBy("sensor", "t")
-    place, many = F.row_number().over(w.orderBy("value")) - 1, F.count("*").over(w)
-    return r.select("sensor", (F.col("t") + F.when(many == 1, F.lit(30 * SECOND)).otherwise(F.floor(place * MINUTE / many))).alias("t"), "value")
+    # whole numbers of 64 bits: the 36th place times a minute passes 32 bits
+    place, many = F.row_number().over(w.orderBy("value")).cast("long") - 1, F.count("*").over(w)
+    return r.select("sensor", (F.col("t") + F.when(many == 1, F.lit(30 * SECOND)).otherwise(F.call_function("div", place * MINUTE, many))).alias("t"), "value")
 
 
 def site_names(df: DataFrame, column: str, names: DataFrame, skip: int = 2, take: int | None = None, kinds: Sequence[str] = ()) -> DataFrame:
