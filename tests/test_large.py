@@ -1,7 +1,12 @@
 """What only larger tables show: numbers beyond 32 bits, and rows that one task would hold."""
 
-from tsengine.model import MINUTE
-from tsengine.operators import align
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tsengine.model import DAY, HOUR, MINUTE
+from tsengine.operators import align, clean, features, ordered
 
 READINGS = "sensor string, t long, value double"
 
@@ -10,3 +15,33 @@ def test_many_readings_of_a_minute(spark):
     rows = [("hot", 5 * MINUTE, float(i)) for i in range(100)] + [("one", 5 * MINUTE, 1.0)]
     got = {(r["sensor"], r["value"]): r["t"] for r in align.within_minutes(spark.createDataFrame(rows, READINGS)).collect()}
     assert got == {("hot", float(i)): 5 * MINUTE + i * MINUTE // 100 for i in range(100)} | {("one", 1.0): 5 * MINUTE + MINUTE // 2}
+
+
+@pytest.fixture
+def busy(spark):
+    """Readings of a sensor with many in a few hours and one in a month, and of one with few."""
+    r = random.Random(2)
+    rows = [("hot", r.randrange(4 * HOUR), float(r.randint(0, 99))) for _ in range(3000)] + [("hot", 29 * DAY, 1.0)] + [("calm", k * DAY + 7, float(k)) for k in range(40)]
+    return spark.createDataFrame(rows, READINGS)
+
+
+def test_chunks_follow_the_rows(busy, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_BLOCK", 100)
+    width = ordered.chunk_width(busy, ["sensor"], "t", 30 * DAY)
+    largest = busy.groupBy("sensor", F.floor(F.col("t") / F.lit(width))).count().agg(F.max("count")).first()[0]
+    assert 30 < largest <= 200
+    monkeypatch.undo()
+    assert ordered.chunk_width(busy.limit(0), ["sensor"], "t", 30 * DAY) == 30 * DAY
+
+
+def test_chunks_leave_results_alone(spark, busy, monkeypatch):
+    def results():
+        even = clean.regularise(busy)
+        asked = busy.select("sensor", (F.col("t") + 5).alias("t"))
+        slots = features.difference_features(busy, align.slot_grid(spark, 0, 4 * HOUR, HOUR), 0, 4 * HOUR, HOUR, 2)
+        tables = [even, ordered.neighbours(busy, asked), ordered.with_totals(busy, ["sensor"], "value", ["t", "value"]), ordered.first_difference(busy), slots]
+        return [sorted(map(tuple, x.collect()), key=repr) for x in tables]
+
+    whole = results()
+    monkeypatch.setattr(ordered, "ROWS_PER_BLOCK", 100)
+    assert results() == whole and all(len(x) > 3 for x in whole)

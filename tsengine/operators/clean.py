@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tsengine.model import FLOAT_TYPE, INT_TYPE, SECOND
+from tsengine.model import FLOAT_TYPE, INT_TYPE, SECOND, settled
 
 from . import ordered
 
@@ -53,9 +53,9 @@ def trim_bounds(df: DataFrame, keys: Sequence[str], value: str, percent: float,
 
 
 def mark_outliers(df: DataFrame, keys: Sequence[str] = ("sensor",), value: str = "value", percent: float = 1, sigmas: float = 20) -> DataFrame:
-    """`df` with outlier boolean."""
+    """`df` with outlier boolean. The bounds, two numbers a key, are broadcast: a join by key would bring a key's rows to one task."""
     bounds = trim_bounds(df, keys, value, percent, sigmas)
-    out = df.join(bounds, list(keys), "left")
+    out = df.join(F.broadcast(bounds), list(keys), "left")
     return out.withColumn("outlier", F.coalesce((F.col(value) > F.col("high")) | (F.col(value) < F.col("low")), F.lit(False))).drop("low", "high")
 
 
@@ -132,9 +132,11 @@ def clean_columns(slots: DataFrame, max_gap: int, few: Column, raw: Column, perc
 
 
 def stepped(spans: DataFrame, a: Column, last: Column, step: Column, block: int = 4096) -> DataFrame:
-    """`spans` with t from a to at most `last` every `step`, one row each: blocks of steps first, so that no row holds a whole span."""
+    """`spans` with t from a to at most `last` every `step`, one row each: blocks of steps first, so that no row holds a whole span, dealt to all
+    tasks, so that none makes all rows of a long one."""
     blocks = spans.withColumns({"_a": a.cast("long"), "_s": step.cast("long")}).withColumn("_n", F.floor((last - F.col("_a")) / F.col("_s")))
     many = blocks.filter("_n >= 0").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_n") / block))))
+    many = many.repartition(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), *spans.columns, "_k")
     one = many.withColumn("_i", F.explode(F.sequence(F.col("_k") * block, F.least(F.col("_n"), F.col("_k") * block + block - 1))))
     return one.withColumn("t", F.col("_a") + F.col("_i") * F.col("_s")).drop("_a", "_s", "_n", "_k", "_i")
 
@@ -143,7 +145,7 @@ def regularise(r: DataFrame, percent: float = 1, sigmas: float = 20) -> DataFram
     """Readings on an even grid of each sensor's own step, the mean interval rounded up to seconds; from the first reading to
     before the last, outliers left out first. Linear between neighbours; sensors of few levels take the nearest."""
     good = mark_outliers(r, percent=percent, sigmas=sigmas).filter("not outlier").drop("outlier")
-    good = good.groupBy("sensor", "t").agg(F.avg("value").alias("value"))
+    good = settled(good.groupBy("sensor", "t").agg(F.avg("value").alias("value")))
     steps = good.groupBy("sensor").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n")).filter("b > a")
     step = F.ceil((F.col("b") - F.col("a")) / F.col("n") / SECOND) * SECOND
     grid = stepped(steps, F.col("a"), F.col("b") - 1, step).select("sensor", "t")
@@ -152,7 +154,7 @@ def regularise(r: DataFrame, percent: float = 1, sigmas: float = 20) -> DataFram
     early = F.col("after_t").isNull() | (F.col("t") - F.col("before_t") <= F.col("after_t") - F.col("t"))
     nearest = F.when(early, F.col("before_value")).otherwise(F.col("after_value"))
     line = F.when(F.col("before_t") == F.col("t"), F.col("before_value")).otherwise(ordered.linear(F.col("t"), F.col("before_t"), F.col("before_value"), F.col("after_t"), F.col("after_value")))
-    return near.join(types, "sensor").select("sensor", "t", F.when(F.col("num_type") == INT_TYPE, nearest).otherwise(line).alias("value"))
+    return near.join(F.broadcast(types), "sensor").select("sensor", "t", F.when(F.col("num_type") == INT_TYPE, nearest).otherwise(line).alias("value"))
 
 
 def upsample(r: DataFrame, step: int = SECOND, start: int | None = None, end: int | None = None) -> DataFrame:

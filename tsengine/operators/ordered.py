@@ -10,16 +10,28 @@ from pyspark.sql.window import Window
 
 from tsengine.model import DAY, settled
 
-#: Rows of a key that one task orders for rolling statistics.
+#: Rows of a key that one task orders for rolling statistics, and about so many in a chunk of time.
 ROWS_PER_BLOCK = 50_000
 
 
+def chunk_width(df: DataFrame, keys: Sequence[str], time: str, widest: int) -> int:
+    """The width of chunks of the integer `time` in which no key has more than about ROWS_PER_BLOCK rows, at most `widest`.
+
+    The fullest of cells of a 1,024th of `widest` decides, as rows inside a cell are taken as even; one number reaches the driver.
+    """
+    cell = -(-widest // 1024)
+    counts = df.groupBy(*keys, F.floor(F.col(time) / F.lit(cell))).agg(F.count("*").alias("_n"))
+    fullest = counts.agg(F.max("_n")).first()[0] or 0
+    return max(1, min(widest, cell * ROWS_PER_BLOCK // max(fullest, 1)))
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], values: Sequence[str], order: Sequence[str] = ("t",), chunk: int = 30 * DAY) -> DataFrame:
     """`df` with prev_<value>: the row before, in each key, by `order` (its first column is an integer time).
 
-    Rows are sorted in chunks of time, so that a sensor with a third of all rows isn't sorted by one task; the first row of a
-    chunk takes the last of the chunk before, from a table of one row a chunk.
+    Rows are sorted in chunks of time of at most `chunk`, narrower where rows are many (`chunk_width`), so that a sensor with a third
+    of all rows isn't sorted by one task; the first row of a chunk takes the last of the chunk before, from a table of one row a chunk.
     """
+    chunk = chunk_width(df, keys, order[0], chunk)
     cut = df.withColumn("_chunk", F.floor(F.col(order[0]) / F.lit(chunk)))
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     inside = cut.withColumns({"_prev": F.lag(F.struct(*values)).over(w), "_first": F.row_number().over(w) == 1})
@@ -33,6 +45,7 @@ def with_previous(df: DataFrame, keys: Sequence[str], values: Sequence[str], ord
 def with_totals(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str] = ("t",), chunk: int = 30 * DAY) -> DataFrame:
     """`df` with place, the number of the row in its key by `order` (from 1; its first column is an integer time), and total, the
     sum of `value` up to the row; counted in chunks of time as in `with_previous`."""
+    chunk = chunk_width(df, keys, order[0], chunk)
     cut = df.withColumn("_chunk", F.floor(F.col(order[0]) / F.lit(chunk)))
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     inside = cut.withColumn("_i", F.row_number().over(w)).withColumn("_s", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -151,10 +164,12 @@ def nearest_value(r: DataFrame, at: int, backward: bool) -> DataFrame:
 def neighbours(points: DataFrame, queries: DataFrame, chunk: int = 30 * DAY) -> DataFrame:
     """queries (sensor, t) with before_t, before_value (last point at or before t) and after_t, after_value (first after t).
 
-    A union sorted in chunks of time, not a range join: one shuffle of both sides; chunk edges come from one row a chunk.
+    A union sorted in chunks of time (at most `chunk`, narrower where rows are many), not a range join: one shuffle of both sides;
+    chunk edges come from one row a chunk.
     """
-    p = points.select("sensor", "t", F.struct("t", "value").alias("_p"), F.lit(0).alias("_q"), F.lit(None).cast("long").alias("_id"))
-    q = queries.select("sensor", "t").withColumn("_id", F.monotonically_increasing_id()).select("sensor", "t", F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), F.lit(1).alias("_q"), "_id")
+    chunk = chunk_width(points.select("sensor", "t").union(queries.select("sensor", "t")), ["sensor"], "t", chunk)
+    p = points.select("sensor", "t", F.struct("t", "value").alias("_p"), F.lit(0).alias("_q"))
+    q = queries.select("sensor", "t", F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), F.lit(1).alias("_q"))
     both = p.union(q).withColumn("_chunk", F.floor(F.col("t") / F.lit(chunk)))
     # a frame that ends at the partition's end is worked out anew for every row; the same rows in falling order are not
     w = Window.partitionBy("sensor", "_chunk").orderBy("t", "_q", "_p").rowsBetween(Window.unboundedPreceding, 0)
