@@ -19,9 +19,11 @@ def slot_feature(slotted: DataFrame, types: DataFrame | None = None) -> DataFram
     # counts of distinct values first: partial aggregates are small and a hot slot is summed by all tasks
     if types is None:
         return slotted.groupBy("sensor", "slot").agg(F.avg("value").alias("value"))
-    both = slotted.groupBy("sensor", "slot").agg(F.avg("value").alias("_mean"), F.mode("value", True).alias("_mode"))
+    # the mode keeps a count of every value, so only those of few levels are given to it
     few = F.col("num_type") == INT_TYPE
-    return both.join(types.select("sensor", "num_type"), "sensor").select("sensor", "slot", F.when(few, F.col("_mode").cast("long").cast("double")).otherwise(F.col("_mean")).alias("value"))
+    typed = slotted.join(F.broadcast(types.select("sensor", "num_type")), "sensor")
+    both = typed.groupBy("sensor", "slot", "num_type").agg(F.avg("value").alias("_mean"), F.mode(F.when(few, F.col("value")), True).alias("_mode"))
+    return both.select("sensor", "slot", F.when(few, F.col("_mode").cast("long").cast("double")).otherwise(F.col("_mean")).alias("value"))
 
 
 def slot_statistics(slotted: DataFrame) -> DataFrame:
