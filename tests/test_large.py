@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tsengine.model import DAY, HOUR, MINUTE
 from tsengine.operators import align, clean, features, ordered
+from tsengine.streaming import live
 
 READINGS = "sensor string, t long, value double"
 
@@ -45,3 +48,46 @@ def test_chunks_leave_results_alone(spark, busy, monkeypatch):
     whole = results()
     monkeypatch.setattr(ordered, "ROWS_PER_BLOCK", 100)
     assert results() == whole and all(len(x) > 3 for x in whole)
+
+
+class _State:
+    """A state variable as the processor sees it, in memory."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def clear(self):
+        self.value = None
+
+
+class _Handle:
+    def getListState(self, name, schema):
+        return _State()
+
+    getValueState = getListState
+
+
+def test_a_large_micro_batch_passes_through(monkeypatch):
+    monkeypatch.setattr(live, "WAITING", 100)
+    p = live._Settled(50, None)
+    p.init(_Handle())
+    t = np.random.default_rng(1).permutation(100) + 100 * np.arange(60)[:, None]
+    batches = [pd.DataFrame({"t": x, "value": x / 2.0}) for x in t]
+    out = list(p.handleInputRows(("a",), iter(batches), None))
+    assert max(map(len, out)) <= 400  # not all 6,000 rows at once
+    rows = pd.concat([x for x in out if x["kind"].iloc[0] == "row"])
+    assert sorted(rows["t"]) == [x for x in range(6000) if x <= 5999 - 50] and len(p.held.get()) == 50
+    assert p.last.get() == (5949, 5949 / 2)
+    again = list(p.handleInputRows(("a",), iter([pd.DataFrame({"t": [5949, 5949, 3], "value": [5949 / 2, 0.0, 1.0]})]), None))
+    assert [(x["kind"].iloc[0], list(x["t"])) for x in again] == [("late", [5949, 3]), ("row", [5949]), ("last", [5949])]
