@@ -1,5 +1,6 @@
 """What only larger tables show: numbers beyond 32 bits, and rows that one task would hold."""
 
+import math
 import random
 
 import numpy as np
@@ -91,3 +92,19 @@ def test_a_large_micro_batch_passes_through(monkeypatch):
     assert p.last.get() == (5949, 5949 / 2)
     again = list(p.handleInputRows(("a",), iter([pd.DataFrame({"t": [5949, 5949, 3], "value": [5949 / 2, 0.0, 1.0]})]), None))
     assert [(x["kind"].iloc[0], list(x["t"])) for x in again] == [("late", [5949, 3]), ("row", [5949]), ("last", [5949])]
+
+
+def test_trimmed_values_are_dealt(spark):
+    r = random.Random(5)
+    values = {"wide": [r.gauss(1e6, 3.0) for _ in range(4000)], "few": [float(k % 3) for k in range(50)], "short": [1.0] * 9}
+    df = spark.createDataFrame([(s, i, v) for s, x in values.items() for i, v in enumerate(x)], READINGS)
+    bounds = clean.trim_bounds(df, ["sensor"], "value", 5, 2)
+    got = {x["sensor"]: (x["low"], x["high"]) for x in bounds.collect()}
+    assert got.pop("short") == (None, None)
+    for s, (low, high) in got.items():
+        x = sorted(values[s])
+        x = x[math.floor(len(x) * 0.025) : math.floor(len(x) - len(x) * 0.025)]
+        assert (low, high) == pytest.approx((x[0] - 2 * np.std(x), x[-1] + 2 * np.std(x)), rel=1e-9)
+    # no window over all values of a sensor
+    plan = bounds._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_v#" not in line or "_range#" in line for line in plan.splitlines() if "Window [" in line)

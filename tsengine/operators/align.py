@@ -48,8 +48,8 @@ def purge_list(r: DataFrame, n_slots: int) -> DataFrame:
 
 
 def purge(r: DataFrame, n_slots: int) -> DataFrame:
-    """Readings of the sensors that `purge_list` keeps."""
-    return r.join(purge_list(r, n_slots).filter("not purged").select("sensor"), "sensor", "left_semi")
+    """Readings of the sensors that `purge_list` keeps. Their names are broadcast, so the readings stay where they are."""
+    return r.join(F.broadcast(purge_list(r, n_slots).filter("not purged").select("sensor")), "sensor", "left_semi")
 
 
 def unavailable(wanted: DataFrame, r: DataFrame) -> DataFrame:

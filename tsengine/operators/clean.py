@@ -34,22 +34,30 @@ def trim_bounds(df: DataFrame, keys: Sequence[str], value: str, percent: float,
     """(keys, low, high): bounds outside of which a value is an outlier; null where 10 or fewer values are left.
 
     Values are trimmed by position, percent/2 at each side; the bounds lie `sigmas` population deviations beyond the rest.
-    Positions come from counts of distinct values, so repeated values cost one row.
+    Positions come from counts of distinct values, so repeated values cost one row. These are range-sorted by key and value, so many
+    values of one key are spread over many tasks; a range's place follows from one row a range and key.
     """
     levels = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    by = Window.partitionBy(*keys)
-    placed = levels.withColumns({"_end": F.sum("_c").over(by.orderBy("_v")), "_n": F.sum("_c").over(by)})
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(levels.repartitionByRange(ranges, *keys, "_v")).withColumn("_range", F.spark_partition_id())
+    key, by = Window.partitionBy(*keys), Window.partitionBy(*keys, "_range").orderBy("_v")
+    parts = dealt.groupBy(*keys, "_range").agg(F.sum("_c").alias("_m"))
+    past = F.coalesce(F.sum("_m").over(key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumns({"_past": past, "_n": F.sum("_m").over(key)}).drop("_m")
+    placed = dealt.withColumn("_end", F.sum("_c").over(by)).join(parts, [*keys, "_range"]).withColumn("_end", F.col("_end") + F.col("_past"))
     cut = F.col("_n") * percent / 2 / 100
     first, stop = F.floor(cut), F.floor(F.col("_n") - cut)
     kept = F.least(F.col("_end"), stop) - F.greatest(F.col("_end") - F.col("_c"), first)
     rest = placed.withColumn("_k", kept.cast("double")).filter("_k > 0")
-    total = F.sum("_k")
-    # deviations from a nearby value keep the sums small
-    centred = rest.withColumn("_d", F.col("_v") - F.first("_v").over(by.orderBy("_v")))
-    mean = F.sum(F.col("_k") * F.col("_d")) / total
-    spread = F.sqrt(F.greatest(F.sum(F.col("_k") * F.col("_d") * F.col("_d")) / total - mean * mean, F.lit(0.0)))
+    # deviations from a nearby value keep the sums small: of a range from its least, then of ranges from the least of all
+    k, d = F.col("_k"), F.col("_v") - F.col("_m")
+    sums = rest.withColumn("_m", F.first("_v").over(by)).groupBy(*keys, "_range", "_m").agg(F.sum("_k").alias("_k"), F.sum(k * d).alias("_s"), F.sum(k * d * d).alias("_q"), F.max("_v").alias("_hi"))
+    sums = sums.withColumn("_d", F.col("_m") - F.min("_m").over(key))
+    total, s, d = F.sum("_k"), F.col("_s"), F.col("_d")
+    mean = F.sum(s + k * d) / total
+    spread = F.sqrt(F.greatest(F.sum(F.col("_q") + 2 * d * s + k * d * d) / total - mean * mean, F.lit(0.0)))
     enough = total > 10
-    return centred.groupBy(*keys).agg(F.when(enough, F.min("_v") - sigmas * spread).alias("low"), F.when(enough, F.max("_v") + sigmas * spread).alias("high"))
+    return sums.groupBy(*keys).agg(F.when(enough, F.min("_m") - sigmas * spread).alias("low"), F.when(enough, F.max("_hi") + sigmas * spread).alias("high"))
 
 
 def mark_outliers(df: DataFrame, keys: Sequence[str] = ("sensor",), value: str = "value", percent: float = 1, sigmas: float = 20) -> DataFrame:

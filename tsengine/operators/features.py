@@ -19,10 +19,12 @@ def slot_feature(slotted: DataFrame, types: DataFrame | None = None) -> DataFram
     # counts of distinct values first: partial aggregates are small and a hot slot is summed by all tasks
     if types is None:
         return slotted.groupBy("sensor", "slot").agg(F.avg("value").alias("value"))
-    # the mode keeps a count of every value, so only those of few levels are given to it
+    # only levels of few are told apart: sums and counts are plain aggregates then, of which every task makes a part
     few = F.col("num_type") == INT_TYPE
-    typed = slotted.join(F.broadcast(types.select("sensor", "num_type")), "sensor")
-    both = typed.groupBy("sensor", "slot", "num_type").agg(F.avg("value").alias("_mean"), F.mode(F.when(few, F.col("value")), True).alias("_mode"))
+    typed = slotted.join(F.broadcast(types.select("sensor", "num_type")), "sensor").withColumn("_level", F.when(few, F.col("value")))
+    levels = typed.groupBy("sensor", "slot", "num_type", "_level").agg(F.count("value").alias("_n"), F.sum("value").alias("_sum"))
+    mode = F.max_by("_level", F.when(F.col("_level").isNotNull(), F.struct("_n", -F.col("_level"))))
+    both = levels.groupBy("sensor", "slot", "num_type").agg(F.try_divide(F.sum("_sum"), F.sum("_n")).alias("_mean"), mode.alias("_mode"))
     return both.select("sensor", "slot", F.when(few, F.col("_mode").cast("long").cast("double")).otherwise(F.col("_mean")).alias("value"))
 
 
