@@ -1,5 +1,7 @@
 """What operators bring to the driver or broadcast stays within their stated bounds, whatever repeats."""
 
+import collections
+
 import numpy as np
 
 from tsengine.llm import backoff, quality
@@ -51,3 +53,47 @@ def test_every_common_ngram_has_a_slot(monkeypatch):
     found, gain = backoff._held(tables, other)
     assert not found.any() and not gain.any()
     assert backoff._held(backoff._slots(keys[:0], np.zeros(0)), keys)[0].sum() == 0
+
+
+def shuffled_rows(spark, run):
+    """What `run` returns, and how many rows its shuffles wrote."""
+
+    def written():
+        jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    return run(), written() - before
+
+
+def test_ngrams_go_through_shuffles_in_packs(spark, monkeypatch):
+    monkeypatch.setattr(backoff, "HELD", 3000)
+    monkeypatch.setattr(backoff, "COMMON_SHARE", 50)
+    r = np.random.default_rng(3)
+    texts = [" ".join(map(str, r.integers(0, 60, 50))) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2).cache()
+    docs.count()
+    got, moved = shuffled_rows(spark, lambda: backoff.backoff_scores(docs, order=2).collect())
+    assert len(got) == 400 and {x["n_words"] for x in got} == {50}
+    grams = collections.Counter((a, b) for t in texts for a, b in zip(t.split(), t.split()[1:]))
+    counted = sum(n >= 2 for n in grams.values())
+    # a few rows for each counted n-gram and each text in the joins of the tables, packs for the 39,600 n-grams
+    assert moved < 8 * (counted + 60 + 400) + 3000 < 45_000, (moved, counted)
+
+
+def test_orders_and_places_of_keys():
+    r = np.random.default_rng(5)
+    for bits, n in [(0, 0), (0, 1), (0, 5000), (7, 2), (7, 5000)]:
+        key = r.integers(0, 1 << 63, n).astype(np.uint64) >> np.uint64(bits)
+        key[n // 2 :] = key[: n - n // 2]
+        if n > 10:
+            key[:4] = key[4] ^ np.arange(4).astype(np.uint64)  # alike but for their last bits
+        assert (key[backoff._rising(key, bits)] == np.sort(key)).all()
+        have = np.unique(key[::3])
+        at, known = backoff._places(have, key, bits), np.isin(key, have)
+        assert ((at >= 0) == known).all() and (have[at[known]] == key[known]).all()
+        found, times = np.unique(key, return_counts=True)
+        added = backoff._added_up([(key, key, key, np.ones(n, np.int64))], 2, bits)
+        assert added[0].tolist() == found[times >= 2].tolist() and added[3].tolist() == times[times >= 2].tolist()

@@ -39,11 +39,11 @@ def _powers(which: str, n: int) -> np.ndarray:
     return have[:n]
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Running sums from which the hash of any byte range follows; see `range_hashes`."""
+def prefix_hashes(data: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
+    """Running sums from which the hash of any byte range follows; see `range_hashes`. values: of the bytes."""
     out = np.empty(len(data) + 1, U)
     out[0] = 0
-    np.cumsum(BYTE_VALUES[data] * _powers("up", len(data)), out=out[1:])
+    np.cumsum(values[data] * _powers("up", len(data)), out=out[1:])
     return out
 
 
